@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import COMPARTMENTS, SEED
+from ..constants import COMPARTMENTS, KFOLDS, SEED, TEST_SIZE, VAL_SHARE
+from ..functions import arrays as fa
+from ..operators import predict as P
 from ..operators import metrics as M
 from ..operators import splits as S
 from ..sources import views as V
@@ -103,6 +105,326 @@ def q_f2(spark, sf):
     return M.cell_accuracy(M.confusion(_pred(spark, sf), ["run"]), ["run"]).select("run", r6("accuracy").alias("accuracy"))
 
 
+# ======================================================================= shared
+def _split_ids(spark, sf):
+    """B9 split of the scored ids (embeddings), seeded and exact."""
+    ids = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    return S.split(ids)
+
+
+SPLIT_SQL = ("sp AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('" + str(SEED) + ":' || id), id) "
+             "<= ceil(" + repr(TEST_SIZE) + " * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split "
+             "FROM (SELECT vec_id AS id FROM embeddings))")
+PROB = "list_transform(logits, lambda x: 1/(1+exp(-x)))"
+PRED = "list_transform(logits, lambda x: (1/(1+exp(-x)) >= 0.5 AND NOT isnan(1/(1+exp(-x))))::INT)"
+CONF = "1/list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))"
+NAMES = "[" + ", ".join("'" + x + "'" for x in COMPARTMENTS) + "]"
+PV = O.with_views(O.PRED_V, LAB)
+PVS = O.with_views(O.PRED_V, LAB, SPLIT_SQL)
+
+
+def _scored(spark, sf):
+    return P.score_columns(_pred(spark, sf))
+
+
+# ======================================================================= E1-E9, D9, D10
+@query("E1_probs", PV + f"SELECT run, id, list_transform({PROB}, lambda x: round(x, 6)) AS probs FROM pred_v")
+def q_e1(spark, sf):
+    return _pred(spark, sf).select("run", "id", r6a(fa.probs("logits")).alias("probs"))
+
+
+@query("E2_predict", PV + f"SELECT run, id, {PRED} AS pred FROM pred_v")
+def q_e2(spark, sf):
+    return _pred(spark, sf).select("run", "id", fa.predict(fa.probs("logits")).alias("pred"))
+
+
+@query("E3_round_labels", PV + """SELECT run, id, list_transform(logits, lambda x:
+  (CASE WHEN isnan(x) THEN 0 WHEN 1/(1+exp(-x)) = 0.5 THEN 0 ELSE round(1/(1+exp(-x))) END)::INT) AS pred_round FROM pred_v""")
+def q_e3(spark, sf):
+    return _pred(spark, sf).select("run", "id", fa.predict(fa.probs("logits"), mode="round").alias("pred_round"))
+
+
+@query("E4_confidence", PV + f"SELECT run, id, round({CONF}, 6) AS confidence FROM pred_v")
+def q_e4(spark, sf):
+    return _pred(spark, sf).select("run", "id", r6(fa.confidence("logits")).alias("confidence"))
+
+
+@query("E5_attach", O.with_views(O.SEQ_V, O.PRED_V) + f"""
+SELECT s.id, s.lang, s.source, round({CONF.replace('logits', 'p.logits')}, 6) AS confidence
+FROM seq_v s JOIN pred_v p ON s.id = p.id WHERE p.run = 0""")
+def q_e5(spark, sf):
+    src = V.seq_v(spark, sf).select("id", "lang", "source")
+    sc = _pred(spark, sf).filter("run = 0").select("id", r6(fa.confidence("logits")).alias("confidence"))
+    return P.attach(src, sc)
+
+
+@query("E5_unmatched", O.with_views(O.SEQ_V, O.PRED_V) + """
+SELECT side, count(*) AS n FROM (
+  SELECT 'source' AS side FROM seq_v WHERE id NOT IN (SELECT id FROM pred_v WHERE run = 0)
+  UNION ALL SELECT 'scores' FROM pred_v WHERE run = 0 AND id NOT IN (SELECT id FROM seq_v)) GROUP BY side""")
+def q_e5u(spark, sf):
+    src = V.seq_v(spark, sf).select("id")
+    sc = _pred(spark, sf).filter("run = 0").select("id")
+    return P.unmatched(src, sc).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("E6_dominant", PV + f"""
+SELECT id, CASE WHEN list_max(targets) > 0 THEN {NAMES}[list_position(targets, list_max(targets))] END AS dominant_true,
+  CASE WHEN list_max({PROB}) > 0 THEN {NAMES}[list_position({PROB}, list_max({PROB}))] END AS dominant_pred
+FROM pred_v WHERE run = 0""")
+def q_e6(spark, sf):
+    p = _pred(spark, sf).filter("run = 0")
+    return p.select("id", fa.dominant("targets", COMPARTMENTS).alias("dominant_true"),
+                    fa.dominant(fa.probs("logits"), COMPARTMENTS).alias("dominant_pred"))
+
+
+@query("E6_dominant_counts", PV + f"""
+SELECT CASE WHEN list_max(targets) > 0 THEN {NAMES}[list_position(targets, list_max(targets))] END AS dominant, count(*) AS n
+FROM pred_v WHERE run = 0 GROUP BY 1""")
+def q_e6c(spark, sf):
+    p = _pred(spark, sf).filter("run = 0")
+    return p.groupBy(fa.dominant("targets", COMPARTMENTS).alias("dominant")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_E7_SQL = PV + f"""
+, sc AS (SELECT run, id, targets[1] AS t, {PRED}[1] AS p, {CONF} AS c FROM pred_v)
+, wrong AS (SELECT run, id AS title, '{COMPARTMENTS[0]}' AS label, t AS true_label, p AS predicted_label,
+  round(c, 6) AS confidence FROM sc WHERE t <> p)
+"""
+
+
+@query("E7_misclassified", _E7_SQL + "SELECT * FROM wrong")
+def q_e7(spark, sf):
+    w = P.misclassified(_pred(spark, sf), label=0)
+    return w.withColumn("confidence", r6("confidence"))
+
+
+@query("E7_error_counts", _E7_SQL + """SELECT run, label, count_if(true_label = 1) AS n_false_negative,
+  count_if(true_label = 0) AS n_false_positive FROM wrong GROUP BY run, label""")
+def q_e7c(spark, sf):
+    return P.error_counts(P.misclassified(_pred(spark, sf), label=0))
+
+
+_E8_SQL = PV + f"""
+, sc AS (SELECT run, id, targets[1] AS t, {PRED}[1] AS p, {CONF} AS c FROM pred_v)
+, cmp AS (SELECT a.id, a.t AS true_label, a.p AS predicted_label_a, b.p AS predicted_label_b,
+  round(a.c, 6) AS confidence_a, round(b.c, 6) AS confidence_b, a.p = b.p AS same,
+  CASE WHEN a.p = a.t AND b.p = a.t THEN 'both_right' WHEN a.p <> a.t AND b.p <> a.t THEN 'both_wrong'
+       WHEN b.p = a.t THEN 'fixed' ELSE 'broken' END AS outcome
+  FROM sc a JOIN sc b ON a.id = b.id WHERE a.run = 0 AND b.run = 1)
+"""
+
+
+def _cmp(spark, sf):
+    p = _pred(spark, sf)
+    return P.compare_runs(p.filter("run = 0"), p.filter("run = 1"), key="id", label=0)
+
+
+@query("E8_compare_runs", _E8_SQL + "SELECT * FROM cmp")
+def q_e8(spark, sf):
+    c = _cmp(spark, sf)
+    return c.withColumn("confidence_a", r6("confidence_a")).withColumn("confidence_b", r6("confidence_b"))
+
+
+@query("E8_compare_summary", _E8_SQL + "SELECT outcome, same, true_label, count(*) AS n FROM cmp GROUP BY ALL")
+def q_e8s(spark, sf):
+    return P.compare_summary(_cmp(spark, sf))
+
+
+@query("E9_mean_confidence", PVS + f"""SELECT p.run, s.split, round(avg({CONF.replace('logits', 'p.logits')}), 6) AS mean_confidence,
+  count(*) AS n FROM pred_v p JOIN sp s ON p.id = s.id GROUP BY p.run, s.split""")
+def q_e9(spark, sf):
+    d = _pred(spark, sf).join(_split_ids(spark, sf), "id")
+    return P.mean_confidence(d, ["run", "split"]).withColumn("mean_confidence", r6("mean_confidence"))
+
+
+@query("D9_predicted_names", PV + f"""SELECT id, list_transform(list_filter(range(10), lambda i: {PRED}[i+1] = 1),
+  lambda i: {NAMES}[i+1]) AS predicted FROM pred_v WHERE run = 0""")
+def q_d9(spark, sf):
+    return P.with_names(_pred(spark, sf).filter("run = 0")).select("id", "predicted")
+
+
+@query("D10_feature_table", PVS + """SELECT p.id, s.split, list_transform(p.logits, lambda x: round(x, 6)) AS features, p.targets
+FROM pred_v p JOIN sp s ON p.id = s.id WHERE p.run = 0""")
+def q_d10(spark, sf):
+    d = _pred(spark, sf).filter("run = 0").join(_split_ids(spark, sf), "id")
+    ft = P.feature_table({"train": d.filter("split = 'train'"), "test": d.filter("split = 'test'")})
+    return ft.withColumn("features", r6a("features"))
+
+
+# ======================================================================= F3, F4, F7, F9-F14
+@query("F3_subset_accuracy", PV + f"SELECT run, round(avg(({PRED} = targets)::INT), 6) AS subset_accuracy FROM pred_v GROUP BY run")
+def q_f3(spark, sf):
+    d = _scored(spark, sf)
+    return M.subset_accuracy(d, ["run"]).withColumn("subset_accuracy", r6("subset_accuracy"))
+
+
+@query("F4_sample_metrics", PV + f"""
+, r AS (SELECT run, {PRED} AS h, targets AS y FROM pred_v)
+, s AS (SELECT run, list_sum(list_transform(range(10), lambda i: h[i+1]*y[i+1])) AS tp, list_sum(h) AS np, list_sum(y) AS nt,
+  list_sum(list_transform(range(10), lambda i: (h[i+1]=y[i+1])::INT)) AS eq FROM r)
+SELECT run, round(avg(coalesce(tp::DOUBLE/nullif(np,0),0)),6) AS samples_precision,
+  round(avg(coalesce(tp::DOUBLE/nullif(nt,0),0)),6) AS samples_recall,
+  round(avg(coalesce(2.0*tp/nullif(np+nt,0),0)),6) AS samples_f1, round(avg(eq/10.0),6) AS samples_accuracy,
+  sum(nt)::BIGINT AS support FROM s GROUP BY run""")
+def q_f4(spark, sf):
+    m = M.sample_metrics(_scored(spark, sf), ["run"])
+    return m.select("run", *[r6(c).alias(c) for c in m.columns if c.startswith("samples_")], "support")
+
+
+@query("F7_f1_vector", _REP_SQL + "SELECT run, list(round(f1, 6) ORDER BY label_idx) AS f1_per_label FROM rep GROUP BY run")
+def q_f7(spark, sf):
+    return M.f1_vector(M.confusion(_pred(spark, sf), ["run"]), ["run"]).withColumn("f1_per_label", r6a("f1_per_label"))
+
+
+def _wide_sql(prefix_cols: str, src: str, extra: str = "") -> str:
+    cols = ",\n".join(
+        f"round(max(CASE WHEN label_idx = {i} THEN {m} END), 6) AS \"{name} {t}\""
+        for i, name in enumerate(COMPARTMENTS) for m, t in (("f1", "F1"), ("precision", "Precision"), ("recall", "Recall")))
+    return f"SELECT {prefix_cols}, list(round(mcc, 6) ORDER BY label_idx) AS {extra}, {cols} FROM {src}"
+
+
+_F9_SQL = _REP_SQL + """
+, acc AS (SELECT run, sum(n_eq_round)::DOUBLE / sum(n) AS test_accuracy FROM conf GROUP BY run)
+, avgs AS (SELECT run, avg(f1) AS macro_f1, coalesce(2.0*sum(tp)/nullif(2*sum(tp)+sum(fp)+sum(fn),0),0) AS micro_f1 FROM rep GROUP BY run)
+, wide AS (""" + _wide_sql("run", "rep", "mcc_per_label") + """ GROUP BY run)
+, res AS (SELECT w.run, round(a.test_accuracy, 6) AS test_accuracy, round(v.macro_f1, 6) AS macro_f1,
+  round(v.micro_f1, 6) AS micro_f1, w.* EXCLUDE (run) FROM wide w JOIN acc a USING (run) JOIN avgs v USING (run))
+"""
+
+
+def _run_results(spark, sf):
+    res = M.run_results(_pred(spark, sf))
+    return res.select(*[r6(c).alias(c) if c not in ("run", "mcc_per_label") else
+                        (r6a(c).alias(c) if c == "mcc_per_label" else F.col(c)) for c in res.columns])
+
+
+@query("F9_run_results", _F9_SQL + "SELECT * FROM res")
+def q_f9(spark, sf):
+    return _run_results(spark, sf)
+
+
+@query("F10_summarize_runs", _F9_SQL.replace("round(a.test_accuracy, 6)", "a.test_accuracy")
+       .replace("round(v.macro_f1, 6)", "v.macro_f1").replace("round(v.micro_f1, 6)", "v.micro_f1")
+       .replace("list(round(mcc, 6) ORDER BY label_idx)", "list(mcc ORDER BY label_idx)") + """
+, long AS (SELECT 'test_accuracy' AS metric, test_accuracy AS v FROM res UNION ALL SELECT 'macro_f1', macro_f1 FROM res
+  UNION ALL SELECT 'micro_f1', micro_f1 FROM res
+  UNION ALL SELECT 'mcc ' || l.label, r.mcc_per_label[l.label_idx+1] FROM res r, lab l)
+SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(v) AS n_runs FROM long GROUP BY metric""")
+def q_f10(spark, sf):
+    res = M.run_results(_pred(spark, sf))
+    s = M.summarize_runs(res)
+    return s.select("metric", r6("mean").alias("mean"), r6("std").alias("std"), "n_runs")
+
+
+_F11_SQL = PV + f"""
+, v AS (SELECT id, run, targets, {PRED} AS h FROM pred_v)
+, ens AS (SELECT id, count(*) AS n_runs, arg_min(targets, run) AS targets,
+  list_transform(range(10), lambda i: 0) AS z FROM v GROUP BY id)
+, votes AS (SELECT v.id, l.label_idx, avg(v.h[l.label_idx+1]) AS m FROM v, lab l GROUP BY v.id, l.label_idx)
+, ens2 AS (SELECT e.id, e.n_runs, e.targets, list((m > 0.5)::INT ORDER BY label_idx) AS pred
+  FROM ens e JOIN votes USING (id) GROUP BY e.id, e.n_runs, e.targets)
+"""
+
+
+@query("F11_ensemble", _F11_SQL + "SELECT * FROM ens2")
+def q_f11(spark, sf):
+    return M.ensemble(_pred(spark, sf), check=True)
+
+
+@query("F12_ensemble_report", _F11_SQL + """
+, cells AS (SELECT e.id, l.label_idx, l.label, e.targets[l.label_idx+1] AS y, e.pred[l.label_idx+1] AS yhat FROM ens2 e, lab l)
+, conf AS (SELECT label_idx, label, count_if(y=1 AND yhat=1) AS tp, count_if(y=0 AND yhat=1) AS fp,
+  count_if(y=1 AND yhat=0) AS fn, count_if(y=0 AND yhat=0) AS tn FROM cells GROUP BY label_idx, label)
+""" + "," + O.REPORT.format(by="") + """
+, top AS (SELECT round(avg((pred = targets)::INT), 6) AS "Ensemble Test Accuracy" FROM ens2)
+, avgs AS (SELECT round(avg(f1), 6) AS "Ensemble Macro F1",
+  round(coalesce(2.0*sum(tp)/nullif(2*sum(tp)+sum(fp)+sum(fn),0),0), 6) AS "Ensemble Micro F1" FROM rep)
+, wide AS (""" + _wide_sql("1 AS g", "rep", '"Ensemble MCC per Label"') + """)
+SELECT top.*, avgs.*, wide.* EXCLUDE (g) FROM top, avgs, wide""")
+def q_f12(spark, sf):
+    r = M.ensemble_report(_pred(spark, sf))
+    return r.select(*[F.col(f"`{c}`") if c == "Ensemble MCC per Label" else r6(F.col(f"`{c}`")).alias(c)
+                      for c in r.columns]).withColumn("Ensemble MCC per Label", r6a(F.col("`Ensemble MCC per Label`")))
+
+
+_HIST_SQL = O.with_views(O.PRED_V, LAB, SPLIT_SQL, O.PRED_CELLS) + """
+, h AS (SELECT c.run AS epoch, s.split, count_if(c.y = c.yrnd)::DOUBLE / count(c.y) AS acc, sum(c.bce) / count(c.y) AS loss
+  FROM cells2 c JOIN sp s ON c.id = s.id GROUP BY c.run, s.split)
+, hist AS (SELECT epoch, max(CASE WHEN split='train' THEN acc END) AS train_acc, max(CASE WHEN split='train' THEN loss END) AS train_loss,
+  max(CASE WHEN split='test' THEN acc END) AS test_acc, max(CASE WHEN split='test' THEN loss END) AS test_loss FROM h GROUP BY epoch)
+"""
+
+
+def _history(spark, sf):
+    d = _pred(spark, sf).join(_split_ids(spark, sf), "id").withColumnRenamed("run", "epoch")
+    return M.history(d, ["epoch"], "split")
+
+
+@query("F14_history", _HIST_SQL + """SELECT epoch, round(train_acc, 6) AS train_acc, round(train_loss, 6) AS train_loss,
+  round(test_acc, 6) AS test_acc, round(test_loss, 6) AS test_loss FROM hist""")
+def q_f14(spark, sf):
+    h = _history(spark, sf)
+    return h.select("epoch", *[r6(c).alias(c) for c in ("train_acc", "train_loss", "test_acc", "test_loss")])
+
+
+@query("F13_best_so_far", _HIST_SQL + """
+, b AS (SELECT epoch, test_acc, coalesce(max(test_acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best_before FROM hist)
+SELECT epoch, round(test_acc, 6) AS test_acc, round(best_before, 6) AS best_before, test_acc > best_before AS is_new_best,
+  round(greatest(test_acc, best_before), 6) AS best FROM b""")
+def q_f13(spark, sf):
+    b = M.best_so_far(_history(spark, sf).select("epoch", "test_acc"), "test_acc")
+    return b.select("epoch", r6("test_acc").alias("test_acc"), r6("best_before").alias("best_before"), "is_new_best",
+                    r6("best").alias("best"))
+
+
+# ======================================================================= B8-B10, C4
+_SEQ_RANK = O.with_views(O.SEQ_V) + ", " + O.md5_rank("seq_v", SEED, extra_cols="id")
+
+
+@query("B8_sample_exact", _SEQ_RANK + "\nSELECT id, rank FROM rk WHERE rank <= 150")
+def q_b8(spark, sf):
+    return S.sample_exact(V.seq_v(spark, sf).select("id"), 150)
+
+
+@query("B9_split", _SEQ_RANK + ", n AS (SELECT count(*) AS n FROM seq_v)\n"
+       "SELECT id, CASE WHEN rank <= ceil(" + repr(TEST_SIZE) + " * n) THEN 'test' ELSE 'train' END AS split FROM rk, n")
+def q_b9(spark, sf):
+    return S.split(V.seq_v(spark, sf).select("id"))
+
+
+@query("B9_split_shape", _SEQ_RANK + ", n AS (SELECT count(*) AS n FROM seq_v)\n"
+       "SELECT CASE WHEN rank <= ceil(" + repr(TEST_SIZE) + " * n) THEN 'test' ELSE 'train' END AS split, count(*) AS n_rows, "
+       "10 AS n_cols FROM rk, n GROUP BY 1")
+def q_b9s(spark, sf):
+    return S.split_shape(S.split(V.seq_v(spark, sf)))
+
+
+@query("B10_kfold", _SEQ_RANK + f"""
+, home AS (SELECT id, floor((rank - 1) * {KFOLDS} / count(*) OVER ())::INT AS home FROM rk)
+, per AS (SELECT h.id, h.home, f.fold::INT AS fold FROM home h, range({KFOLDS}) f(fold))
+, rest AS (SELECT fold, id, row_number() OVER (PARTITION BY fold ORDER BY md5('{SEED}:' || fold || ':' || id), id) AS r2,
+  count(*) OVER (PARTITION BY fold) AS m FROM per WHERE home <> fold)
+SELECT fold, id, 'test' AS role FROM per WHERE home = fold
+UNION ALL SELECT fold, id, CASE WHEN r2 <= ceil({VAL_SHARE} * m) THEN 'val' ELSE 'train' END FROM rest""")
+def q_b10(spark, sf):
+    return S.kfold(V.seq_v(spark, sf).select("id"))
+
+
+@query("C4_assign_batches", O.with_views(O.SEQ_V) + f"""
+, ep AS (SELECT s.id, e.epoch::INT AS epoch FROM seq_v s, range(1, 4) e(epoch))
+SELECT epoch, id, rank, (rank - 1) // 32 AS batch_id FROM (
+  SELECT epoch, id, row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || id), id) AS rank FROM ep)""")
+def q_c4(spark, sf):
+    return S.assign_batches(V.seq_v(spark, sf).select("id"), batch_size=32, epochs=3)
+
+
+@query("C4_eval_batches", O.with_views(O.SEQ_V) + """
+SELECT 1 AS epoch, id, row_number() OVER (ORDER BY id) AS rank, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch_id FROM seq_v""")
+def q_c4e(spark, sf):
+    return S.assign_batches(V.seq_v(spark, sf).select("id"), batch_size=32, epochs=1, shuffle=False)
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
