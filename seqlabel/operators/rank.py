@@ -9,8 +9,9 @@ turn the counts into running offsets, and add a per-bucket rank.
   so they are uniform whatever the keys are; a seeded, partitioning-
   independent shuffle.  Two passes (count, rank), one shuffle of the rows.
 * ``ordered_rank``: order by arbitrary columns.  A range repartition (Spark
-  samples the boundaries) gives sorted, balanced partitions; the partition
-  index from ``monotonically_increasing_id`` is the bucket.
+  samples the boundaries) gives sorted, balanced partitions, written once to
+  the shared checkpoint folder; the partition index from
+  ``monotonically_increasing_id`` is the bucket.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # A bucket table above this many rows is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -75,6 +78,13 @@ def ordered_rank(df: DataFrame, order_cols: Sequence[str], out: str = "rank",
     cols = list(order_cols)
     srt = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols) \
         .withColumn("_mid", F.monotonically_increasing_id())
+    # Range bounds are sampled per exchange (the sample seed depends on the RDD),
+    # so two branches reading the same range repartition may cut it differently.
+    # Write the sorted, numbered rows once to the shared checkpoint folder: both
+    # the count table and the rows then come from the same partitions, and a lost
+    # executor re-reads them instead of re-sampling.
+    shared_dir(spark)
+    srt = srt.checkpoint(eager=True)
     srt = srt.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = counts.select("_pid", F.coalesce(

@@ -13,7 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import COMPARTMENTS, KFOLDS, SEED, TEST_SIZE, VAL_SHARE
+from ..constants import COMPARTMENTS, IDENTITY, KFOLDS, MAX_LEN, SEED, TEST_SIZE, VAL_SHARE
+from ..operators import curate as C
+from ..operators import encode as E
+from ..operators import pool as PL
+from ..operators import score as SC
+from ..operators import similarity as SIM
+from ..sources import readers as R
+from ..sources import sinks as K
 from ..functions import arrays as fa
 from ..operators import predict as P
 from ..operators import metrics as M
@@ -425,6 +432,300 @@ def q_c4e(spark, sf):
     return S.assign_batches(V.seq_v(spark, sf).select("id"), batch_size=32, epochs=1, shuffle=False)
 
 
+# ======================================================================= A1-A5
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+SEQ_LABELS = ["en", "de", "es", "fr", "quality", "toxic"]
+SV = O.with_views(O.SEQ_V)
+
+
+@query("A1_read_sequences", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_a1(spark, sf):
+    return R.read_sequences(spark, f"{sf}/documents.parquet", fmt="parquet", schema=DOC_SCHEMA)
+
+
+@query("A2_project", SV + "SELECT id, en, de, es, fr, quality, toxic, sequence AS combined FROM seq_v")
+def q_a2(spark, sf):
+    return C.project(V.seq_v(spark, sf), "sequence", drop=["lang", "source"])
+
+
+@query("A3_label_report", SV + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS n, count_if({c} IS NULL) AS n_null, count_if({c} = 1) AS n_pos, "
+    f"count_if({c} IS NOT NULL AND {c} NOT IN (0, 1)) AS n_not_binary FROM seq_v" for c in SEQ_LABELS) + ")")
+def q_a3(spark, sf):
+    return C.validate(V.seq_v(spark, sf), SEQ_LABELS)
+
+
+@query("A3_sequence_report", SV + """SELECT count(*) AS n, count_if(sequence IS NULL) AS n_null_sequence,
+  count_if(length(sequence) = 0) AS n_empty_sequence,
+  (SELECT count(*) FROM (SELECT id FROM seq_v GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids FROM seq_v""")
+def q_a3s(spark, sf):
+    return C.sequence_report(V.seq_v(spark, sf))
+
+
+@query("A4_write_table", PRED_BASE + """
+SELECT run, label_idx, label, count_if(y=1 AND yhat=1) AS tp, count_if(y=0 AND yhat=1) AS fp,
+  count_if(y=1 AND yhat=0) AS fn, count_if(y=0 AND yhat=0) AS tn FROM cells2 GROUP BY run, label_idx, label""")
+def q_a4(spark, sf):
+    from ..session import fresh_path
+    conf = M.confusion(_pred(spark, sf), ["run"]).select("run", "label_idx", "label", "tp", "fp", "fn", "tn")
+    path = fresh_path(spark, "confusion")
+    K.write_table(conf, path, partition=["run"])
+    # rerun of one run replaces only that partition
+    K.write_table(conf.filter("run = 0"), path, partition=["run"])
+    back = spark.read.parquet(path)
+    return back.select(F.col("run").cast("int").alias("run"), "label_idx", "label", "tp", "fp", "fn", "tn")
+
+
+@query("A5_run_log", _HIST_SQL.replace("SELECT c.run AS epoch", "SELECT c.run AS epoch") + """
+, f1 AS (SELECT c.run AS epoch, c.label, count_if(c.y=1 AND c.yhat=1) AS tp, count_if(c.y=0 AND c.yhat=1) AS fp,
+  count_if(c.y=1 AND c.yhat=0) AS fn FROM cells2 c JOIN sp s ON c.id = s.id WHERE s.split = 'test' GROUP BY ALL)
+, b AS (SELECT epoch, greatest(test_acc, coalesce(max(test_acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM hist)
+SELECT epoch, metric, round(value, 6) AS value FROM (
+  SELECT epoch, 'train_acc' AS metric, train_acc AS value FROM hist UNION ALL SELECT epoch, 'train_loss', train_loss FROM hist
+  UNION ALL SELECT epoch, 'test_acc', test_acc FROM hist UNION ALL SELECT epoch, 'test_loss', test_loss FROM hist
+  UNION ALL SELECT epoch, 'best_acc', best FROM b
+  UNION ALL SELECT epoch, 'f1 ' || label, coalesce(2.0*tp/nullif(2*tp+fp+fn,0),0) FROM f1)""")
+def q_a5(spark, sf):
+    d = _pred(spark, sf).join(_split_ids(spark, sf), "id").withColumnRenamed("run", "epoch")
+    h = M.history(d, ["epoch"], "split")
+    best = M.best_so_far(h.select("epoch", "test_acc"), "test_acc").select("epoch", F.col("best").alias("best_acc"))
+    f1 = M.label_report(M.confusion(d.filter("split = 'test'"), ["epoch"]), ["epoch"])
+    f1w = f1.groupBy("epoch").pivot("label", list(COMPARTMENTS)).agg(F.first("f1"))
+    f1w = f1w.select("epoch", *[F.col(f"`{c}`").alias(f"f1 {c}") for c in COMPARTMENTS])
+    log = K.run_log(h.join(best, "epoch").join(f1w, "epoch"), ["epoch"])
+    return log.withColumn("value", r6("value"))
+
+
+# ======================================================================= B1-B7, B11
+@query("B1_eligible", SV + """SELECT id, lang, source, length(sequence) AS seq_len FROM seq_v
+WHERE length(sequence) >= 40 AND source NOT IN ('src0', 'src1')""")
+def q_b1(spark, sf):
+    e = C.eligible(V.seq_v(spark, sf), min_len=40, exclude={"source": ["src0", "src1"]})
+    return e.select("id", "lang", "source", F.length("sequence").alias("seq_len"))
+
+
+@query("B2_keep_levels", SV + "SELECT id, lang FROM seq_v WHERE lang IN ('en', 'fr')")
+def q_b2(spark, sf):
+    return C.keep_levels(V.seq_v(spark, sf), "lang", ["en", "fr"]).select("id", "lang")
+
+
+_B3_KEY = "sha256(sequence) || ':' || length(sequence)"
+
+
+@query("B3_dedup_first", SV + f"""SELECT min(id) AS id, count(*) AS n_copies,
+  {", ".join(f"arg_min_null({c}, id) AS {c}" for c in SEQ_LABELS)}, arg_min(sequence, id) AS sequence
+FROM seq_v GROUP BY {_B3_KEY}""")
+def q_b3f(spark, sf):
+    return C.dedup_exact(V.seq_v(spark, sf), SEQ_LABELS, mode="first")
+
+
+@query("B3_dedup_union", SV + f"""SELECT min(id) AS id, count(*) AS n_copies,
+  {", ".join(f"max({c}) AS {c}" for c in SEQ_LABELS)}, arg_min(sequence, id) AS sequence
+FROM seq_v GROUP BY {_B3_KEY}""")
+def q_b3u(spark, sf):
+    return C.dedup_exact(V.seq_v(spark, sf), SEQ_LABELS, mode="union")
+
+
+_B4_SQL = O.with_views(O.SEQ_V, O.REF_V) + f""",
+pairs AS (SELECT s.id, r.id AS ref_id, levenshtein(s.sequence, r.sequence) AS distance,
+  greatest(length(s.sequence), length(r.sequence)) AS L
+  FROM seq_v s JOIN ref_v r ON least(length(s.sequence), length(r.sequence)) >= {IDENTITY} * greatest(length(s.sequence), length(r.sequence))
+  WHERE length(s.sequence) > 0 AND length(r.sequence) > 0),
+hits AS (SELECT id, ref_id, distance, 1 - distance / L AS identity FROM pairs WHERE 1 - distance / L >= {IDENTITY})
+"""
+
+
+def _b4_pairs(spark, sf):
+    return SIM.similar_pairs(V.seq_v(spark, sf), V.ref_v(spark, sf), IDENTITY)
+
+
+@query("B4_similar_pairs", _B4_SQL + "SELECT id, ref_id, distance, round(identity, 6) AS identity FROM hits")
+def q_b4(spark, sf):
+    return _b4_pairs(spark, sf).withColumn("identity", r6("identity"))
+
+
+@query("B4_best_match", _B4_SQL + """SELECT id, round(max(identity), 6) AS best_identity,
+  arg_min(ref_id, (-identity, ref_id)) AS best_ref_id, count(*) AS n_similar FROM hits GROUP BY id""")
+def q_b4b(spark, sf):
+    return SIM.best_match(_b4_pairs(spark, sf)).withColumn("best_identity", r6("best_identity"))
+
+
+@query("B4_exclude_similar", _B4_SQL + "SELECT id, lang, source FROM seq_v WHERE id NOT IN (SELECT id FROM hits)")
+def q_b4x(spark, sf):
+    return SIM.exclude_similar(V.seq_v(spark, sf), V.ref_v(spark, sf), IDENTITY).select("id", "lang", "source")
+
+
+@query("B5_restrict_labels", SV + "SELECT id, lang, source, en, de, NOT (greatest(coalesce(en, 0), coalesce(de, 0)) > 0) AS no_label FROM seq_v")
+def q_b5(spark, sf):
+    d = V.seq_v(spark, sf).select("id", "lang", "source", "en", "de", "es", "fr")
+    return C.restrict_labels(d, ["en", "de", "es", "fr"], keep=["en", "de"])
+
+
+@query("B5_restrict_labels_drop", SV + "SELECT id, lang, source, en, de FROM seq_v WHERE greatest(coalesce(en, 0), coalesce(de, 0)) > 0")
+def q_b5d(spark, sf):
+    d = V.seq_v(spark, sf).select("id", "lang", "source", "en", "de", "es", "fr")
+    return C.restrict_labels(d, ["en", "de", "es", "fr"], keep=["en", "de"], on_empty="drop")
+
+
+@query("B6_merge_annotations", SV + f"""SELECT {_B3_KEY} AS key,
+  {", ".join(f"max({c}) AS {c}, max({c}) <> min({c}) AS {c}_conflict" for c in ("quality", "toxic", "en"))},
+  list_sort(list_distinct(list(source))) AS sources FROM seq_v GROUP BY 1""")
+def q_b6(spark, sf):
+    d = V.seq_v(spark, sf).withColumn("key", C.seq_key("sequence")).select("key", "source", "quality", "toxic", "en")
+    return C.merge_annotations(d, "key", ["quality", "toxic", "en"], source_col="source")
+
+
+@query("B7_cooccurrence", SV + """,
+sa AS (SELECT DISTINCT doc_id AS id, s.signal FROM labels, (VALUES ('quality'), ('toxic')) s(signal)
+  WHERE (s.signal = 'quality' AND quality = 1) OR (s.signal = 'toxic' AND toxic = 1)),
+sb AS (SELECT DISTINCT id, t.target FROM seq_v, (VALUES ('en'), ('de'), ('es'), ('fr')) t(target)
+  WHERE (t.target = 'en' AND en = 1) OR (t.target = 'de' AND de = 1) OR (t.target = 'es' AND es = 1) OR (t.target = 'fr' AND fr = 1)),
+ns AS (SELECT signal, count(*) AS n_signal FROM sa GROUP BY signal),
+b AS (SELECT signal, target, count(*) AS n_both FROM sa JOIN sb USING (id) GROUP BY signal, target)
+SELECT b.signal, b.target, b.n_both, ns.n_signal, round(b.n_both * 100.0 / ns.n_signal, 1) AS pct,
+  row_number() OVER (PARTITION BY b.signal ORDER BY b.n_both DESC, b.target) AS rank
+FROM b JOIN ns USING (signal)""")
+def q_b7(spark, sf):
+    sig = V.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    comp = V.seq_v(spark, sf).select("id", "en", "de", "es", "fr")
+    return C.cooccurrence(sig, comp, "id", ["quality", "toxic"], ["en", "de", "es", "fr"])
+
+
+@query("B11_label_counts", O.with_views(O.SEQ_V) + ", " + O.md5_rank("seq_v", SEED) + """,
+n AS (SELECT count(*) AS n FROM seq_v),
+sp AS (SELECT rk.*, CASE WHEN rank <= ceil(""" + repr(TEST_SIZE) + """ * n) THEN 'test' ELSE 'train' END AS split FROM rk, n)
+SELECT * FROM (""" + " UNION ALL ".join(
+    f"SELECT split, '{c}' AS label, nullif(count_if({c} = 0), 0) AS n_0, nullif(count_if({c} = 1), 0) AS n_1 FROM sp GROUP BY split"
+    for c in SEQ_LABELS) + ")")
+def q_b11(spark, sf):
+    return C.label_counts(S.split(V.seq_v(spark, sf)), SEQ_LABELS, by=["split"])
+
+
+# ======================================================================= C1-C3
+@query("C1_space_symbols", SV + "SELECT id, array_to_string(list_filter(string_split(sequence, ''), lambda x: x <> ''), ' ') AS title FROM seq_v")
+def q_c1(spark, sf):
+    return E.spaced(V.seq_v(spark, sf)).select("id", "title")
+
+
+_VOCAB_SQL = SV + """,
+sym AS (SELECT id, unnest(list_filter(string_split(sequence, ''), lambda x: x <> '')) AS symbol FROM seq_v),
+vocab AS (SELECT symbol, count(*) AS count, count(DISTINCT id) AS n_docs FROM sym GROUP BY symbol),
+vocab2 AS (SELECT symbol, count, count / sum(count) OVER () AS share, n_docs,
+  (row_number() OVER (ORDER BY count DESC, symbol) + 2)::INT AS token_id FROM vocab)
+"""
+
+
+@query("C3_build_vocab", _VOCAB_SQL + "SELECT symbol, count, round(share, 6) AS share, n_docs, token_id FROM vocab2")
+def q_c3(spark, sf):
+    return E.build_vocab(V.seq_v(spark, sf)).withColumn("share", r6("share"))
+
+
+@query("C2_encode", _VOCAB_SQL + f""",
+m AS (SELECT map(list(symbol), list(token_id)) AS m FROM vocab2),
+enc AS (SELECT s.id, list_concat(list_transform(list_filter(string_split(substr(s.sequence, 1, {MAX_LEN - 1}), ''), lambda x: x <> ''),
+  lambda c: coalesce(m.m[c], 2)), [1]) AS body, length(s.sequence) AS n_symbols FROM seq_v s, m)
+SELECT id, list_concat(body, list_transform(range({MAX_LEN} - len(body)), lambda i: 0)) AS input_ids,
+  list_concat(list_transform(body, lambda x: 1), list_transform(range({MAX_LEN} - len(body)), lambda i: 0)) AS attention_mask,
+  len(body)::INT AS n_tokens, n_symbols, n_symbols > {MAX_LEN - 1} AS truncated FROM enc""")
+def q_c2(spark, sf):
+    seq = V.seq_v(spark, sf)
+    vocab = E.build_vocab(seq)
+    return E.encode(seq.select("id", "sequence"), vocab).drop("sequence")
+
+
+# ======================================================================= D1-D8
+Q_VEC = [((7 * j) % 5 - 2) / 10.0 for j in range(64)]
+HEAD_W, HEAD_B = SC.rule_head(10, 64)
+_SMOOTH_W = PL.gaussian_weights(2)
+_LN = "list_transform(vec, lambda x: (x - list_avg(vec)) / sqrt(list_aggregate(vec, 'var_pop') + 1e-5))"
+_DOT_Q = "list_sum(list_transform(range(64), lambda j: ln[j+1] * ((((7*j) % 5) - 2) / 10)))"
+_HEAD = ("list_transform(range(10), lambda l: list_sum(list_transform(range(64), lambda j: x[j+1] * "
+         "((((3*l + 5*j) % 7) - 3) / 10))) + (l - 4) / 10)")
+PSV = O.with_views(O.POS_V)
+
+
+@query("D2_layer_norm", PSV + f"SELECT key, pos, list_transform({_LN}, lambda x: round(x, 6)) AS normed FROM pos_v")
+def q_d2(spark, sf):
+    return PL.layer_norm_table(V.pos_v(spark, sf)).select("key", "pos", r6a("normed").alias("normed"))
+
+
+_D3 = PSV + f", ln AS (SELECT key, pos, mask, {_LN} AS ln FROM pos_v), sc AS (SELECT key, pos, mask, ln, {_DOT_Q} AS s FROM ln)\n"
+
+
+@query("D3_attention_score", _D3 + "SELECT key, pos, round(s, 6) AS score FROM sc")
+def q_d3(spark, sf):
+    return PL.attention_scores(V.pos_v(spark, sf), Q_VEC).select("key", "pos", r6("score").alias("score"))
+
+
+def _smooth_sql(src: str, key: str, order: str, val: str, w: list[float]) -> str:
+    return f"""SELECT *, {w[2]!r} * {val} + {w[1]!r} * coalesce(lag({val}, 1) OVER w, fv) + {w[3]!r} * coalesce(lead({val}, 1) OVER w, lv)
+  + {w[0]!r} * coalesce(lag({val}, 2) OVER w, fv) + {w[4]!r} * coalesce(lead({val}, 2) OVER w, lv) AS smoothed
+FROM (SELECT *, first_value({val}) OVER wa AS fv, last_value({val}) OVER wa AS lv FROM {src}
+  WINDOW wa AS (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+WINDOW w AS (PARTITION BY {key} ORDER BY {order})"""
+
+
+@query("D4_gaussian_smooth", O.with_views(O.SERIES_V) + "SELECT key, event_id, round(smoothed, 6) AS smoothed FROM ("
+       + _smooth_sql("series_v", "key", "ts, event_id", "value", _SMOOTH_W) + ")")
+def q_d4(spark, sf):
+    sm = PL.gaussian_smooth(V.series_v(spark, sf), "key", ["ts", "event_id"], "value", 2)
+    return sm.select("key", "event_id", r6("smoothed").alias("smoothed"))
+
+
+@query("D5_group_softmax", _D3 + """, m AS (SELECT *, max(CASE WHEN mask THEN s END) OVER (PARTITION BY key) AS mx FROM sc),
+e AS (SELECT *, CASE WHEN mask THEN exp(s - mx) ELSE 0 END AS e FROM m)
+SELECT key, pos, round(e / sum(e) OVER (PARTITION BY key), 6) AS weight FROM e""")
+def q_d5(spark, sf):
+    d = PL.attention_scores(V.pos_v(spark, sf), Q_VEC)
+    return PL.group_softmax(d, "key", "score", "mask").select("key", "pos", r6("weight").alias("weight"))
+
+
+_D6 = _D3 + ", live AS (SELECT * FROM sc WHERE mask), sm AS (" + _smooth_sql("live", "key", "pos", "s", _SMOOTH_W) + """),
+sw AS (SELECT *, exp(smoothed - max(smoothed) OVER (PARTITION BY key)) AS e FROM sm),
+att AS (SELECT key, pos, ln, e / sum(e) OVER (PARTITION BY key) AS attn FROM sw)
+"""
+
+
+@query("D6_attention_pool", _D6 + """SELECT key, list(round(v, 6) ORDER BY j) AS pooled FROM (
+  SELECT key, r.j, sum(attn * ln[r.j + 1]) AS v FROM att, range(64) r(j) GROUP BY key, r.j) GROUP BY key""")
+def q_d6(spark, sf):
+    pooled, _ = PL.attention_pool(V.pos_v(spark, sf), Q_VEC)
+    return pooled.select("key", r6a("pooled").alias("pooled"))
+
+
+@query("D6_attention_weights", _D6 + """SELECT key, pos, round(attn, 6) AS attn FROM att
+UNION ALL SELECT key, pos, 0.0 FROM pos_v WHERE NOT mask""")
+def q_d6w(spark, sf):
+    _, att = PL.attention_pool(V.pos_v(spark, sf), Q_VEC)
+    return att.select("key", "pos", r6("attn").alias("attn"))
+
+
+_EMB = "SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
+
+
+@query("D7_linear_head", f"SELECT id, list_transform({_HEAD}, lambda v: round(v, 6)) AS logits FROM ({_EMB})")
+def q_d7(spark, sf):
+    e = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
+                                                 F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return SC.linear_head(e, "x", HEAD_W, HEAD_B).select("id", r6a("logits").alias("logits"))
+
+
+@query("D1_score", f"SELECT id, list_transform({_HEAD}, lambda v: round(v, 6)) AS logits FROM ({_EMB})")
+def q_d1(spark, sf):
+    e = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
+                                                 F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    scored = SC.score(e, "x", SC.numpy_linear_loader(HEAD_W, HEAD_B), n_out=10, dim=64)
+    return scored.select("id", r6a("logits").alias("logits"))
+
+
+@query("D8_fit_multilabel")
+def q_d8(spark, sf):
+    d = _pred(spark, sf).filter("run = 0").select(F.col("logits").alias("features"), "targets")
+    fit = SC.fit_multilabel(d, max_iter=20)
+    return fit.select("label_idx", "label", F.size("weights").alias("n_weights"),
+                      (F.col("objective_last") <= F.col("objective_first")).alias("loss_not_increased"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
