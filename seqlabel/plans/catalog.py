@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import COMPARTMENTS, IDENTITY, KFOLDS, MAX_LEN, SEED, TEST_SIZE, VAL_SHARE
 from ..operators import curate as C
+from ..operators import diagnose as DG
 from ..operators import encode as E
 from ..operators import pool as PL
 from ..operators import score as SC
@@ -726,6 +727,99 @@ def q_d8(spark, sf):
                       (F.col("objective_last") <= F.col("objective_first")).alias("loss_not_increased"))
 
 
+# ======================================================================= G1-G6
+_EDGES = DG.hist_edges(10)
+
+
+def _bin_sql(v: str) -> str:
+    inner = " + ".join(f"({v} >= {e!r}::DOUBLE)::INT" for e in _EDGES[1:-1])
+    return f"CASE WHEN {v} >= 0 AND {v} <= 1 THEN least(9, {inner}) END"
+
+
+_G1 = PV + f""", cells AS (SELECT p.run, l.label_idx, l.label, p.targets[l.label_idx+1] AS y,
+  1/(1+exp(-p.logits[l.label_idx+1])) AS p FROM pred_v p, lab l),
+b AS (SELECT *, {_bin_sql('p')} AS bin FROM cells)
+SELECT run, label_idx, label, round(min(p), 6) AS confidence_range_min, round(max(p), 6) AS confidence_range_max,
+  count(*) AS count, [{", ".join(f"count_if(y = 1 AND bin = {i})" for i in range(10))}] AS positive_hist,
+  [{", ".join(f"count_if(y = 0 AND bin = {i})" for i in range(10))}] AS negative_hist
+FROM b GROUP BY run, label_idx, label"""
+
+
+@query("G1_prob_histograms", _G1)
+def q_g1(spark, sf):
+    h = DG.prob_histograms(_pred(spark, sf), ["run"])
+    return h.withColumn("confidence_range_min", r6("confidence_range_min")) \
+        .withColumn("confidence_range_max", r6("confidence_range_max"))
+
+
+_G2 = PV + f""", c AS (SELECT run, {CONF} AS c FROM pred_v), b AS (SELECT *, {_bin_sql('c')} AS bin FROM c),
+dist AS (SELECT run, [{", ".join(f"count_if(bin = {i})" for i in range(10))}] AS counts, avg(c) AS mean,
+  stddev_samp(c) AS std, count(*) AS n FROM b GROUP BY run)
+"""
+
+
+@query("G2_confidence_distribution", _G2 + "SELECT run, counts, round(mean, 6) AS mean, round(std, 6) AS std, n FROM dist")
+def q_g2(spark, sf):
+    d = DG.confidence_distribution(_pred(spark, sf), ["run"])
+    return d.select("run", "counts", r6("mean").alias("mean"), r6("std").alias("std"), "n")
+
+
+@query("G2_normal_curve", _G2 + """SELECT run, i, round(i / 99, 6) AS x,
+  round(CASE WHEN std > 0 THEN exp(-pow(i / 99 - mean, 2) / (2 * std * std)) / (std * sqrt(2 * pi())) * n * 0.1 END, 6) AS y
+FROM dist, range(100) r(i)""")
+def q_g2n(spark, sf):
+    c = DG.normal_curve(DG.confidence_distribution(_pred(spark, sf), ["run"]), ["run"])
+    return c.select("run", F.col("i").cast("bigint").alias("i"), r6("x").alias("x"), r6("y").alias("y"))
+
+
+def _features_run0(spark, sf):
+    return _pred(spark, sf).filter("run = 0").select("id", F.col("logits").alias("features"), "targets")
+
+
+@query("G3_pca_points")
+def q_g3(spark, sf):
+    pts, _ = DG.pca_points(_features_run0(spark, sf))
+    return pts.select("id", r6("x").alias("x"), r6("y").alias("y"), "class")
+
+
+@query("G3_explained_variance")
+def q_g3v(spark, sf):
+    _, ev = DG.pca_points(_features_run0(spark, sf))
+    return ev.withColumn("explained_variance", r6("explained_variance"))
+
+
+@query("G4_class_balance", PV + f"SELECT targets[1] AS value, count(*) AS n, '{COMPARTMENTS[0]}' AS label FROM pred_v WHERE run = 0 GROUP BY 1")
+def q_g4(spark, sf):
+    return DG.class_balance(_pred(spark, sf).filter("run = 0"), 0)
+
+
+_G5 = PV + """, f AS (SELECT id, logits AS v, targets FROM pred_v WHERE run = 0),
+d AS (SELECT a.id, b.id AS nbr, sqrt(list_sum(list_transform(range(10), lambda j: pow(a.v[j+1] - b.v[j+1], 2)))) AS dist
+  FROM f a JOIN f b ON a.id <> b.id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d) WHERE rank <= 30)
+"""
+
+
+def _knn(spark, sf):
+    return DG.knn(_features_run0(spark, sf), "features", k=30, block_rows=128)
+
+
+@query("G5_knn", _G5 + "SELECT id, nbr, round(dist, 6) AS dist, rank FROM nn")
+def q_g5(spark, sf):
+    return _knn(spark, sf).withColumn("dist", r6("dist"))
+
+
+@query("G6_neighbour_purity", _G5 + f""", cls AS (SELECT id, CASE WHEN list_max(targets) > 0
+  THEN {NAMES}[list_position(targets, list_max(targets))] END AS c FROM f),
+per AS (SELECT nn.id, a.c, avg(coalesce((a.c = b.c)::INT, 0)) AS s FROM nn JOIN cls a ON nn.id = a.id
+  LEFT JOIN cls b ON nn.nbr = b.id WHERE a.c IS NOT NULL GROUP BY nn.id, a.c)
+SELECT c AS class, round(avg(s), 6) AS purity, count(*) AS n FROM per GROUP BY c""")
+def q_g6(spark, sf):
+    classes = _features_run0(spark, sf).select("id", fa.dominant("targets", COMPARTMENTS).alias("class"))
+    pur = DG.neighbour_purity(_knn(spark, sf), classes)
+    return pur.withColumn("purity", r6("purity"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
