@@ -21,6 +21,7 @@ from ..operators import pool as PL
 from ..operators import score as SC
 from ..operators import similarity as SIM
 from ..sources import readers as R
+from ..streaming import running as ST
 from ..sources import sinks as K
 from ..functions import arrays as fa
 from ..operators import predict as P
@@ -820,6 +821,46 @@ def q_g6(spark, sf):
     return pur.withColumn("purity", r6("purity"))
 
 
+# ======================================================================= H1-H3
+def _stream_pred(spark, sf):
+    return V.pred_from_embeddings(V.embeddings_stream(spark, sf), runs=1)
+
+
+@query("H1_running_metrics", PRED_BASE + """
+SELECT run, label_idx, label, count_if(y=1 AND yhat=1) AS tp, count_if(y=0 AND yhat=1) AS fp,
+  count_if(y=1 AND yhat=0) AS fn, count_if(y=0 AND yhat=0) AS tn, count(y) AS n,
+  round(sum(bce) / count(y), 6) AS loss, round(count_if(y = yrnd) / count(y), 6) AS accuracy
+FROM cells2 WHERE run = 0 GROUP BY run, label_idx, label""")
+def q_h1(spark, sf):
+    from ..session import fresh_path
+    out, ck = fresh_path(spark, "h1-out"), fresh_path(spark, "h1-ckpt")
+    ST.run_to_table(ST.running_metrics(_stream_pred(spark, sf), ["run"]), out, ck)
+    t = spark.read.parquet(out)
+    return t.select("run", F.col("label_idx").cast("int").alias("label_idx"), "label", "tp", "fp", "fn", "tn", "n",
+                    r6(F.col("bce_sum") / F.col("n")).alias("loss"), r6(F.col("n_eq_round") / F.col("n")).alias("accuracy"))
+
+
+@query("H2_score_stream", f"SELECT id, list_transform({_HEAD}, lambda v: round(v, 6)) AS logits FROM ({_EMB})")
+def q_h2(spark, sf):
+    from ..session import fresh_path
+    out, ck = fresh_path(spark, "h2-out"), fresh_path(spark, "h2-ckpt")
+    src = V.embeddings_stream(spark, sf).select(
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    ST.score_stream(src, "x", SC.numpy_linear_loader(HEAD_W, HEAD_B), 10, 64, out, ck)
+    return spark.read.parquet(out).select("id", r6a("logits").alias("logits"))
+
+
+@query("H3_batch_log", PRED_BASE + """
+SELECT 0::BIGINT AS batch_id, count_if(label_idx = 0) AS n, round(sum(bce) / count(y), 6) AS loss,
+  round(count_if(y = yrnd) / count(y), 6) AS acc FROM cells2 WHERE run = 0""")
+def q_h3(spark, sf):
+    from ..session import fresh_path
+    out, ck = fresh_path(spark, "h3-out"), fresh_path(spark, "h3-ckpt")
+    ST.batch_log(_stream_pred(spark, sf), out, ck)
+    t = spark.read.parquet(out)
+    return t.select(F.col("batch_id").cast("bigint").alias("batch_id"), "n", r6("loss").alias("loss"), r6("acc").alias("acc"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -50,7 +50,11 @@ def ref_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pred_v(spark: SparkSession, sf_dir: str, runs: int = NUM_RUNS) -> DataFrame:
     """run, id, logits ARRAY<DOUBLE>[10], targets ARRAY<INT>[10] (one or two positives)."""
-    e = table(spark, sf_dir, "embeddings")
+    return pred_from_embeddings(table(spark, sf_dir, "embeddings"), runs)
+
+
+def pred_from_embeddings(e: DataFrame, runs: int = NUM_RUNS) -> DataFrame:
+    """The pred_v projection over any embeddings frame (batch or streaming)."""
     r = e.select("vec_id", "embedding", "label", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     vid, lab = F.col("vec_id"), F.col("label")
     logits = F.transform(F.slice("embedding", F.col("run") * 10 + 1, 10), lambda x: x.cast("double") * 10)
@@ -76,3 +80,14 @@ def pos_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("key"), "ts", "event_id", "value")
+
+
+EMBEDDINGS_SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def embeddings_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """``embeddings`` as a file stream (the table's own file, picked by glob)."""
+    r = spark.readStream.schema(EMBEDDINGS_SCHEMA).option("pathGlobFilter", "embeddings.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(sf_dir)
