@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LN_EPS, SMOOTH_SIGMA
-from ..functions.arrays import dot, layer_norm
+from ..functions.arrays import dot, with_layer_norm
 from .rank import ordered_rank
 
 CHUNK = 65_536   # positions per smoothing window partition
@@ -104,7 +104,7 @@ def attention_pool(pos_df: DataFrame, q: Sequence[float], key: str = "key", pos:
     ``(key, pos, attn)``.  The vector sum is MLlib's ``Summarizer`` (weighted
     mean, weights sum to 1), a partial aggregate over any vector width.
     """
-    base = pos_df.withColumn("_ln", layer_norm(vec, eps)).withColumn("_s", dot("_ln", q))
+    base = with_layer_norm(pos_df, vec, "_ln", eps).withColumn("_s", dot("_ln", q))
     live = base.filter(F.col(mask)) if mask else base
     # positions of the unmasked prefix are dense 0..len-1, so no ranking is needed
     sm = gaussian_smooth(live, key, pos, "_s", sigma, out="_ss", dense_pos=pos)
@@ -121,10 +121,10 @@ def attention_pool(pos_df: DataFrame, q: Sequence[float], key: str = "key", pos:
 
 def layer_norm_table(df: DataFrame, vec: str = "vec", eps: float = LN_EPS, out: str = "normed") -> DataFrame:
     """D2 as a table step."""
-    return df.withColumn(out, layer_norm(vec, eps))
+    return with_layer_norm(df, vec, out, eps)
 
 
 def attention_scores(df: DataFrame, q: Sequence[float], vec: str = "vec", eps: float = LN_EPS,
                      out: str = "score") -> DataFrame:
     """D3: ``dot(layer_norm(vec), q)`` per position."""
-    return df.withColumn(out, dot(layer_norm(vec, eps), q))
+    return with_layer_norm(df, vec, "_ln", eps).withColumn(out, dot("_ln", q)).drop("_ln")

@@ -19,7 +19,22 @@ from ..constants import NUM_RUNS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least the cluster's default parallelism.
+
+    A table stored as one file with one row group is read by one task; every
+    per-row step above it (regex over whole texts, symbol explode, pair checks)
+    would then run single-threaded.  Only such under-split scans are
+    redistributed (round-robin); a real multi-file table already yields more
+    partitions than cores and is left untouched, so this never adds a shuffle
+    at scale.  Counting partitions of a scan plans it without running a job.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.rdd().getNumPartitions()
+    return df.repartition(want) if have < want else df
 
 
 def letters(text_col) -> F.Column:
