@@ -128,15 +128,15 @@ def dominant(arr: str | Column, labels: Sequence[str] | None = None, on_empty: s
     ``on_empty="first"`` gives label 0, like an unguarded argmax.
     """
     a = _c(arr)
-    idx = F.array_position(a, F.array_max(a)) - F.lit(1)
-    if on_empty == "null":
-        idx = F.when(F.array_max(a) > F.lit(0), idx)
-    elif on_empty != "first":
+    if on_empty not in ("null", "first"):
         raise ValueError(f"unknown on_empty {on_empty!r}")
+    pos = F.array_position(a, F.array_max(a)).cast("int")      # 1-based, first maximum
     if labels is None:
-        return idx.cast("int")
-    names = F.array(*[F.lit(x) for x in labels])
-    return F.element_at(names, (idx + F.lit(1)).cast("int"))
+        out = pos - F.lit(1)
+    else:
+        out = F.element_at(F.array(*[F.lit(x) for x in labels]), F.greatest(pos, F.lit(1)))
+    # the guard wraps the lookup itself (a NULL index must not reach element_at)
+    return F.when(F.array_max(a) > F.lit(0), out) if on_empty == "null" else out
 
 
 def predicted_names(pred: str | Column, labels: Sequence[str]) -> Column:
