@@ -22,6 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least the cluster's default parallelism.
 
@@ -33,6 +36,8 @@ def spread(df: DataFrame) -> DataFrame:
     at scale.  Counting partitions of a scan plans it without running a job.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD_MIN_BYTES:
+        return df                      # a few MB: one task is faster than a shuffle
     have = df._jdf.rdd().getNumPartitions()
     return df.repartition(want) if have < want else df
 
