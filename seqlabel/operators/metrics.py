@@ -35,7 +35,8 @@ def confusion(df: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str]
               pred: str | None = None) -> DataFrame:
     """confusion counts per (by, label).
 
-    Output: ``*by, label_idx, label, tp, fp, fn, tn, n, n_null, n_eq_round, bce_sum``.
+    Output: ``*by, label_idx, label, tp, fp, fn, tn, n, n_null, n_eq_round, bce_sum,
+    n_rows, n_exact`` (the last two are per group: rows, rows with all labels right).
     ``n`` counts annotated cells (NULL target = not annotated, excluded).
     ``n_eq_round`` counts cells whose half-to-even rounded probability equals
     the truth (the elementwise accuracy of the training loop).  When ``pred``
@@ -56,7 +57,8 @@ def confusion(df: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str]
         yrnd = bce = None
     base = df.select(*by, y.alias("_y"), yhat.alias("_h"),
                      *( [yrnd.alias("_r"), bce.alias("_b")] if pred is None else []))
-    aggs = []
+    # group-level: rows, and rows with every label right (subset accuracy)
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("_y") == F.col("_h")).alias("_exact")]
     for i in range(L):
         yi = F.element_at("_y", i + 1)
         hi = F.element_at("_h", i + 1)
@@ -84,6 +86,7 @@ def confusion(df: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str]
             F.col(f"nn{i}").alias("n_null"),
             (F.col(f"eq{i}") if pred is None else F.lit(None).cast("bigint")).alias("n_eq_round"),
             (F.col(f"b{i}") if pred is None else F.lit(None).cast("double")).alias("bce_sum"),
+            F.col("_rows").alias("n_rows"), F.col("_exact").alias("n_exact"),
         ]
         rows.append(F.struct(*fields))
     return wide.select(*by, F.inline(F.array(*rows)))
@@ -99,7 +102,7 @@ def label_report(conf: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     denom = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     return conf.select(
-        *by, "label_idx", "label",
+        *by, "label_idx", "label", "tp", "fp", "fn", "tn", "n", "n_eq_round", "n_rows", "n_exact",
         _div(tp, tp + fp).alias("precision"),
         _div(tp, tp + fn).alias("recall"),
         _div(2 * tp, 2 * tp + fp + fn).alias("f1"),
@@ -111,7 +114,10 @@ def label_report(conf: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
 # --------------------------------------------------------------------- F6
 def avg_report(conf: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     """micro (pooled counts), macro (plain mean) and weighted (support-weighted) averages."""
-    rep = label_report(conf, by).join(conf.select(*by, "label_idx", "tp", "fp", "fn"), [*by, "label_idx"])
+    return _averages(label_report(conf, by), by)
+
+
+def _averages(rep: DataFrame, by: Sequence[str]) -> DataFrame:
     g = rep.groupBy(*by).agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
         F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
@@ -213,18 +219,26 @@ def run_results(df: DataFrame, labels: Sequence[str] = COMPARTMENTS, run: str =
     rep = label_report(conf, [run])
     if not wide:
         return rep
-    acc = cell_accuracy(conf, [run])
-    avg = avg_report(conf, [run]).select(run, "macro_f1", "micro_f1")
-    per = rep.groupBy(run).agg(
-        _ordered("mcc").alias("mcc_per_label"),
+    # one aggregation over the (runs x labels) report: no re-scan per statistic
+    g = rep.groupBy(run).agg(*_report_aggs(labels))
+    return g.select(
+        F.col(run), _div(F.col("_eq"), F.col("_n")).alias("test_accuracy"), "macro_f1", "micro_f1", "mcc_per_label",
+        *[f"{name} {t}" for name in labels for t in ("F1", "Precision", "Recall")],
+    )
+
+
+def _report_aggs(labels: Sequence[str], mcc_name: str = "mcc_per_label") -> list[Column]:
+    tp, fp, fn = (F.sum(c).cast("double") for c in ("tp", "fp", "fn"))
+    return [
+        F.sum("n_eq_round").alias("_eq"), F.sum("n").alias("_n"),
+        F.first("n_exact").alias("_exact"), F.first("n_rows").alias("_rows"),
+        F.avg("f1").alias("macro_f1"),
+        _div(2 * tp, 2 * tp + fp + fn).alias("micro_f1"),
+        _ordered("mcc").alias(mcc_name),
         *[F.max(F.when(F.col("label_idx") == i, F.col(m))).alias(f"{name} {t}")
           for i, name in enumerate(labels)
           for m, t in (("f1", "F1"), ("precision", "Precision"), ("recall", "Recall"))],
-    )
-    return acc.join(avg, run).join(per, run).select(
-        F.col(run), F.col("accuracy").alias("test_accuracy"), "macro_f1", "micro_f1", "mcc_per_label",
-        *[f"{name} {t}" for name in labels for t in ("F1", "Precision", "Recall")],
-    )
+    ]
 
 
 # --------------------------------------------------------------------- F10
@@ -274,18 +288,10 @@ def ensemble_report(preds: DataFrame, labels: Sequence[str] = COMPARTMENTS, key:
                     run: str = "run") -> DataFrame:
     """the F3 + F5 + F6 + F8 report on the F11 vote, one wide row."""
     ens = ensemble(preds, labels, key, run).withColumn("_g", F.lit(0))
-    conf = confusion(ens, ["_g"], labels, pred="pred")
-    rep = label_report(conf, ["_g"])
-    avg = avg_report(conf, ["_g"]).select("_g", "macro_f1", "micro_f1")
-    acc = subset_accuracy(ens, ["_g"])
-    per = rep.groupBy("_g").agg(
-        _ordered("mcc").alias("Ensemble MCC per Label"),
-        *[F.max(F.when(F.col("label_idx") == i, F.col(m))).alias(f"{name} {t}")
-          for i, name in enumerate(labels)
-          for m, t in (("f1", "F1"), ("precision", "Precision"), ("recall", "Recall"))],
-    )
-    return acc.join(avg, "_g").join(per, "_g").select(
-        F.col("subset_accuracy").alias("Ensemble Test Accuracy"),
+    rep = label_report(confusion(ens, ["_g"], labels, pred="pred"), ["_g"])
+    g = rep.groupBy("_g").agg(*_report_aggs(labels, "Ensemble MCC per Label"))
+    return g.select(
+        _div(F.col("_exact"), F.col("_rows")).alias("Ensemble Test Accuracy"),
         F.col("macro_f1").alias("Ensemble Macro F1"),
         F.col("micro_f1").alias("Ensemble Micro F1"),
         "Ensemble MCC per Label",

@@ -66,7 +66,8 @@ SELECT run, label_idx, label,
 FROM cells2 GROUP BY run, label_idx, label""")
 def q_f0(spark, sf):
     c = M.confusion(_pred(spark, sf), ["run"])
-    return c.withColumn("bce_sum", r6("bce_sum"))
+    return c.select("run", "label_idx", "label", "tp", "fp", "fn", "tn", "n", "n_null", "n_eq_round",
+                    r6("bce_sum").alias("bce_sum"))
 
 
 _REP_SQL = PRED_BASE + ",\n" + O.CONFUSION_BY.format(by="run,", src="cells2") + ",\n" + O.REPORT.format(by="run,")
