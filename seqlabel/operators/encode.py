@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import EOS_ID, MAX_LEN, PAD_ID, UNK_ID
 from ..functions.arrays import space_symbols
 
-MAP_LIMIT = 100_000   # largest vocabulary inlined as a literal map
+MAP_LIMIT = 4_096   # largest vocabulary inlined as a literal map (kept small: it becomes code)
 
 
 def symbols(seq) -> F.Column:

@@ -87,3 +87,12 @@ def test_cooccurrence_pct(spark):
     r = {(x["signal"], x["target"]): x for x in C.cooccurrence(a, b, "id", ["SP"], ["X", "Y"]).collect()}
     assert r[("SP", "X")]["pct"] == 100.0 and r[("SP", "X")]["rank"] == 1
     assert r[("SP", "Y")]["pct"] == 50.0 and r[("SP", "Y")]["rank"] == 2
+
+
+def test_encode_join_path_equals_map_path(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "ABCA"), (1, ""), (2, "ZZ" * 300)], "id long, sequence string")
+    vocab = E.build_vocab(df)
+    a = {r["id"]: (r["input_ids"], r["attention_mask"], r["n_tokens"]) for r in E.encode(df, vocab, max_len=16).collect()}
+    monkeypatch.setattr(E, "MAP_LIMIT", 0)
+    b = {r["id"]: (r["input_ids"], r["attention_mask"], r["n_tokens"]) for r in E.encode(df, vocab, max_len=16).collect()}
+    assert a == b
