@@ -72,13 +72,12 @@ def encode(df: DataFrame, vocab: DataFrame, seq: str = "sequence", id_col: str =
         enc = df.join(per.select(id_col, F.transform("_s", lambda s: s["t"]).alias("_ids")), id_col, "left") \
             .withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
     body = F.concat(F.col("_ids"), F.array(F.lit(eos_id)))
-    n = F.size(body)
     return enc.withColumn("_body", body).select(
         *[c for c in df.columns],
         F.concat("_body", F.array_repeat(F.lit(pad_id), F.lit(max_len) - F.size("_body"))).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("_body")),
                  F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_body"))).alias("attention_mask"),
         F.size("_body").alias("n_tokens"),
-        F.length(seq).alias("n_symbols"),
+        F.length(seq).cast("bigint").alias("n_symbols"),
         (F.length(seq) > F.lit(keep)).alias("truncated"),
     )

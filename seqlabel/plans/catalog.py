@@ -504,7 +504,7 @@ def q_a5(spark, sf):
 WHERE length(sequence) >= 40 AND source NOT IN ('src0', 'src1')""")
 def q_b1(spark, sf):
     e = C.eligible(V.seq_v(spark, sf), min_len=40, exclude={"source": ["src0", "src1"]})
-    return e.select("id", "lang", "source", F.length("sequence").alias("seq_len"))
+    return e.select("id", "lang", "source", F.length("sequence").cast("bigint").alias("seq_len"))
 
 
 @query("B2_keep_levels", SV + "SELECT id, lang FROM seq_v WHERE lang IN ('en', 'fr')")
@@ -591,7 +591,8 @@ FROM b JOIN ns USING (signal)""")
 def q_b7(spark, sf):
     sig = V.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     comp = V.seq_v(spark, sf).select("id", "en", "de", "es", "fr")
-    return C.cooccurrence(sig, comp, "id", ["quality", "toxic"], ["en", "de", "es", "fr"])
+    return C.cooccurrence(sig, comp, "id", ["quality", "toxic"], ["en", "de", "es", "fr"]) \
+        .withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("B11_label_counts", O.with_views(O.SEQ_V) + ", " + O.md5_rank("seq_v", SEED) + """,
@@ -808,7 +809,7 @@ def _knn(spark, sf):
 
 @query("G5_knn", _G5 + "SELECT id, nbr, round(dist, 6) AS dist, rank FROM nn")
 def q_g5(spark, sf):
-    return _knn(spark, sf).withColumn("dist", r6("dist"))
+    return _knn(spark, sf).withColumn("dist", r6("dist")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("G6_neighbour_purity", _G5 + f""", cls AS (SELECT id, CASE WHEN list_max(targets) > 0
@@ -866,8 +867,25 @@ def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
+def _bigint_counts(sql: str) -> str:
+    """``count_if(x)`` -> ``count(*) FILTER (WHERE x)``: the same count, typed
+    BIGINT like Spark's (DuckDB's ``count_if`` returns HUGEINT)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "count(*) FILTER (WHERE " + _bigint_counts(sql[j + len(key):k - 1]) + ")")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+    return {k: _bigint_counts(v[1]) for k, v in REGISTRY.items() if v[1] is not None}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
