@@ -70,13 +70,13 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str = "id", order: str | None
                  only_errors: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Compare two runs' predictions for one label, matched on ``key``.
 
-    The right side keeps its *first* row per key (by ``order``, default the
-    key's smallest ``confidence`` row order is irrelevant: by ``order`` or
-    ``key``), reduced with ``min_by`` (a partial aggregate: hot keys are
-    combined map-side); duplicate keys on the left all stay.  Outcome:
-    ``both_right``, ``both_wrong``, ``fixed`` (a wrong, b right), ``broken``.
-    ``only_errors`` reproduces the narrow form: both inputs first reduced to
-    their wrong rows.
+    The right side keeps its *first* row per key by ``order`` (e.g. the row's
+    position in its source; with unique keys no order is needed), reduced with
+    ``min_by`` — a partial aggregate, so a hot key is combined map-side.
+    Duplicate keys on the left all stay.  Outcome: ``both_right``,
+    ``both_wrong``, ``fixed`` (a wrong, b right) or ``broken`` (a right, b
+    wrong).  ``only_errors`` reproduces the narrow form of the original loop:
+    both inputs are first reduced to their wrong rows.
     """
     def cells(df):
         s = score_columns(df, threshold=threshold)
