@@ -53,3 +53,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for a cluster run sized to the input.
+
+    Shuffle partitions follow the data (about ``partition_bytes`` each, never
+    fewer than two waves of cores) so partitions fit executor memory at any
+    scale; AQE coalesces small ones and splits skewed join partitions at run
+    time.  Apply with ``SparkSession.builder.config(map=...)`` or
+    ``spark.conf.set`` before the jobs.
+    """
+    import math
+
+    parts = max(2 * total_cores, math.ceil(input_bytes / partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.ui.enabled": "false",
+    }
