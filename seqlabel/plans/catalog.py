@@ -863,6 +863,14 @@ def q_h3(spark, sf):
     return t.select(F.col("batch_id").cast("bigint").alias("batch_id"), "n", r6("loss").alias("loss"), r6("acc").alias("acc"))
 
 
+@query("B4_near_copies_kmer")
+def q_b4k(spark, sf):
+    """Near copies within the whole documents at identity >= 0.9 (k-mer mode,
+    self-join, each pair once).  No SQL: the all-pairs check on whole texts is
+    too slow for DuckDB; tests compare this mode with brute force instead."""
+    return SIM.similar_pairs_kmer(V.seq_v(spark, sf), None, 0.9).withColumn("identity", r6("identity"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -96,3 +96,47 @@ def test_encode_join_path_equals_map_path(spark, monkeypatch):
     monkeypatch.setattr(E, "MAP_LIMIT", 0)
     b = {r["id"]: (r["input_ids"], r["attention_mask"], r["n_tokens"]) for r in E.encode(df, vocab, max_len=16).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("t", [0.7, 0.8, 0.9])
+def test_kmer_mode_equals_exact(spark, t):
+    import random
+
+    rnd = random.Random(int(t * 1000))
+    alpha = "ACDEFG"
+    base = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 60))) for _ in range(30)]
+    seqs = list(base)
+    for s in base[:20]:                      # planted near copies: a few edits each
+        x = list(s)
+        for _ in range(rnd.randint(0, 6)):
+            if x and rnd.random() < 0.5:
+                x[rnd.randrange(len(x))] = rnd.choice(alpha)
+            else:
+                x.insert(rnd.randrange(len(x) + 1), rnd.choice(alpha))
+        seqs.append("".join(x))
+    seqs += ["AAAAAAAAAAAA", "AAAAAAAAAAAB", "A", "AB"]   # repeats and very short rows
+    rows = [(i, s) for i, s in enumerate(seqs)]
+    want = set()
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and a and b and 1 - lev(a, b) / max(len(a), len(b)) >= t:
+                want.add((i, j))
+    df = spark.createDataFrame(rows, "id long, sequence string")
+    got = {(r["id"], r["ref_id"]) for r in SIM.similar_pairs_kmer(df, None, t).collect()}
+    assert got == want
+    # frequent grams left out of the index: still exact
+    tight = {(r["id"], r["ref_id"]) for r in SIM.similar_pairs_kmer(df, None, t, max_group=3).collect()}
+    assert tight == want
+    ref = df.filter("id % 2 = 0")
+    want2 = {(i, j) for i, a in rows for j, b in rows if j % 2 == 0 and a and b
+             and 1 - lev(a, b) / max(len(a), len(b)) >= t}
+    got2 = {(r["id"], r["ref_id"]) for r in SIM.similar_pairs_kmer(df, ref, t).collect()}
+    assert got2 == want2
+    got3 = {(r["id"], r["ref_id"]) for r in SIM.similar_pairs_kmer(df, ref, t, max_group=2).collect()}
+    assert got3 == want2
+
+
+def test_kmer_mode_refuses_low_threshold(spark):
+    df = spark.createDataFrame([(0, "ABC")], "id long, sequence string")
+    with pytest.raises(ValueError):
+        SIM.similar_pairs_kmer(df, None, 0.3)
