@@ -16,13 +16,12 @@ from .rank import global_rank, md5_key, ordered_rank
 
 def sample_exact(df: DataFrame, n: int, seed: int = SEED, id_col: str = "id", check: bool = True) -> DataFrame:
     """Exactly ``n`` rows, seeded, without replacement.  ``n`` larger than
-    the table is an error (checked on the bucket-count table, not the rows)."""
-    ranked = global_rank(df, md5_key(seed, id_col), id_col, total="_n")
+    the table is an error (checked with a count before the plan is built)."""
     if check:
-        tot = ranked.select(F.max("_n")).first()[0] or 0
+        tot = df.count()          # one partial-aggregate pass, not the ranking itself
         if n > tot:
             raise ValueError(f"cannot take a sample of {n} from {tot} rows without replacement")
-    return ranked.filter(F.col("rank") <= n).drop("_n")
+    return global_rank(df, md5_key(seed, id_col), id_col).filter(F.col("rank") <= n)
 
 
 def split(df: DataFrame, test: float = TEST_SIZE, seed: int = SEED, id_col: str = "id",
