@@ -55,9 +55,9 @@ def encode(df: DataFrame, vocab: DataFrame, seq: str = "sequence", id_col: str =
     ``n_symbols`` (whole sequence), ``n_tokens`` and ``truncated``.
     """
     keep = max_len - 1
-    n_vocab = vocab.count()
-    if n_vocab <= MAP_LIMIT:
-        pairs = vocab.select("symbol", "token_id").collect()   # bounded by MAP_LIMIT rows
+    # one job both checks the size and fetches a small vocabulary (never more than MAP_LIMIT + 1 rows)
+    pairs = vocab.select("symbol", "token_id").limit(MAP_LIMIT + 1).collect()
+    if len(pairs) <= MAP_LIMIT:
         m = F.create_map(*[x for r in pairs for x in (F.lit(r["symbol"]), F.lit(int(r["token_id"])))]) if pairs \
             else F.create_map().cast("map<string,int>")
         # only the first max_len-1 symbols are ever encoded: slice the text, not a 100k-element array
