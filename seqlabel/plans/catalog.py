@@ -871,6 +871,26 @@ def q_b4k(spark, sf):
     return SIM.similar_pairs_kmer(V.seq_v(spark, sf), None, 0.9).withColumn("identity", r6("identity"))
 
 
+@query("E7_misclassified_any", PV + f"""
+, sc AS (SELECT run, id, targets AS t, {PRED} AS p, {CONF} AS c FROM pred_v)
+SELECT s.run, s.id AS title, l.label, s.t[l.label_idx+1] AS true_label, s.p[l.label_idx+1] AS predicted_label,
+  round(s.c, 6) AS confidence FROM sc s, lab l WHERE s.t[l.label_idx+1] <> s.p[l.label_idx+1]""")
+def q_e7a(spark, sf):
+    return P.misclassified(_pred(spark, sf), label="any").withColumn("confidence", r6("confidence"))
+
+
+@query("F1_bce_loss_batched", PRED_BASE + f"""
+, b AS (SELECT id, (row_number() OVER (ORDER BY md5('{SEED}:1:' || id), id) - 1) // 32 AS batch_id
+  FROM (SELECT vec_id AS id FROM embeddings))
+, per AS (SELECT c.run, b.batch_id, avg(c.bce) AS bl FROM cells2 c JOIN b ON c.id = b.id GROUP BY c.run, b.batch_id)
+SELECT run, round(avg(bl), 6) AS loss FROM per GROUP BY run""")
+def q_f1b(spark, sf):
+    ids = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    batches = S.assign_batches(ids, batch_size=32, epochs=1).select("id", "batch_id")
+    d = _pred(spark, sf).join(batches, "id")
+    return M.bce_loss(d, ["run"], batch="batch_id").select("run", r6("loss").alias("loss"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
