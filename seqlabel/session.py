@@ -34,13 +34,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (local tests) a fresh
-    folder is created and registered, so later jobs reuse it.
+    Read from the session; only when it is unset on a local master (tests) a
+    fresh folder is created and registered, so later jobs reuse it.  On a
+    cluster an unset folder is an error: a machine-local one would not be
+    visible to the other executors.
     """
     d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not visible to other executors
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="seqlabel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
