@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from seqlabel.functions import arrays as fa
 from seqlabel.operators import metrics as M

@@ -1,7 +1,6 @@
 """Encoding, vocabulary, de-duplication and similarity against brute force."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from seqlabel.operators import curate as C
 from seqlabel.operators import encode as E

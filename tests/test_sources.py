@@ -1,7 +1,6 @@
 """Readers and sinks: TSV with a declared schema, fail-fast, partition overwrite, run log."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from seqlabel.operators import curate as C
 from seqlabel.session import fresh_path

@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from seqlabel.operators import splits as S
 from seqlabel.operators.rank import global_rank, md5_key, ordered_rank
