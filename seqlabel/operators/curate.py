@@ -106,20 +106,23 @@ def dedup_exact(df: DataFrame, labels: Sequence[str], seq: str = "sequence", id_
 
     Survivor = smallest id.  ``mode='first'``: the survivor's own labels;
     ``'union'``: a label is 1 if any copy has it (NULL only if no copy is
-    annotated).  Output ``id, n_copies, *labels[, sequence]``.  The text never
-    enters the shuffle; with ``keep_sequence`` it is joined back by id.
+    annotated).  Output ``id, n_copies, *labels[, sequence]``.  Grouping is on
+    the fixed-size key; with ``keep_sequence`` the survivor's text is carried by
+    ``min_by`` in the same aggregation (one text per key per map task).
     """
-    keyed = df.select(id_col, seq_key(seq).alias("_k"), *[F.col(f"`{c}`") for c in labels])
+    keyed = df.select(id_col, seq_key(seq).alias("_k"), *([seq] if keep_sequence else []),
+                      *[F.col(f"`{c}`") for c in labels])
     if mode == "first":
         lab = [F.min_by(F.col(f"`{c}`"), F.col(id_col)).alias(c) for c in labels]
     elif mode == "union":
         lab = [F.max(F.col(f"`{c}`")).alias(c) for c in labels]
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    g = keyed.groupBy("_k").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies"), *lab).drop("_k")
-    if keep_sequence:
-        g = g.join(df.select(id_col, seq), id_col)
-    return g
+    # the survivor's text rides along in the same partial aggregation: each map
+    # task forwards one text per key it saw, instead of a second scan and join
+    text = [F.min_by(seq, id_col).alias(seq)] if keep_sequence else []
+    return keyed.groupBy("_k").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies"), *lab, *text) \
+        .drop("_k")
 
 
 # --------------------------------------------------------------------- B6
