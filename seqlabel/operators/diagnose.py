@@ -112,7 +112,8 @@ def class_balance(df: DataFrame, label: int = 0, targets: str = "targets", label
         .withColumn("label", F.lit(labels[label]))
 
 
-def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, block_rows: int = 2048) -> DataFrame:
+def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, block_rows: int = 2048,
+        fan: int = 32) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded, ties by
     neighbour id): ``(id, nbr, dist, rank)``.
 
@@ -120,7 +121,8 @@ def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, b
     reference block) pair is one ``applyInPandas`` group of at most
     ``2 * block_rows`` rows, where NumPy computes the distances and keeps only
     the k best per query row — no pair is ever emitted.  The B * k survivors of
-    each row are cut to k with a window over that row alone.  Work is
+    each row are merged as a tree (``fan`` block results at a time, k kept at
+    each level), so no window group holds more than ``fan * k`` rows.  Work is
     quadratic in N by nature (exact search); memory per task is
     ``block_rows^2`` distances.
     """
@@ -135,7 +137,8 @@ def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, b
     def top_k(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, rs = pdf[pdf["_q"]], pdf[~pdf["_q"]]
         if qs.empty or rs.empty:
-            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "nbr": np.zeros(0, np.int64),
+                                 "dist": np.zeros(0, np.float64), "_g": np.zeros(0, np.int64)})
         Q = np.stack(qs["v"].to_numpy()).astype(np.float64)
         R = np.stack(rs["v"].to_numpy()).astype(np.float64)
         qid, rid = qs["id"].to_numpy(), rs["id"].to_numpy()
@@ -157,11 +160,19 @@ def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, b
             out_r.extend(rid[cand][order])
             out_d.extend(exact[order])
         return pd.DataFrame({"id": np.asarray(out_q, dtype=np.int64), "nbr": np.asarray(out_r, dtype=np.int64),
-                             "dist": np.asarray(out_d, dtype=np.float64)})
-
-    cand = q.unionByName(r).groupBy("_qb", "_rb").applyInPandas(top_k, "id long, nbr long, dist double")
+                             "dist": np.asarray(out_d, dtype=np.float64),
+                             "_g": np.full(len(out_q), int(pdf["_rb"].iloc[0]), dtype=np.int64)})
+
+    cand = q.unionByName(r).groupBy("_qb", "_rb").applyInPandas(top_k, "id long, nbr long, dist double, _g long")
+    # tree merge of the B*k survivors of each row: no window group exceeds fan*k rows
+    groups = nb
+    while groups > fan:
+        cand = cand.withColumn("_g", F.floor(F.col("_g") / F.lit(fan)))
+        w = Window.partitionBy("id", "_g").orderBy("dist", "nbr")
+        cand = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+        groups = math.ceil(groups / fan)
     w = Window.partitionBy("id").orderBy("dist", "nbr")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cand.drop("_g").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def neighbour_purity(nbrs: DataFrame, classes: DataFrame, id_col: str = "id", cls: str = "class") -> DataFrame:

@@ -75,7 +75,7 @@ def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     pts = rng.normal(size=(90, 4))
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id long, features array<double>")
-    got = DG.knn(df, "features", k=5, block_rows=16).collect()
+    got = DG.knn(df, "features", k=5, block_rows=16, fan=2).collect()     # 6 blocks: a 3-level merge
     by = {}
     for r in got:
         by.setdefault(r["id"], []).append((r["rank"], r["nbr"]))
