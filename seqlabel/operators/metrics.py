@@ -303,8 +303,13 @@ def ensemble_report(preds: DataFrame, labels: Sequence[str] = COMPARTMENTS, key:
 def history(scored: DataFrame, by: Sequence[str] = ("epoch",), split: str = "split",
             labels: Sequence[str] = COMPARTMENTS) -> DataFrame:
     """loss and accuracy per (by, split), pivoted to ``<split>_loss`` / ``<split>_acc``."""
+    return history_from_confusion(confusion(scored, [*by, split], labels), by, split)
+
+
+def history_from_confusion(conf: DataFrame, by: Sequence[str] = ("epoch",), split: str = "split") -> DataFrame:
+    """F14 from an F0 table grouped by (by, split), so one base aggregate can
+    feed the history and other reports of the same epochs."""
     by = list(by)
-    conf = confusion(scored, [*by, split], labels)
     g = conf.groupBy(*by, split).agg(
         _div(F.sum("n_eq_round"), F.sum("n")).alias("acc"),
         _div(F.sum("bce_sum"), F.sum("n")).alias("loss"),

@@ -490,9 +490,10 @@ SELECT epoch, metric, round(value, 6) AS value FROM (
   UNION ALL SELECT epoch, 'f1 ' || label, coalesce(2.0*tp/nullif(2*tp+fp+fn,0),0) FROM f1)""")
 def q_a5(spark, sf):
     d = _pred(spark, sf).join(_split_ids(spark, sf), "id").withColumnRenamed("run", "epoch")
-    h = M.history(d, ["epoch"], "split")
+    conf = M.confusion(d, ["epoch", "split"])          # one base aggregate feeds every metric below
+    h = M.history_from_confusion(conf, ["epoch"], "split")
     best = M.best_so_far(h.select("epoch", "test_acc"), "test_acc").select("epoch", F.col("best").alias("best_acc"))
-    f1 = M.label_report(M.confusion(d.filter("split = 'test'"), ["epoch"]), ["epoch"])
+    f1 = M.label_report(conf.filter("split = 'test'"), ["epoch"])
     f1w = f1.groupBy("epoch").pivot("label", list(COMPARTMENTS)).agg(F.first("f1"))
     f1w = f1w.select("epoch", *[F.col(f"`{c}`").alias(f"f1 {c}") for c in COMPARTMENTS])
     log = K.run_log(h.join(best, "epoch").join(f1w, "epoch"), ["epoch"])
