@@ -479,7 +479,7 @@ def q_a4(spark, sf):
     return back.select(F.col("run").cast("int").alias("run"), "label_idx", "label", "tp", "fp", "fn", "tn")
 
 
-@query("A5_run_log", _HIST_SQL.replace("SELECT c.run AS epoch", "SELECT c.run AS epoch") + """
+@query("A5_run_log", _HIST_SQL + """
 , f1 AS (SELECT c.run AS epoch, c.label, count_if(c.y=1 AND c.yhat=1) AS tp, count_if(c.y=0 AND c.yhat=1) AS fp,
   count_if(c.y=1 AND c.yhat=0) AS fn FROM cells2 c JOIN sp s ON c.id = s.id WHERE s.split = 'test' GROUP BY ALL)
 , b AS (SELECT epoch, greatest(test_acc, coalesce(max(test_acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM hist)
