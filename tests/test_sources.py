@@ -51,3 +51,13 @@ def test_merge_annotation_sources(spark):
     m = {r["key"]: r for r in C.merge_annotations({"source_a": a, "source_b": b}, "key", ["SP", "TM"]).collect()}
     assert m["k1"]["SP"] == 1 and m["k1"]["SP_conflict"] and m["k1"]["sources"] == ["source_a", "source_b"]
     assert m["k2"]["TM"] is None and m["k3"]["TM"] is None and m["k3"]["sources"] == ["source_b"]
+
+
+def test_cluster_conf_sizes_shuffle_to_input():
+    from seqlabel.session import cluster_conf
+
+    big = cluster_conf(100 * 1024 ** 4, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    small = cluster_conf(10 * 1024 ** 2, 64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 128          # never below two waves of cores
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true" and big["spark.ui.enabled"] == "false"
