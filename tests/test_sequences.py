@@ -76,6 +76,8 @@ def test_similar_pairs_brute_force(spark, t):
     for bc in (True, False):
         got = {(r["id"], r["ref_id"]) for r in SIM.similar_pairs(a_df, r_df, t, broadcast=bc).collect()}
         assert got == want
+    jvm = {(r["id"], r["ref_id"]) for r in SIM.similar_pairs(a_df, r_df, t, kernel="builtin").collect()}
+    assert jvm == want
     kept = {r["id"] for r in SIM.exclude_similar(a_df, r_df, t).collect()}
     assert kept == {i for i, _ in tested} - {i for i, _ in want}
 
