@@ -49,8 +49,8 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def id_remainder(modulus: int, doc_id: str = "doc_id") -> Column:
-    """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+    """crc32 of the id's decimal text (null id: empty), modulo ``modulus``."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:
