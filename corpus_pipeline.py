@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlabel.llm import quality, simhash
+from seqlabel.llm import packing, quality, simhash, suffixdedup, toxicity
 from seqlabel.llm.common import saved, table
 
 
@@ -18,14 +18,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filtered(docs, table(spark, sf_dir, "labels"))
 
 
+def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents predicted toxic."""
+    return toxicity.filtered(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near-duplicates."""
     return simhash.deduplicated(docs)
 
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes from each text the long passages of documents with smaller ids;
+    a document that loses all its text stays, empty."""
+    return suffixdedup.cleaned(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the texts that are left."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("toxicity", toxic_filter),
     ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("packing", pack),
 ]
 
 #: The stages tokenize, index bytes and fit models, which SQL can't express;
