@@ -147,7 +147,8 @@ def fit(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float
     level, out = delta / max(1, len(found) * len(RULES)), {}
     for s, rules in found.items():
         for rule, (good, bad) in rules.items():
-            lost, caught = np.cumsum(good[::-1])[::-1][1:], np.cumsum(bad[::-1])[::-1][1:]
+            # a document reaches the strictest cutoffs first
+            lost, caught = np.cumsum(good[::-1])[:-1], np.cumsum(bad[::-1])[:-1]
             k = certified(int(good.sum()), lost.tolist(), alpha / len(RULES), level)
             gain = (caught - lost)[:k]
             if k and gain.max() > 0:
