@@ -18,6 +18,53 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def statistic(name: str) -> str:
+    """DuckDB form of a rule's integer statistic."""
+    return quality.RULES[name][0].replace(" DIV ", " // ")
+
+
+def quality_sql() -> str:
+    """The statistics by regular expressions and windows, the certified cutoffs
+    by the binomial distribution, restated for DuckDB."""
+    rules = " UNION ALL ".join(
+        f"SELECT doc_id, lang, quality, '{r}' AS rule, {statistic(r)} AS v FROM held" for r in quality.RULES)
+    grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, unnest({cuts}) AS cut, unnest(range({len(cuts)})) AS pos" for r, (_, cuts) in quality.RULES.items())
+    alpha = quality.ALPHA / len(quality.RULES)
+    values = " OR ".join(f"(c.rule = '{r}' AND {statistic(r)} >= c.cut)" for r in quality.RULES)
+    return rf"""
+WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+split AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^ 	-
+]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM texts),
+places AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) >= 3),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+stats AS (SELECT s.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
+    FROM split s LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats),
+marked AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id HAVING min(quality) IS NOT NULL),
+held AS (SELECT j.*, quality FROM judged j JOIN marked USING (doc_id) WHERE NOT base_failed),
+vals AS ({rules}),
+grid AS ({grid}),
+strata AS (SELECT count(*) AS n_strata FROM (SELECT DISTINCT coalesce(lang, '') FROM held)),
+tested AS (SELECT lang, g.rule, pos, cut, count(*) FILTER (quality = 1) AS n,
+    count(*) FILTER (quality = 1 AND v >= cut) AS x, count(*) FILTER (quality = 0 AND v >= cut) AS caught
+    FROM vals v JOIN grid g ON v.rule = g.rule GROUP BY lang, g.rule, pos, cut),
+tails AS (SELECT t.*, (n > 0 AND x < n * {alpha!r} AND
+    (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))
+     FROM (SELECT unnest(range(0, CASE WHEN n > 0 AND x < n * {alpha!r} THEN x + 1 ELSE 0 END)) AS i)) <= {quality.DELTA!r} / (n_strata * {len(quality.RULES)})) AS ok
+    FROM tested t, strata),
+sequence AS (SELECT *, bool_and(coalesce(ok, false)) OVER (PARTITION BY lang, rule ORDER BY pos) AS certified FROM tails),
+best AS (SELECT lang, rule, arg_max(cut, (caught - x) * 1000 - pos) AS cut FROM sequence WHERE certified AND caught > x GROUP BY lang, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT EXISTS (SELECT 1 FROM best c WHERE c.lang IS NOT DISTINCT FROM j.lang AND ({values})) AS kept
+FROM judged j"""
+
+
 @query
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compared(table(spark, sf_dir, "documents"))
@@ -68,3 +115,6 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op4_quality"] = quality_sql()
