@@ -133,13 +133,13 @@ def _owned(anchor: np.ndarray, own: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return a, own[first], doc[first], np.repeat(sizes, sizes), doc[other], own[other]
 
 
-def _pages(spark_buckets: int):
+def _pages(spark_buckets: int, limit: int):
     """Slices of the texts as packed rows (bucket, kind, payload)."""
     names = ["bucket", "kind", "payload"]
 
     def flush(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         a, own, doc, kinds, full_doc, full_own = _owned(*map(np.concatenate, zip(*found)))
-        hot = kinds > HOT
+        hot = kinds > limit
         rows = []
 
         def deal(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> None:
@@ -200,10 +200,10 @@ def _shared(group):
     return pa.table(columns, names=["doc_id", "slice", "how"])
 
 
-def marks(docs: DataFrame) -> DataFrame:
+def marks(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, slice, how) of all slices that may match, from (doc_id, __text)."""
     n = buckets(docs.sparkSession)
-    dealt = docs.filter("doc_id IS NOT NULL AND octet_length(__text) >= %d" % SPAN).mapInArrow(_pages(n), "bucket long, kind int, payload binary")
+    dealt = docs.filter("doc_id IS NOT NULL AND octet_length(__text) >= %d" % SPAN).mapInArrow(_pages(n, hot), "bucket long, kind int, payload binary")
     return saved(dealt.groupBy("bucket").applyInArrow(_shared, MARKS), "slices")
 
 
@@ -287,11 +287,11 @@ def _matched(group):
 FOUND = "doc_id long, slice long, mask long"
 
 
-def matches(docs: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, slice, mask): the strings of a slice, by bit, that a smaller
     document has too; -1 for all.  ``docs`` has doc_id and __text."""
     spark = docs.sparkSession
-    known = marks(docs)
+    known = marks(docs, hot)
     near = known.filter(F.col("how") != FULL)
     wanted = near.groupBy("doc_id").agg(F.collect_list("slice").alias("slices"), F.collect_list("how").alias("hows"))
     some, _ = sorted_out(docs, near.select("doc_id"), "doc_id")
@@ -327,11 +327,11 @@ def _remove(body: bytes, own: list[int], masks: list[int], found: tuple[np.ndarr
     return np.frombuffer(body, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = True, hot: int = HOT) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``,
     the bytes left as ``kept``; other columns of these names must not exist."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    found = matches(own)
+    found = matches(own, hot)
     taken = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("slice").alias("__slices"), F.collect_list("mask").alias("__masks"))
     some, rest = sorted_out(docs, found.select(F.col("doc_id").alias(doc_id)), doc_id)
     joined = some.join(taken, F.col(doc_id).cast("long") == F.col("__id"), "left").drop("__id")
