@@ -95,9 +95,10 @@ def restrict_labels(df: DataFrame, labels: Sequence[str], keep: Sequence[str], o
 
 # --------------------------------------------------------------------- B3
 def seq_key(seq: str | Column = "sequence") -> Column:
-    """Fixed-size grouping key of a sequence: sha-256 and length."""
+    """Fixed-size grouping key of a sequence: sha-256 and length; NULL for a
+    missing sequence, which is no sequence and equals none."""
     s = F.col(seq) if isinstance(seq, str) else seq
-    return F.concat_ws(":", F.sha2(s, 256), F.length(s).cast("string"))
+    return F.concat(F.sha2(s, 256), F.lit(":"), F.length(s).cast("string"))
 
 
 def dedup_exact(df: DataFrame, labels: Sequence[str], seq: str = "sequence", id_col: str = "id",
@@ -106,23 +107,27 @@ def dedup_exact(df: DataFrame, labels: Sequence[str], seq: str = "sequence", id_
 
     Survivor = smallest id.  ``mode='first'``: the survivor's own labels;
     ``'union'``: a label is 1 if any copy has it (NULL only if no copy is
-    annotated).  Output ``id, n_copies, *labels[, sequence]``.  Grouping is on
-    the fixed-size key; with ``keep_sequence`` the survivor's text is carried by
-    ``min_by`` in the same aggregation (one text per key per map task).
+    annotated).  Output ``id, n_copies, *labels[, sequence]``.  Rows without a
+    sequence are not copies of each other: each stays, with ``n_copies`` 1.
+    Ids are unique.
+
+    The aggregation holds fixed-width values only (ids, counts, labels), so it
+    hashes and never sorts texts; with ``keep_sequence`` the survivors' texts are
+    fetched by a join on their ids.
     """
-    keyed = df.select(id_col, seq_key(seq).alias("_k"), *([seq] if keep_sequence else []),
-                      *[F.col(f"`{c}`") for c in labels])
+    keyed = df.select(id_col, seq_key(seq).alias("_k"), *[F.col(f"`{c}`") for c in labels]) \
+        .withColumn("_solo", F.when(F.col("_k").isNull(), F.col(id_col)))
     if mode == "first":
-        lab = [F.min_by(F.col(f"`{c}`"), F.col(id_col)).alias(c) for c in labels]
+        # the survivor's labels come with its id: a struct of numbers, compared by the id first
+        lab = [F.min(F.struct(id_col, *[F.col(f"`{c}`") for c in labels])).alias("_first")]
     elif mode == "union":
         lab = [F.max(F.col(f"`{c}`")).alias(c) for c in labels]
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    # the survivor's text rides along in the same partial aggregation: each map
-    # task forwards one text per key it saw, instead of a second scan and join
-    text = [F.min_by(seq, id_col).alias(seq)] if keep_sequence else []
-    return keyed.groupBy("_k").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies"), *lab, *text) \
-        .drop("_k")
+    out = keyed.groupBy("_k", "_solo").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies"), *lab)
+    own = [F.col(f"_first.{c}").alias(c) for c in labels] if mode == "first" else [F.col(f"`{c}`") for c in labels]
+    out = out.select(id_col, "n_copies", *own)
+    return out.join(df.select(id_col, seq), id_col) if keep_sequence else out
 
 
 # --------------------------------------------------------------------- B6

@@ -29,6 +29,12 @@ def _div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def _row_right(y: Column, h: Column) -> Column:
+    """Whether every annotated label of a row is right; NULL when none is."""
+    known = F.exists(y, lambda v: v.isNotNull())
+    return F.when(known, F.forall(F.zip_with(y, h, lambda v, p: v.isNull() | (v == p)), lambda ok: ok))
+
+
 # --------------------------------------------------------------------- F0
 def confusion(df: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str] = COMPARTMENTS,
               logits: str = "logits", targets: str = "targets", threshold: float = THRESHOLD,
@@ -41,7 +47,9 @@ def confusion(df: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str]
     ``n_eq_round`` counts cells whose half-to-even rounded probability equals
     the truth (the elementwise accuracy of the training loop).  When ``pred``
     names a 0/1 array column it is used instead of thresholding the logits
-    (ensembles); then ``bce_sum`` and ``n_eq_round`` are NULL.
+    (ensembles); then ``bce_sum`` and ``n_eq_round`` are NULL.  A row counts in
+    ``n_exact`` when its annotated labels are all right and in ``n_rows`` when it
+    has any annotated label; rows without one say nothing about accuracy.
     """
     by = list(by)
     L = len(labels)
@@ -58,7 +66,7 @@ def confusion(df: DataFrame, by: Sequence[str] = ("run",), labels: Sequence[str]
     base = df.select(*by, y.alias("_y"), yhat.alias("_h"),
                      *( [yrnd.alias("_r"), bce.alias("_b")] if pred is None else []))
     # group-level: rows, and rows with every label right (subset accuracy)
-    aggs = [F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("_y") == F.col("_h")).alias("_exact")]
+    aggs = [F.count(_row_right(F.col("_y"), F.col("_h"))).alias("_rows"), F.count_if(_row_right(F.col("_y"), F.col("_h"))).alias("_exact")]
     for i in range(L):
         yi = F.element_at("_y", i + 1)
         hi = F.element_at("_h", i + 1)
@@ -171,24 +179,32 @@ def cell_accuracy(conf: DataFrame, by: Sequence[str] = ("run",), mode: str = "ro
 # --------------------------------------------------------------------- F3 / F4
 def subset_accuracy(df: DataFrame, by: Sequence[str] = ("run",), pred: str = "pred",
                     targets: str = "targets") -> DataFrame:
-    """share of rows with every label right."""
-    return df.groupBy(*by).agg(F.avg((F.col(pred) == F.col(targets)).cast("double")).alias("subset_accuracy"))
+    """share of rows with every annotated label right; rows without an
+    annotated label are left out."""
+    right = _row_right(F.col(targets), F.col(pred))
+    return df.groupBy(*by).agg(F.avg(right.cast("double")).alias("subset_accuracy"))
 
 
 def sample_metrics(df: DataFrame, by: Sequence[str] = ("run",), pred: str = "pred",
                    targets: str = "targets") -> DataFrame:
     """per-row precision / recall / F1 averaged over rows ("samples" average).
 
-    A row with no true and no predicted label scores 0 (library default)."""
-    both = F.zip_with(pred, targets, lambda h, y: (h * y).cast("bigint"))
-    sm = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint"))
-    tp, npred, ntrue = sm(both), sm(F.col(pred)), sm(F.col(targets))
-    eq = F.zip_with(pred, targets, lambda h, y: (h == y).cast("bigint"))
-    return df.groupBy(*by).agg(
+    Labels that are not annotated (NULL target) are left out of a row, with
+    their predictions; a row without any annotated label is left out of the
+    averages.  A row with no true and no predicted label scores 0 (library
+    default)."""
+    cells = F.filter(F.arrays_zip(F.col(targets).alias("y"), F.col(pred).alias("h")), lambda c: c["y"].isNotNull())
+    count = lambda test: F.size(F.filter("_cells", test)).cast("bigint")
+    rows = df.select(*by, cells.alias("_cells")).filter(F.size("_cells") > 0).select(
+        *by, F.size("_cells").alias("_n"),
+        count(lambda c: (c["y"] == 1) & (c["h"] == 1)).alias("_tp"), count(lambda c: c["h"] == 1).alias("_pred"),
+        count(lambda c: c["y"] == 1).alias("_true"), count(lambda c: c["y"] == c["h"]).alias("_eq"))
+    tp, npred, ntrue = F.col("_tp"), F.col("_pred"), F.col("_true")
+    return rows.groupBy(*by).agg(
         F.avg(_div(tp, npred)).alias("samples_precision"),
         F.avg(_div(tp, ntrue)).alias("samples_recall"),
         F.avg(_div(2 * tp, npred + ntrue)).alias("samples_f1"),
-        F.avg(_div(sm(eq), F.size(targets))).alias("samples_accuracy"),
+        F.avg(_div(F.col("_eq"), F.col("_n"))).alias("samples_accuracy"),
         F.sum(ntrue).alias("support"),
     )
 
@@ -269,9 +285,11 @@ def ensemble(preds: DataFrame, labels: Sequence[str] = COMPARTMENTS, key: str =
                        (predict(probs("logits"), threshold) if mode == "vote" else probs("logits")).alias("_v"))
     g = src.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_runs"),
-        F.min_by("targets", run).alias("targets"),
+        # one number per (run, label) keeps the buffer fixed-width, so the aggregate hashes:
+        # 3 * run + (0, 1 or 2 for not annotated); the least belongs to the lowest run
+        *[F.min(F.col(run).cast("bigint") * 3 + F.coalesce(F.element_at("targets", i + 1), F.lit(2))).alias(f"t{i}") for i in range(L)],
         *[F.avg(F.element_at("_v", i + 1).cast("double")).alias(f"m{i}") for i in range(L)],
-    )
+    ).withColumn("targets", F.array(*[F.nullif(F.pmod(F.col(f"t{i}"), F.lit(3)).cast("int"), F.lit(2)) for i in range(L)]))
     if mode == "vote":
         pred = F.array(*[(F.col(f"m{i}") > 0.5).cast("int") for i in range(L)])
     else:
