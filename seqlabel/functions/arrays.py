@@ -80,24 +80,6 @@ def dot(vec: str | Column, weights: Sequence[float] | Column) -> Column:
     return F.aggregate(F.zip_with(_c(vec), w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def layer_norm(vec: str | Column, eps: float = LN_EPS) -> Column:
-    """``(x - mean) / sqrt(var_pop + eps)`` over one vector (scale 1, shift 0).
-
-    Self-contained column form: the statistics are computed once per row in a
-    single fold, then applied.  Prefer ``with_layer_norm`` on tables: it keeps
-    the two passes (mean, then centred variance) of the reference definition.
-    """
-    v = _c(vec)
-    n = F.size(v).cast("double")
-    stats = F.aggregate(
-        v, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")),
-        lambda acc: F.struct((acc["s"] / n).alias("m"),
-                             F.sqrt(acc["q"] / n - (acc["s"] / n) * (acc["s"] / n) + F.lit(eps)).alias("sd")))
-    return F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(stats, F.size(v)).alias("st")),
-                       lambda e: (e["x"] - e["st"]["m"]) / e["st"]["sd"])
-
-
 def with_layer_norm(df, vec: str, out: str, eps: float = LN_EPS):
     """D2 on a table: mean and centred variance as per-row columns, then the
     elementwise map; each statistic is computed once per row, not per element."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EOS_ID, MAX_LEN, PAD_ID, UNK_ID
 from ..functions.arrays import space_symbols
+from ..session import materialized
 
 MAP_LIMIT = 4_096   # largest vocabulary inlined as a literal map (kept small: it becomes code)
 
@@ -52,7 +53,10 @@ def encode(df: DataFrame, vocab: DataFrame, seq: str = "sequence", id_col: str =
     Symbols -> ids (unknown -> ``unk_id``), end marker appended, cut to
     ``max_len`` *including* the marker (``max_len - 1`` symbols), right-padded
     with ``pad_id``; ``attention_mask`` is 1 on real tokens.  Adds
-    ``n_symbols`` (whole sequence), ``n_tokens`` and ``truncated``.
+    ``n_symbols`` (whole sequence), ``n_tokens`` and ``truncated``.  Rows are
+    encoded one by one, whether or not their ids repeat, and a missing sequence
+    gives NULL ids; both forms of the lookup (a literal map up to ``MAP_LIMIT``
+    symbols, a join beyond) return the same.
     """
     keep = max_len - 1
     # one job both checks the size and fetches a small vocabulary (never more than MAP_LIMIT + 1 rows)
@@ -65,12 +69,16 @@ def encode(df: DataFrame, vocab: DataFrame, seq: str = "sequence", id_col: str =
         ids = F.transform(toks, lambda s: F.coalesce(F.try_element_at(m, s), F.lit(unk_id)))
         enc = df.withColumn("_ids", ids)
     else:
-        toks = df.select(id_col, F.posexplode(symbols(F.substring(F.col(seq), 1, keep))).alias("_p", "symbol"))
+        # rows are told apart by a number of their own: ids may repeat.  It is written
+        # once, so both sides of the join see the same numbers
+        df, columns = materialized(df.withColumn("_row", F.monotonically_increasing_id()), "encode-rows"), df.columns
+        toks = df.select("_row", F.posexplode(symbols(F.substring(F.col(seq), 1, keep))).alias("_p", "symbol"))
         j = toks.join(vocab.select("symbol", "token_id"), "symbol", "left")
-        per = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("token_id", F.lit(unk_id))
+        per = j.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("token_id", F.lit(unk_id))
                                                                           .alias("t")))).alias("_s"))
-        enc = df.join(per.select(id_col, F.transform("_s", lambda s: s["t"]).alias("_ids")), id_col, "left") \
-            .withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+        enc = df.join(per.select("_row", F.transform("_s", lambda s: s["t"]).alias("_ids")), "_row", "left") \
+            .withColumn("_ids", F.when(F.col(seq).isNotNull(), F.coalesce("_ids", F.array().cast("array<int>")))).select(*columns, "_ids")
+        df = df.select(*columns)
     body = F.concat(F.col("_ids"), F.array(F.lit(eos_id)))
     return enc.withColumn("_body", body).select(
         *[c for c in df.columns],

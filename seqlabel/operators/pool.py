@@ -1,9 +1,9 @@
 """Attention pooling over per-position vectors (D2-D7), as table operations.
 
 Input is long: one row per (key, position) with a vector.  Group-level
-statistics (softmax max / sum, pooled vector) are partial aggregations joined
-back on the key, never windows over a whole key, so a key holding a third of
-the rows is still spread over many tasks.  The only ordered step, the
+statistics (softmax max / sum, pooled vector) are partial aggregations brought
+back to the rows by ``join_back``, never windows over a whole key, so a key
+holding a third of the rows is still spread over many tasks.  The only ordered step, the
 Gaussian smoothing along positions, runs in windows over fixed-size chunks of
 a key (with a halo of ``sigma`` rows from each neighbouring chunk).
 """
@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from ..constants import LN_EPS, SMOOTH_SIGMA
 from ..functions.arrays import dot, with_layer_norm
+from ..session import materialized
 from .rank import ordered_rank
 
 CHUNK = 65_536   # positions per smoothing window partition
+SALTS = 16       # parts that a key's rows are dealt to where its statistic can't be broadcast
+BROADCAST_KEYS = 200_000   # keys whose statistics (two numbers each) are broadcast
 
 
 def gaussian_weights(sigma: int) -> list[float]:
@@ -35,6 +38,21 @@ def gaussian_weights(sigma: int) -> list[float]:
     return [x / s for x in raw]
 
 
+def join_back(df: DataFrame, stats: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``df`` with the per-key columns of ``stats`` (one row per key).
+
+    The statistics are written once.  Up to ``BROADCAST_KEYS`` keys they are
+    broadcast and the rows stay where they are; beyond, the rows are dealt over
+    ``salts`` parts of their key and each statistic is copied to all of them, so
+    no task gets more than about a ``salts``-th of a hot key."""
+    stats = materialized(stats, "stats")
+    if stats.count() <= BROADCAST_KEYS:
+        return df.join(F.broadcast(stats), key, how)
+    salted = df.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def gaussian_smooth(df: DataFrame, key: str, order: Sequence[str] | str, value: str, sigma: int = SMOOTH_SIGMA,
                     out: str = "smoothed", dense_pos: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """Gaussian smoothing of ``value`` along ``order`` within each ``key``,
@@ -54,8 +72,7 @@ def gaussian_smooth(df: DataFrame, key: str, order: Sequence[str] | str, value:
     order = [order] if isinstance(order, str) else list(order)
     if dense_pos is None:
         ranked = ordered_rank(df, [key, *order], out="_g")
-        lo = ranked.groupBy(key).agg(F.min("_g").alias("_lo"))
-        base = ranked.join(lo, key).withColumn("_pos", F.col("_g") - F.col("_lo")).drop("_g", "_lo")
+        base = join_back(ranked, ranked.groupBy(key).agg(F.min("_g").alias("_lo")), key).withColumn("_pos", F.col("_g") - F.col("_lo")).drop("_g", "_lo")
     else:
         base = df.withColumn("_pos", F.col(dense_pos).cast("bigint"))
     c = F.lit(chunk)
@@ -86,12 +103,13 @@ def group_softmax(df: DataFrame, key: str, score: str, mask: str | None = None,
     """Softmax of ``score`` within each key; masked rows get weight 0, the
     rest sum to 1; a key with every row masked gets NULL weights.
 
-    Max and sum are partial aggregates joined back on the key."""
+    Max and sum come from two partial aggregates (the sum over rows that already
+    know the max) and return to the rows by ``join_back``."""
     ok = F.col(mask) if mask else F.lit(True)
-    m = df.groupBy(key).agg(F.max(F.when(ok, F.col(score))).alias("_m"))
-    e = df.join(m, key).withColumn("_e", F.when(ok, F.exp(F.col(score) - F.col("_m"))).otherwise(F.lit(0.0)))
+    top = df.groupBy(key).agg(F.max(F.when(ok, F.col(score))).alias("_m"))
+    e = join_back(df, top, key).withColumn("_e", F.when(ok, F.exp(F.col(score) - F.col("_m"))).otherwise(F.lit(0.0)))
     z = e.groupBy(key).agg(F.sum("_e").alias("_z"))
-    return e.join(z, key).withColumn(out, F.when(F.col("_m").isNotNull(), F.col("_e") / F.col("_z"))) \
+    return join_back(e, z, key).withColumn(out, F.when(F.col("_m").isNotNull(), F.col("_e") / F.col("_z"))) \
         .drop("_m", "_e", "_z")
 
 
@@ -101,7 +119,8 @@ def attention_pool(pos_df: DataFrame, q: Sequence[float], key: str = "key", pos:
     -> masked softmax -> weighted sum of the normalised vectors.
 
     Returns ``(pooled, attention)``: ``(key, pooled ARRAY<DOUBLE>)`` and
-    ``(key, pos, attn)``.  The vector sum is MLlib's ``Summarizer`` (weighted
+    ``(key, pos, attn)``.  Masked positions have attention 0; a key with every
+    position masked has NULL attention and a NULL pooled vector.  The vector sum is MLlib's ``Summarizer`` (weighted
     mean, weights sum to 1), a partial aggregate over any vector width.
     """
     base = with_layer_norm(pos_df, vec, "_ln", eps).withColumn("_s", dot("_ln", q))
@@ -111,19 +130,18 @@ def attention_pool(pos_df: DataFrame, q: Sequence[float], key: str = "key", pos:
     att = group_softmax(sm, key, "_ss", None, out="attn")
     attention = att.select(key, pos, "attn")
     if mask:
-        dead = base.filter(~F.col(mask)).select(key, pos, F.lit(0.0).alias("attn"))
-        attention = attention.unionByName(dead)
+        some = pos_df.groupBy(key).agg(F.max(F.col(mask).cast("int")).alias("_some"))
+        dead = join_back(pos_df.filter(~F.col(mask)).select(key, pos), some, key)
+        attention = attention.unionByName(dead.select(key, pos, F.when(F.col("_some") == 1, F.lit(0.0)).alias("attn")))
     pooled = att.groupBy(key).agg(
         Summarizer.metrics("mean").summary(array_to_vector(F.col("_ln")), F.col("attn")).alias("_m")
     ).select(key, vector_to_array(F.col("_m.mean")).alias("pooled"))
+    if mask:
+        gone = pos_df.groupBy(key).agg(F.max(F.col(mask).cast("int")).alias("_some")).filter("_some = 0")
+        pooled = pooled.unionByName(gone.select(key, F.lit(None).cast("array<double>").alias("pooled")))
     return pooled, attention
 
 
-def layer_norm_table(df: DataFrame, vec: str = "vec", eps: float = LN_EPS, out: str = "normed") -> DataFrame:
-    """D2 as a table step."""
-    return with_layer_norm(df, vec, out, eps)
-
-
 def attention_scores(df: DataFrame, q: Sequence[float], vec: str = "vec", eps: float = LN_EPS,
                      out: str = "score") -> DataFrame:
     """D3: ``dot(layer_norm(vec), q)`` per position."""

@@ -71,7 +71,7 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str = "id", order: str | None
     """Compare two runs' predictions for one label, matched on ``key``.
 
     The right side keeps its *first* row per key by ``order`` (e.g. the row's
-    position in its source; with unique keys no order is needed), reduced with
+    position in its source; without an order a repeated key fails the query), reduced with
     ``min_by`` — a partial aggregate, so a hot key is combined map-side.
     Duplicate keys on the left all stay.  Outcome: ``both_right``,
     ``both_wrong``, ``fixed`` (a wrong, b right) or ``broken`` (a right, b
@@ -88,8 +88,11 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str = "id", order: str | None
     if only_errors:
         left = left.filter(F.col("true_label") != F.col("pred"))
         right = right.filter(F.col("true_label") != F.col("pred"))
-    o = order or key
-    first = right.groupBy(key).agg(F.min_by(F.struct("pred", "confidence"), F.col(o)).alias("_r"))
+    first = right.groupBy(key).agg(F.min_by(F.struct("pred", "confidence"), F.col(order or key)).alias("_r"), F.count(F.lit(1)).alias("_k"))
+    if order is None:      # without an order no row of a repeated key is the first
+        first = first.withColumn("_r", F.when(F.col("_k") == 1, F.col("_r")).otherwise(
+            F.raise_error(F.lit("compare_runs needs an order: a key repeats on the right")).cast(first.schema["_r"].dataType)))
+    first = first.drop("_k")
     j = left.join(first, key, "inner")
     y, p1, p2 = F.col("true_label"), F.col("pred"), F.col("_r.pred")
     outcome = (F.when((p1 == y) & (p2 == y), "both_right").when((p1 != y) & (p2 != y), "both_wrong")

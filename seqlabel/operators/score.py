@@ -86,11 +86,5 @@ def fit_multilabel(df: DataFrame, features: str = "features", targets: str = "ta
     return spark.createDataFrame(rows, schema)
 
 
-def apply_fitted(df: DataFrame, fitted_rows: list, vec: str = "features", out: str = "logits") -> DataFrame:
-    """D7 with weights from ``fit_multilabel`` (collected: one row per label)."""
-    rows = sorted(fitted_rows, key=lambda r: r["label_idx"])
-    return linear_head(df, vec, [r["weights"] for r in rows], [r["bias"] for r in rows], out)
-
-
-__all__ = ["rule_head", "numpy_linear_loader", "score", "linear_head", "fit_multilabel", "apply_fitted",
+__all__ = ["rule_head", "numpy_linear_loader", "score", "linear_head", "fit_multilabel",
            "vector_to_array"]

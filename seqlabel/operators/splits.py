@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import KFOLDS, SEED, TEST_SIZE, VAL_SHARE
+from ..session import materialized
 from .rank import global_rank, md5_key, ordered_rank
 
 
@@ -50,13 +51,13 @@ def kfold(df: DataFrame, k: int = KFOLDS, val: float = VAL_SHARE, seed: int = SE
     """
     ranked = global_rank(df.select(id_col), md5_key(seed, id_col), id_col, total="_n")
     home = ranked.select(id_col, F.floor((F.col("rank") - 1) * k / F.col("_n")).cast("int").alias("_home"))
-    per = home.select(id_col, "_home", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    rest = per.filter(F.col("_home") != F.col("fold"))
+    home = materialized(home, "folds")      # ids and folds: ranked once for both branches
+    tests = home.select(F.col("_home").alias("fold"), id_col, F.lit("test").alias("role"))
+    rest = home.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter("fold <> _home")
     inner = global_rank(rest, md5_key(seed, id_col, "fold"), id_col, partition_by=["fold"],
                         partition_card=k, total="_m", out="_r2")
     n_val = F.ceil(F.lit(float(val)) * F.col("_m"))
     trainval = inner.select("fold", id_col, F.when(F.col("_r2") <= n_val, F.lit("val")).otherwise(F.lit("train")).alias("role"))
-    tests = per.filter(F.col("_home") == F.col("fold")).select("fold", id_col, F.lit("test").alias("role"))
     return tests.unionByName(trainval)
 
 
@@ -68,15 +69,19 @@ def assign_batches(df: DataFrame, batch_size: int, epochs: int = 1, seed: int =
     otherwise the evaluation order (by id).  ``batch_id = floor((rank-1)/B)``;
     the last batch may be short.  Output ``epoch, <id>, rank, batch_id``.
     """
-    ep = df.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
     if shuffle:
+        ep = df.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
         ranked = global_rank(ep, md5_key(seed, id_col, "epoch"), id_col, partition_by=["epoch"], partition_card=epochs)
     else:
-        ranked = ordered_rank(df.select(id_col), [id_col]).join(ep, id_col)
+        # every epoch has the same order: rank once, then repeat the rows
+        ranked = ordered_rank(df.select(id_col), [id_col]).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     return ranked.select("epoch", id_col, "rank",
                          F.floor((F.col("rank") - 1) / F.lit(batch_size)).cast("bigint").alias("batch_id"))
 
 
-def shard_write(batches: DataFrame, path: str, by: tuple[str, ...] = ("epoch", "batch_id")) -> None:
-    """C4: write batches as one folder per shard (rerun-safe overwrite)."""
-    batches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def shard_write(batches: DataFrame, path: str, shards: int = 16) -> None:
+    """C4: write batches in ``shards`` folders per epoch (rerun-safe overwrite).
+    A batch lies whole in shard ``batch_id % shards`` and keeps its ``batch_id``
+    as a column, so the number of folders does not grow with the data."""
+    cut = batches.withColumn("shard", (F.col("batch_id") % shards).cast("int"))
+    cut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "shard").parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "seqlabel") -> SparkSession:
@@ -60,6 +60,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder and read back.  Runs a job
+    while the plan is built; what reads it later neither recomputes nor depends
+    on the executors that made it.  The folder goes when the session ends."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    _remove_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Settings for a cluster run sized to the input.
 
