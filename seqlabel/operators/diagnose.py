@@ -11,14 +11,16 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COMPARTMENTS, HIST_BINS
 from ..functions.arrays import confidence, dominant, probs
+from ..session import materialized
 
 
 def hist_edges(bins: int = HIST_BINS) -> list[float]:
@@ -112,60 +114,143 @@ def class_balance(df: DataFrame, label: int = 0, targets: str = "targets", label
         .withColumn("label", F.lit(labels[label]))
 
 
+def _check_finite(v: Column) -> Column:
+    """The vector; a missing or non-finite value fails the query."""
+    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(~bad, v).otherwise(F.raise_error(F.lit("knn needs finite vectors")).cast("array<double>"))
+
+
+def _vectors(column) -> np.ndarray:
+    """An Arrow list column as a matrix."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return np.asarray(flat.flatten()).reshape(len(flat), -1)
+
+
+def _nearest(Q: np.ndarray, qid: np.ndarray, R: np.ndarray, rid: np.ndarray, k: int):
+    """(row of Q, row of R, distance) of each query's k nearest, self excluded,
+    ties by neighbour id.  The expansion of the squared distance chooses the
+    candidates; everything within its rounding error of the k-th is measured
+    again exactly."""
+    rows, cols, dists = [], [], []
+    rr = (R * R).sum(1)
+    for at in range(0, len(Q), 512):
+        q, ids = Q[at:at + 512], qid[at:at + 512]
+        qq = (q * q).sum(1)
+        d2 = qq[:, None] + rr[None, :] - 2.0 * (q @ R.T)
+        slack = 8 * np.finfo(float).eps * (R.shape[1] + 4) * (qq[:, None] + rr[None, :])
+        own = ids[:, None] == rid[None, :]
+        d2[own] = np.inf
+        if k < d2.shape[1]:
+            cut = np.partition(d2 + slack, k - 1, axis=1)[:, k - 1:k]
+            near = (d2 - slack <= cut) & ~own
+        else:
+            near = ~own
+        i, j = np.nonzero(near)
+        exact = np.sqrt(((R[j] - q[i]) ** 2).sum(1))
+        order = np.lexsort((rid[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i)
+        keep = np.arange(len(i)) - first < k
+        rows.append(i[keep] + at)
+        cols.append(j[keep])
+        dists.append(exact[keep])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
+
+
 def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, block_rows: int = 2048,
-        fan: int = 32) -> DataFrame:
+        pivots: int = 256, fan: int = 32) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded, ties by
     neighbour id): ``(id, nbr, dist, rank)``.
 
-    Rows are hashed into B = ceil(N / block_rows) blocks; every (query block,
-    reference block) pair is one ``applyInPandas`` group of at most
-    ``2 * block_rows`` rows, where NumPy computes the distances and keeps only
-    the k best per query row — no pair is ever emitted.  The B * k survivors of
-    each row are merged as a tree (``fan`` block results at a time, k kept at
-    each level), so no window group holds more than ``fan * k`` rows.  Work is
-    quadratic in N by nature (exact search); memory per task is
-    ``block_rows^2`` distances.
+    Vectors are centred (subtracting large offsets loses digits).  Every row
+    joins the cell of its nearest pivot (at most ``pivots`` rows, those with the
+    least hash of their id); cells are cut into blocks of about ``block_rows``.
+    A row's k-th distance within its own block bounds how far its neighbours can
+    be, and by the triangle inequality only cells with ``d(row, pivot) - radius``
+    within that bound can hold one: rows are sent to the blocks of those cells
+    alone.  Each (block, part of the queries) is one group, where NumPy keeps the
+    k best per query, so no pair is ever emitted; the survivors of a row are
+    merged as a tree of ``fan`` blocks at a time.  Well-separated data visits few
+    cells; data without clusters visits them all, which is the cost of an exact
+    search.  Missing or non-finite vectors fail the query; ids are unique.
     """
-    n = df.count()
-    nb = max(1, math.ceil(n / block_rows))
-    base = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"),
-                     F.pmod(F.xxhash64(id_col), F.lit(nb)).alias("_blk"))
-    blocks = F.sequence(F.lit(0), F.lit(nb - 1))
-    q = base.select("id", "v", F.col("_blk").alias("_qb"), F.explode(blocks).alias("_rb"), F.lit(True).alias("_q"))
-    r = base.select("id", "v", F.explode(blocks).alias("_qb"), F.col("_blk").alias("_rb"), F.lit(False).alias("_q"))
-
-    def top_k(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, rs = pdf[pdf["_q"]], pdf[~pdf["_q"]]
-        if qs.empty or rs.empty:
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "nbr": np.zeros(0, np.int64),
-                                 "dist": np.zeros(0, np.float64), "_g": np.zeros(0, np.int64)})
-        Q = np.stack(qs["v"].to_numpy()).astype(np.float64)
-        R = np.stack(rs["v"].to_numpy()).astype(np.float64)
-        qid, rid = qs["id"].to_numpy(), rs["id"].to_numpy()
-        d2 = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * Q @ R.T
-        d = np.sqrt(np.maximum(d2, 0.0))
-        # exact distances for the candidates kept (the expansion above can lose digits)
-        d[qid[:, None] == rid[None, :]] = np.inf
-        kk = min(k, R.shape[0])
-        out_q, out_r, out_d = [], [], []
-        for i in range(Q.shape[0]):
-            row = d[i]
-            cand = np.argpartition(row, kk - 1)[:kk] if kk < row.shape[0] else np.arange(row.shape[0])
-            thr = row[cand].max()
-            cand = np.nonzero(row <= thr)[0]          # keep ties at the cut
-            cand = cand[np.isfinite(row[cand])]
-            exact = np.sqrt(((R[cand] - Q[i]) ** 2).sum(1))
-            order = np.lexsort((rid[cand], exact))[:kk]
-            out_q.extend([qid[i]] * len(order))
-            out_r.extend(rid[cand][order])
-            out_d.extend(exact[order])
-        return pd.DataFrame({"id": np.asarray(out_q, dtype=np.int64), "nbr": np.asarray(out_r, dtype=np.int64),
-                             "dist": np.asarray(out_d, dtype=np.float64),
-                             "_g": np.full(len(out_q), int(pdf["_rb"].iloc[0]), dtype=np.int64)})
-
-    cand = q.unionByName(r).groupBy("_qb", "_rb").applyInPandas(top_k, "id long, nbr long, dist double, _g long")
-    # tree merge of the B*k survivors of each row: no window group exceeds fan*k rows
-    groups = nb
+    spark = df.sparkSession
+    base = df.select(F.col(id_col).cast("long").alias("id"), _check_finite(F.col(vec).cast("array<double>")).alias("v"))
+    mean = base.agg(Summarizer.mean(array_to_vector("v")).alias("m")).first()["m"]
+    if mean is None:
+        return spark.createDataFrame([], "id long, nbr long, dist double, rank int")
+    mean = mean.toArray()
+    centres = base.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow().column("v")
+    P = _vectors(centres) - mean
+    pp = (P * P).sum(1)
+
+    def place(batches):
+        for b in batches:
+            v = _vectors(b.column(1)) - mean if b.num_rows else np.zeros((0, len(mean)))
+            cell = ((v * v).sum(1)[:, None] + pp[None, :] - 2 * (v @ P.T)).argmin(1) if len(v) else np.zeros(0, np.int64)
+            near = np.sqrt(((v - P[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(near)],
+                                             names=["id", "v", "cell", "near"])
+
+    placed = materialized(base.mapInArrow(place, "id long, v array<double>, cell int, near double"), "knn-cells")
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("r")).orderBy("cell").collect()
+    blocks = {c["cell"]: max(1, math.ceil(c["n"] / block_rows)) for c in cells}
+    first, total = {}, 0
+    for c in sorted(blocks):
+        first[c], total = total, total + blocks[c]
+    radius = np.full(len(P), -np.inf)
+    for c in cells:
+        radius[c["cell"]] = c["r"]
+    where = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, first[c])])
+    count = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, blocks[c])])
+    dealt = placed.withColumn("block", F.element_at(where, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(count, F.col("cell"))).cast("int"))
+
+    def bound(group):
+        v, ids = _vectors(group.column("v")), np.asarray(group.column("id"))
+        reach = np.full(len(ids), np.inf)
+        if len(ids) > k:
+            i, _, d = _nearest(v, ids, v, ids, k)
+            reach = np.zeros(len(ids))
+            np.maximum.at(reach, i, d)
+        return pa.table([group.column("id"), group.column("v"), pa.array(reach)], names=["id", "v", "reach"])
+
+    reached = materialized(dealt.select("id", "v", "block").groupBy("block").applyInArrow(bound, "id long, v array<double>, reach double"), "knn-reach")
+    of_cell = [list(range(first[c], first[c] + blocks[c])) if c in first else [] for c in range(len(P))]
+
+    def send(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, reach = _vectors(b.column(1)), np.asarray(b.column(2))
+            for at in range(0, len(v), 256):
+                x = v[at:at + 256]
+                d = np.sqrt(((x[:, None, :] - P[None, :, :]) ** 2).sum(2))
+                go = d * (1 - 1e-9) - radius[None, :] <= reach[at:at + 256, None] * (1 + 1e-9) + 1e-9 * d
+                targets = [[t for c in np.flatnonzero(row) for t in of_cell[c]] for row in go]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), b.column(1).slice(at, 256), pa.array(targets, pa.list_(pa.int32()))],
+                                                 names=["id", "v", "blocks"])
+
+    n = sum(c["n"] for c in cells)
+    queries = max(1, math.ceil(n / (16 * block_rows)))     # parts of the queries, so that a group stays bounded
+    q = reached.mapInArrow(send, "id long, v array<double>, blocks array<int>").select(
+        "id", "v", F.explode("blocks").alias("block"), F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(queries)).cast("int").alias("part"), F.lit(True).alias("q"))
+    r = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))).alias("part"), F.lit(False).alias("q"))
+
+    def top_k(group):
+        is_q = np.asarray(group.column("q"))
+        ids, v = np.asarray(group.column("id")), _vectors(group.column("v"))
+        qid, rid = ids[is_q], ids[~is_q]
+        if len(qid) and len(rid):
+            i, j, d = _nearest(v[is_q], qid, v[~is_q], rid, k)
+        else:
+            i = j = np.zeros(0, np.int64)
+            d = np.zeros(0)
+        block = np.full(len(i), group.column("block")[0].as_py(), np.int64)
+        return pa.table([pa.array(qid[i]), pa.array(rid[j]), pa.array(d), pa.array(block)], names=["id", "nbr", "dist", "_g"])
+
+    cand = q.unionByName(r).groupBy("block", "part").applyInArrow(top_k, "id long, nbr long, dist double, _g long")
+    # tree merge of each row's survivors: no window group exceeds fan * k rows
+    groups = total
     while groups > fan:
         cand = cand.withColumn("_g", F.floor(F.col("_g") / F.lit(fan)))
         w = Window.partitionBy("id", "_g").orderBy("dist", "nbr")

@@ -446,6 +446,16 @@ def q_a1(spark, sf):
     return R.read_sequences(spark, f"{sf}/documents.parquet", fmt="parquet", schema=DOC_SCHEMA)
 
 
+@query("A1_read_tsv", SV + "SELECT id, sequence, lang, source, quality, toxic FROM seq_v")
+def q_a1t(spark, sf):
+    """Whole sequences written as tab-separated text and read with a declared schema."""
+    from ..session import fresh_path
+    path = fresh_path(spark, "sequences-tsv")
+    cols = V.seq_v(spark, sf).select("id", "sequence", "lang", "source", "quality", "toxic")
+    cols.write.option("sep", "\t").option("header", "true").csv(path)
+    return R.read_sequences(spark, path, fmt="tsv", schema="id bigint, sequence string, lang string, source string, quality int, toxic int")
+
+
 @query("A2_project", SV + "SELECT id, en, de, es, fr, quality, toxic, sequence AS combined FROM seq_v")
 def q_a2(spark, sf):
     return C.project(V.seq_v(spark, sf), "sequence", drop=["lang", "source"])
@@ -479,7 +489,9 @@ def q_a4(spark, sf):
     return back.select(F.col("run").cast("int").alias("run"), "label_idx", "label", "tp", "fp", "fn", "tn")
 
 
-@query("A5_run_log", _HIST_SQL + """
+@query("A5_run_log", _HIST_SQL + f"""
+, conf AS (SELECT p.run AS epoch, s.split, avg({CONF.replace('logits', 'p.logits')}) AS c FROM pred_v p JOIN sp s ON p.id = s.id GROUP BY ALL)
+, ranges AS (SELECT c.run AS epoch, c.label, min(c.p) AS lo, max(c.p) AS hi FROM cells2 c JOIN sp s ON c.id = s.id WHERE s.split = 'test' GROUP BY ALL)""" + """
 , f1 AS (SELECT c.run AS epoch, c.label, count_if(c.y=1 AND c.yhat=1) AS tp, count_if(c.y=0 AND c.yhat=1) AS fp,
   count_if(c.y=1 AND c.yhat=0) AS fn FROM cells2 c JOIN sp s ON c.id = s.id WHERE s.split = 'test' GROUP BY ALL)
 , b AS (SELECT epoch, greatest(test_acc, coalesce(max(test_acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM hist)
@@ -487,16 +499,25 @@ SELECT epoch, metric, round(value, 6) AS value FROM (
   SELECT epoch, 'train_acc' AS metric, train_acc AS value FROM hist UNION ALL SELECT epoch, 'train_loss', train_loss FROM hist
   UNION ALL SELECT epoch, 'test_acc', test_acc FROM hist UNION ALL SELECT epoch, 'test_loss', test_loss FROM hist
   UNION ALL SELECT epoch, 'best_acc', best FROM b
-  UNION ALL SELECT epoch, 'f1 ' || label, coalesce(2.0*tp/nullif(2*tp+fp+fn,0),0) FROM f1)""")
+  UNION ALL SELECT epoch, 'f1 ' || label, coalesce(2.0*tp/nullif(2*tp+fp+fn,0),0) FROM f1
+  UNION ALL SELECT epoch, split || '_confidence', c FROM conf
+  UNION ALL SELECT epoch, 'range_min ' || label, lo FROM ranges UNION ALL SELECT epoch, 'range_max ' || label, hi FROM ranges)""")
 def q_a5(spark, sf):
+    from ..session import materialized
     d = _pred(spark, sf).join(_split_ids(spark, sf), "id").withColumnRenamed("run", "epoch")
-    conf = M.confusion(d, ["epoch", "split"])          # one base aggregate feeds every metric below
+    d = materialized(d.select("epoch", "split", "logits", "targets"), "scored")     # ranked and scored once
+    conf = materialized(M.confusion(d, ["epoch", "split"]), "confusion")            # epochs x splits x labels
     h = M.history_from_confusion(conf, ["epoch"], "split")
     best = M.best_so_far(h.select("epoch", "test_acc"), "test_acc").select("epoch", F.col("best").alias("best_acc"))
-    f1 = M.label_report(conf.filter("split = 'test'"), ["epoch"])
-    f1w = f1.groupBy("epoch").pivot("label", list(COMPARTMENTS)).agg(F.first("f1"))
-    f1w = f1w.select("epoch", *[F.col(f"`{c}`").alias(f"f1 {c}") for c in COMPARTMENTS])
-    log = K.run_log(h.join(best, "epoch").join(f1w, "epoch"), ["epoch"])
+    f1 = M.label_report(conf.filter("split = 'test'"), ["epoch"]).select("epoch", F.concat(F.lit("f1 "), "label").alias("metric"), F.col("f1").alias("value"))
+    sure = P.mean_confidence(d, ["epoch", "split"]).select("epoch", F.concat("split", F.lit("_confidence")).alias("metric"), F.col("mean_confidence").alias("value"))
+    r = DG.prob_histograms(d.filter("split = 'test'"), ["epoch"])
+    ranges = r.select("epoch", F.inline(F.array(
+        F.struct(F.concat(F.lit("range_min "), "label").alias("metric"), F.col("confidence_range_min").alias("value")),
+        F.struct(F.concat(F.lit("range_max "), "label").alias("metric"), F.col("confidence_range_max").alias("value")))))
+    log = K.run_log(h.join(best, "epoch"), ["epoch"])
+    for part in (f1, sure, ranges):
+        log = log.unionByName(part)
     return log.withColumn("value", r6("value"))
 
 
@@ -514,18 +535,19 @@ def q_b2(spark, sf):
 
 
 _B3_KEY = "sha256(sequence) || ':' || length(sequence)"
+_B3_GROUP = f"{_B3_KEY}, CASE WHEN sequence IS NULL THEN id END"
 
 
 @query("B3_dedup_first", SV + f"""SELECT min(id) AS id, count(*) AS n_copies,
-  {", ".join(f"arg_min_null({c}, id) AS {c}" for c in SEQ_LABELS)}, arg_min(sequence, id) AS sequence
-FROM seq_v GROUP BY {_B3_KEY}""")
+  {", ".join(f"arg_min_null({c}, id) AS {c}" for c in SEQ_LABELS)}, any_value(sequence) AS sequence
+FROM seq_v GROUP BY {_B3_GROUP}""")
 def q_b3f(spark, sf):
     return C.dedup_exact(V.seq_v(spark, sf), SEQ_LABELS, mode="first")
 
 
 @query("B3_dedup_union", SV + f"""SELECT min(id) AS id, count(*) AS n_copies,
-  {", ".join(f"max({c}) AS {c}" for c in SEQ_LABELS)}, arg_min(sequence, id) AS sequence
-FROM seq_v GROUP BY {_B3_KEY}""")
+  {", ".join(f"max({c}) AS {c}" for c in SEQ_LABELS)}, any_value(sequence) AS sequence
+FROM seq_v GROUP BY {_B3_GROUP}""")
 def q_b3u(spark, sf):
     return C.dedup_exact(V.seq_v(spark, sf), SEQ_LABELS, mode="union")
 
@@ -651,7 +673,7 @@ PSV = O.with_views(O.POS_V)
 
 @query("D2_layer_norm", PSV + f"SELECT key, pos, list_transform({_LN}, lambda x: round(x, 6)) AS normed FROM pos_v")
 def q_d2(spark, sf):
-    return PL.layer_norm_table(V.pos_v(spark, sf)).select("key", "pos", r6a("normed").alias("normed"))
+    return fa.with_layer_norm(V.pos_v(spark, sf), "vec", "normed").select("key", "pos", r6a("normed").alias("normed"))
 
 
 _D3 = PSV + f", ln AS (SELECT key, pos, mask, {_LN} AS ln FROM pos_v), sc AS (SELECT key, pos, mask, ln, {_DOT_Q} AS s FROM ln)\n"
@@ -723,12 +745,20 @@ def q_d1(spark, sf):
     return scored.select("id", r6a("logits").alias("logits"))
 
 
-@query("D8_fit_multilabel")
+@query("D8_fit_multilabel", PV + """, y AS (SELECT l.label_idx, l.label, p.targets[l.label_idx+1] AS y FROM pred_v p, lab l WHERE run = 0)
+SELECT label_idx, label, 64 AS n_weights, round(avg(y), 4) AS mean_probability, true AS loss_not_increased FROM y GROUP BY label_idx, label""")
 def q_d8(spark, sf):
-    d = _pred(spark, sf).filter("run = 0").select(F.col("logits").alias("features"), "targets")
-    fit = SC.fit_multilabel(d, max_iter=20)
-    return fit.select("label_idx", "label", F.size("weights").alias("n_weights"),
-                      (F.col("objective_last") <= F.col("objective_first")).alias("loss_not_increased"))
+    """Fit on the whole embedding.  At the optimum the loss has no slope in the
+    bias, so each label's mean fitted probability is its share of positives."""
+    d = _embedded(spark, sf)
+    fit = SC.fit_multilabel(d, reg=0.01, max_iter=200)
+    # ten rows of weights beside every row of the table
+    fitted = F.broadcast(fit.agg(F.array_sort(F.collect_list(F.struct("label_idx", "weights", "bias"))).alias("fit")))
+    z = F.transform("fit", lambda f: F.aggregate(F.zip_with("features", f["weights"], lambda x, w: x * w), f["bias"], lambda a, x: a + x))
+    p = d.join(fitted).select(F.posexplode(z).alias("label_idx", "z")).groupBy("label_idx").agg(
+        F.round(F.avg(1 / (1 + F.exp(-F.col("z")))), 4).alias("mean_probability"))
+    return fit.join(p, "label_idx").select("label_idx", "label", F.size("weights").alias("n_weights"), "mean_probability",
+                                           (F.col("objective_last") <= F.col("objective_first")).alias("loss_not_increased"))
 
 
 # ======================================================================= G1-G6
@@ -776,36 +806,65 @@ def q_g2n(spark, sf):
     return c.select("run", F.col("i").cast("bigint").alias("i"), r6("x").alias("x"), r6("y").alias("y"))
 
 
-def _features_run0(spark, sf):
-    return _pred(spark, sf).filter("run = 0").select("id", F.col("logits").alias("features"), "targets")
+def _embedded(spark, sf):
+    """id, the whole embedding as features, targets."""
+    e = V.table(spark, sf, "embeddings")
+    t = V.pred_from_embeddings(e, runs=1).select("id", "targets")
+    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features")).join(t, "id")
+
+
+def _headed(spark, sf):
+    """id, ten logits of the whole embedding (D7) as features, targets."""
+    return SC.linear_head(_embedded(spark, sf).withColumnRenamed("features", "x"), "x", HEAD_W, HEAD_B, out="features").drop("x")
 
 
 @query("G3_pca_points")
 def q_g3(spark, sf):
-    pts, _ = DG.pca_points(_features_run0(spark, sf))
+    pts, _ = DG.pca_points(_headed(spark, sf))
     return pts.select("id", r6("x").alias("x"), r6("y").alias("y"), "class")
 
 
 @query("G3_explained_variance")
 def q_g3v(spark, sf):
-    _, ev = DG.pca_points(_features_run0(spark, sf))
+    _, ev = DG.pca_points(_headed(spark, sf))
     return ev.withColumn("explained_variance", r6("explained_variance"))
 
 
+@query("G3_pca_moments", f"""WITH e AS (SELECT id, {_HEAD} AS v FROM ({_EMB})),
+f AS (SELECT j, var_samp(v[j + 1]) AS s FROM e, range(10) r(j) GROUP BY j)
+SELECT (SELECT count(*) FROM e) AS n, 0.0 AS mean_x, 0.0 AS mean_y, 0.0 AS cov_xy, round(sum(s), 4) AS total_variance,
+  true AS variances_descend, true AS variances_explained FROM f""")
+def q_g3m(spark, sf):
+    """All ten components: centred, uncorrelated, with descending variances that
+    add up to the features' and are in the shares that the model reports."""
+    pts, ev = DG.pca_points(_headed(spark, sf), k=10)
+    names = [f"pc{j + 1}" for j in range(10)]
+    share = ev.agg(F.array_sort(F.collect_list(F.struct("component", "explained_variance"))).alias("e"))
+    zero = lambda c: F.abs(F.round(c, 4))
+    m = pts.agg(F.count(F.lit(1)).alias("n"), zero(F.avg("pc1")).alias("mean_x"), zero(F.avg("pc2")).alias("mean_y"),
+                zero(F.covar_samp("pc1", "pc2")).alias("cov_xy"), F.array(*[F.var_samp(c) for c in names]).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return m.join(F.broadcast(share)).select(
+        "n", "mean_x", "mean_y", "cov_xy", F.round(total, 4).alias("total_variance"),
+        F.forall(F.sequence(F.lit(1), F.lit(9)), lambda i: F.element_at("v", i) >= F.element_at("v", i + 1) - 1e-9).alias("variances_descend"),
+        F.forall(F.sequence(F.lit(1), F.lit(10)), lambda i: F.abs(F.element_at("v", i) / total - F.element_at("e", i)["explained_variance"]) < 1e-6)
+        .alias("variances_explained"))
+
+
 @query("G4_class_balance", PV + f"SELECT targets[1] AS value, count(*) AS n, '{COMPARTMENTS[0]}' AS label FROM pred_v WHERE run = 0 GROUP BY 1")
 def q_g4(spark, sf):
-    return DG.class_balance(_pred(spark, sf).filter("run = 0"), 0)
+    return DG.class_balance(_embedded(spark, sf), 0)
 
 
-_G5 = PV + """, f AS (SELECT id, logits AS v, targets FROM pred_v WHERE run = 0),
-d AS (SELECT a.id, b.id AS nbr, sqrt(list_sum(list_transform(range(10), lambda j: pow(a.v[j+1] - b.v[j+1], 2)))) AS dist
+_G5 = PV + f""", f AS (SELECT e.id, e.x AS v, targets FROM ({_EMB}) e JOIN pred_v p ON e.id = p.id WHERE run = 0),
+d AS (SELECT a.id, b.id AS nbr, sqrt(list_sum(list_transform(range(64), lambda j: pow(a.v[j+1] - b.v[j+1], 2)))) AS dist
   FROM f a JOIN f b ON a.id <> b.id),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d) WHERE rank <= 30)
 """
 
 
 def _knn(spark, sf):
-    return DG.knn(_features_run0(spark, sf), "features", k=30, block_rows=128)
+    return DG.knn(_embedded(spark, sf), "features", k=30)
 
 
 @query("G5_knn", _G5 + "SELECT id, nbr, round(dist, 6) AS dist, rank FROM nn")
@@ -819,26 +878,79 @@ per AS (SELECT nn.id, a.c, avg(coalesce((a.c = b.c)::INT, 0)) AS s FROM nn JOIN
   LEFT JOIN cls b ON nn.nbr = b.id WHERE a.c IS NOT NULL GROUP BY nn.id, a.c)
 SELECT c AS class, round(avg(s), 6) AS purity, count(*) AS n FROM per GROUP BY c""")
 def q_g6(spark, sf):
-    classes = _features_run0(spark, sf).select("id", fa.dominant("targets", COMPARTMENTS).alias("class"))
+    classes = _embedded(spark, sf).select("id", fa.dominant("targets", COMPARTMENTS).alias("class"))
     pur = DG.neighbour_purity(_knn(spark, sf), classes)
     return pur.withColumn("purity", r6("purity"))
 
 
+_HISTS = ["positive_hist", "negative_hist"]
+
+
+@query("A4_write_csv", _G1)
+def q_a4c(spark, sf):
+    """A result table with array columns through CSV and back."""
+    from ..session import fresh_path
+    h = q_g1(spark, sf)
+    path = fresh_path(spark, "histograms-csv")
+    K.write_table(h, path, fmt="csv")
+    schema = ", ".join(f"{f.name} {'string' if f.name in _HISTS else f.dataType.simpleString()}" for f in h.schema.fields)
+    back = spark.read.schema(schema).option("header", "true").option("escape", '"').option("mode", "FAILFAST").csv(path)
+    return back.withColumns({c: F.from_json(c, "array<bigint>") for c in _HISTS})
+
+
+@query("A5_append_log", PRED_BASE + """
+SELECT run AS epoch, label AS metric, round(avg(bce), 6) AS value FROM cells2 GROUP BY run, label""")
+def q_a5a(spark, sf):
+    """Epochs appended one after the other, one of them twice."""
+    from ..session import fresh_path
+    c = M.confusion(_pred(spark, sf), ["run"]).select(F.col("run").alias("epoch"), F.col("label").alias("metric"), r6(F.col("bce_sum") / F.col("n")).alias("value"))
+    path = fresh_path(spark, "run-log")
+    for epochs in ("epoch < 2", "epoch >= 2", "epoch = 1"):
+        K.append_log(c.filter(epochs), path)
+    return spark.read.parquet(path).select(F.col("epoch").cast("int").alias("epoch"), "metric", "value")
+
+
+@query("C4_shard_write", O.with_views(O.SEQ_V) + """, e AS (SELECT unnest([1, 2]) AS epoch),
+r AS (SELECT epoch, id, row_number() OVER (PARTITION BY epoch ORDER BY md5('""" + str(SEED) + """:' || epoch || ':' || id), id) AS rank FROM seq_v, e)
+SELECT epoch, id, rank, (rank - 1) // 32 AS batch_id, ((rank - 1) // 32 % 16)::INT AS shard FROM r""")
+def q_c4s(spark, sf):
+    from ..session import fresh_path
+    path = fresh_path(spark, "batches")
+    S.shard_write(S.assign_batches(V.seq_v(spark, sf).select("id"), batch_size=32, epochs=2), path)
+    return spark.read.parquet(path).select("epoch", "id", "rank", "batch_id", "shard")
+
+
+@query("E8_compare_errors_by_title", PV + f"""
+, sc AS (SELECT run, id, 'title ' || (id // 3) AS title, targets[1] AS t, {PRED}[1] AS p, {CONF} AS c FROM pred_v)
+, wrong AS (SELECT * FROM sc WHERE t <> p)
+, b AS (SELECT title, arg_min(p, id) AS p, arg_min(c, id) AS c FROM wrong WHERE run = 1 GROUP BY title)
+SELECT a.title, a.t AS true_label, a.p AS predicted_label_a, b.p AS predicted_label_b, round(a.c, 6) AS confidence_a, round(b.c, 6) AS confidence_b,
+  a.p = b.p AS same, CASE WHEN a.p = a.t AND b.p = a.t THEN 'both_right' WHEN a.p <> a.t AND b.p <> a.t THEN 'both_wrong'
+    WHEN b.p = a.t THEN 'fixed' ELSE 'broken' END AS outcome
+FROM wrong a JOIN b ON a.title = b.title WHERE a.run = 0""")
+def q_e8t(spark, sf):
+    """Wrong rows only, matched by titles that repeat: duplicates on the left
+    stay, the right side gives its first row."""
+    p = _pred(spark, sf).withColumn("title", F.concat(F.lit("title "), F.floor(F.col("id") / 3)))
+    c = P.compare_runs(p.filter("run = 0"), p.filter("run = 1"), key="title", order="id", label=0, only_errors=True)
+    return c.withColumn("confidence_a", r6("confidence_a")).withColumn("confidence_b", r6("confidence_b"))
+
+
 # ======================================================================= H1-H3
 def _stream_pred(spark, sf):
-    return V.pred_from_embeddings(V.embeddings_stream(spark, sf), runs=1)
+    return V.pred_from_embeddings(V.embeddings_files(spark, sf))
 
 
 @query("H1_running_metrics", PRED_BASE + """
 SELECT run, label_idx, label, count_if(y=1 AND yhat=1) AS tp, count_if(y=0 AND yhat=1) AS fp,
   count_if(y=1 AND yhat=0) AS fn, count_if(y=0 AND yhat=0) AS tn, count(y) AS n,
   round(sum(bce) / count(y), 6) AS loss, round(count_if(y = yrnd) / count(y), 6) AS accuracy
-FROM cells2 WHERE run = 0 GROUP BY run, label_idx, label""")
+FROM cells2 GROUP BY run, label_idx, label""")
 def q_h1(spark, sf):
     from ..session import fresh_path
     out, ck = fresh_path(spark, "h1-out"), fresh_path(spark, "h1-ckpt")
     ST.run_to_table(ST.running_metrics(_stream_pred(spark, sf), ["run"]), out, ck)
-    t = spark.read.parquet(out)
+    t = ST.latest(spark, out)
     return t.select("run", F.col("label_idx").cast("int").alias("label_idx"), "label", "tp", "fp", "fn", "tn", "n",
                     r6(F.col("bce_sum") / F.col("n")).alias("loss"), r6(F.col("n_eq_round") / F.col("n")).alias("accuracy"))
 
@@ -854,21 +966,44 @@ def q_h2(spark, sf):
 
 
 @query("H3_batch_log", PRED_BASE + """
-SELECT 0::BIGINT AS batch_id, count_if(label_idx = 0) AS n, round(sum(bce) / count(y), 6) AS loss,
-  round(count_if(y = yrnd) / count(y), 6) AS acc FROM cells2 WHERE run = 0""")
+SELECT 4 AS batches, count_if(label_idx = 0) AS n, round(sum(bce) / count(y), 6) AS loss,
+  round(count_if(y = yrnd) / count(y), 6) AS acc FROM cells2""")
 def q_h3(spark, sf):
+    """One log row per micro-batch (four files); their means weighted by rows are
+    the loss and accuracy of the whole table."""
     from ..session import fresh_path
     out, ck = fresh_path(spark, "h3-out"), fresh_path(spark, "h3-ckpt")
     ST.batch_log(_stream_pred(spark, sf), out, ck)
     t = spark.read.parquet(out)
-    return t.select(F.col("batch_id").cast("bigint").alias("batch_id"), "n", r6("loss").alias("loss"), r6("acc").alias("acc"))
+    return t.agg(F.count_distinct("batch_id").cast("int").alias("batches"), F.sum("n").alias("n"),
+                 r6(F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"), r6(F.sum(F.col("acc") * F.col("n")) / F.sum("n")).alias("acc"))
+
+
+_URLS = """WITH t AS (SELECT page_id AS id, upper(regexp_replace(url, '[^A-Za-z]', '', 'g')) AS sequence FROM pages)
+"""
+
 
+def _urls(spark, sf):
+    t = V.table(spark, sf, "pages")
+    return t.select(F.col("page_id").alias("id"), V.letters(F.col("url")).alias("sequence"))
 
-@query("B4_near_copies_kmer")
+
+@query("B4_near_copies_kmer", _URLS + """, pairs AS (SELECT a.id, b.id AS ref_id, levenshtein(a.sequence, b.sequence) AS distance,
+    greatest(length(a.sequence), length(b.sequence)) AS L
+  FROM t a JOIN t b ON a.id < b.id AND least(length(a.sequence), length(b.sequence)) >= 0.8 * greatest(length(a.sequence), length(b.sequence)) - 1e-9
+  WHERE length(a.sequence) > 0 AND length(b.sequence) > 0)
+SELECT id, ref_id, distance, round(1 - distance / L, 6) AS identity FROM pairs WHERE 1 - distance / L >= 0.8 - 1e-9""")
 def q_b4k(spark, sf):
-    """Near copies within the whole documents at identity >= 0.9 (k-mer mode,
-    self-join, each pair once).  No SQL: the all-pairs check on whole texts is
-    too slow for DuckDB; tests compare this mode with brute force instead."""
+    """Near copies among the letters of all page addresses at identity >= 0.8
+    (k-mer mode, self-join, each pair once)."""
+    return SIM.similar_pairs_kmer(_urls(spark, sf), None, 0.8).withColumn("identity", r6("identity"))
+
+
+@query("B4_near_copies_documents")
+def q_b4kd(spark, sf):
+    """Near copies within the whole documents at identity >= 0.9 (k-mer mode).
+    No SQL: the all-pairs check on whole texts is too slow for DuckDB; tests
+    compare the mode with brute force."""
     return SIM.similar_pairs_kmer(V.seq_v(spark, sf), None, 0.9).withColumn("identity", r6("identity"))
 
 
@@ -892,6 +1027,33 @@ def q_f1b(spark, sf):
     return M.bce_loss(d, ["run"], batch="batch_id").select("run", r6("loss").alias("loss"))
 
 
+_ANN = SV + """, n AS (SELECT id, [quality, toxic] AS y, [en, (length(sequence) % 2)::INT] AS h FROM seq_v),
+c AS (SELECT id, unnest(y) AS y, unnest(h) AS h FROM n),
+r AS (SELECT id, count(*) AS n, count_if(y = 1 AND h = 1) AS tp, count_if(h = 1) AS np, count_if(y = 1) AS nt, count_if(y = h) AS eq
+  FROM c WHERE y IS NOT NULL GROUP BY id)
+"""
+
+
+def _annotated(spark, sf):
+    """Labels that most documents lack, against two made-up predictions."""
+    d = V.seq_v(spark, sf)
+    return d.select(F.lit(0).alias("run"), "id", F.array("quality", "toxic").alias("targets"),
+                    F.array(F.col("en"), (F.length("sequence") % 2).cast("int")).alias("pred"))
+
+
+@query("F3_subset_accuracy_annotated", _ANN + "SELECT 0 AS run, round(avg((eq = n)::INT), 6) AS subset_accuracy FROM r")
+def q_f3n(spark, sf):
+    return M.subset_accuracy(_annotated(spark, sf)).withColumn("subset_accuracy", r6("subset_accuracy"))
+
+
+@query("F4_sample_metrics_annotated", _ANN + """SELECT 0 AS run, round(avg(coalesce(tp / nullif(np, 0), 0)), 6) AS samples_precision,
+  round(avg(coalesce(tp / nullif(nt, 0), 0)), 6) AS samples_recall, round(avg(coalesce(2 * tp / nullif(np + nt, 0), 0)), 6) AS samples_f1,
+  round(avg(eq / n), 6) AS samples_accuracy, sum(nt)::BIGINT AS support FROM r""")
+def q_f4n(spark, sf):
+    m = M.sample_metrics(_annotated(spark, sf))
+    return m.select("run", *[r6(c).alias(c) for c in m.columns if c not in ("run", "support")], "support")
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

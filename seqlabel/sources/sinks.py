@@ -15,13 +15,17 @@ def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), fmt: st
     With ``partition`` (e.g. run, split) only the partitions present in ``df``
     are replaced (dynamic partition overwrite), so re-running one run or one
     epoch is idempotent and leaves the others alone.  ``fmt='csv'`` writes a
-    header row.
+    header row; CSV has no arrays, so array columns become JSON text
+    (``[1,2,3]``), which ``from_json`` reads back.
     """
+    if fmt == "csv":
+        arrays = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+        df = df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in arrays})
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition:
         w = w.partitionBy(*partition)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        w.option("header", "true").option("escape", '"').csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import NUM_RUNS
+from ..session import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,9 +106,15 @@ def series_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMBEDDINGS_SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
 
-def embeddings_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+def embeddings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as a file stream (the table's own file, picked by glob)."""
     r = spark.readStream.schema(EMBEDDINGS_SCHEMA).option("pathGlobFilter", "embeddings.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(sf_dir)
+
+
+def embeddings_files(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
+    """``embeddings`` as a stream of ``files`` files, one per micro-batch."""
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    path = fresh_path(spark, "embeddings-files")
+    e.repartition(files).write.parquet(path)
+    return spark.readStream.schema(EMBEDDINGS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import COMPARTMENTS, THRESHOLD
@@ -44,16 +44,25 @@ def running_metrics(stream: DataFrame, by: Sequence[str] = ("run",), labels: Seq
 
 
 def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Drive an aggregating stream to completion; each micro-batch's result
-    replaces the table (the complete result is small: groups x labels)."""
+    """Drive an aggregating stream to completion.  Each micro-batch writes the
+    whole (small: groups x labels) result as a version of its own, so a reader
+    never meets a half-replaced table; a replayed batch rewrites its version.
+    Read with ``latest``."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     q = stream_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table that ``run_to_table`` keeps."""
+    t = spark.read.parquet(path)
+    newest = t.agg(F.max("version")).first()[0]
+    return t.filter(F.col("version") == F.lit(newest)).drop("version")
+
+
 def score_stream(stream: DataFrame, inputs: str, model_loader: Callable, n_out: int, dim: int, out: str,
                  checkpoint: str, keep: Sequence[str] = ("id",), batch_size: int = 256) -> None:
     """H2: score every arriving row once: parquet sink + checkpoint,

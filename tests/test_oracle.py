@@ -31,11 +31,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql_or_is_declared_rows_only():
-    rows_only = {"D8_fit_multilabel", "G3_pca_points", "G3_explained_variance", "B4_near_copies_kmer"}
-    assert set(entry.queries()) - set(entry.oracle_sql()) == rows_only
+    rows_only = {"G3_pca_points", "G3_explained_variance", "B4_near_copies_documents"}
+    own = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
+    assert own - set(entry.oracle_sql()) == rows_only
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op")))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     a = rows_of(df.columns, [tuple(r) for r in df.collect()])
