@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id") -> DataFrame:
     """The documents whose doc_id is the smallest of their component, with their
-    own columns; rows that repeat that doc_id leave one, rows without a doc_id
-    stay."""
+    own columns.  Rows of one doc_id are one document and stay or go together;
+    rows without a doc_id stay."""
     first = near_duplicates(docs, shingle, radius, doc_id=doc_id).filter("component_id = doc_id").select(
         F.col("component_id").alias(keep := fresh_name(docs, "__first"))).distinct()
     out = docs.join(first, F.col(doc_id) == F.col(keep), "left").filter(F.col(keep).isNotNull() | F.col(doc_id).isNull()).drop(keep)
