@@ -3,7 +3,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 from helpers import SF, awkward, clashing, frame
 
 from seqlabel.llm import lm as L
@@ -34,15 +33,12 @@ def brute(rows, least=2):
     return out
 
 
-def agree(got, want, exact=True):
+def agree(got, want):
     key = lambda r: repr((r[0], r[2], round(r[5], 6)))
     got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9, atol=1e-9)
-    if exact:
-        assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=1e-9, atol=1e-9)
-    else:
-        assert np.mean(np.isclose([r[6] for r in got], [r[6] for r in want], rtol=1e-6)) > 0.5
+    assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=1e-9, atol=1e-9)
 
 
 def test_filter_holds_rounded_counts():
@@ -74,14 +70,18 @@ def test_awkward_rows(spark, monkeypatch):
     agree(L.scored(frame(spark, none)).collect(), brute([r[:2] for r in none])) if none else None
 
 
-def test_size_bound_raises_the_least_count(spark):
+def test_size_bound_raises_the_least_count(spark, monkeypatch):
+    monkeypatch.setattr(L, "BITS_EACH", 400)
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     small = L.PAGES * 64
     own = docs.select("doc_id", (L.id_remainder(7) == 2).alias("held"), docs["text"].alias("__text"))
-    made = L.pair_filter(L.saved(own.mapInArrow(L._number, L.NUMBERED), "t"), small // 64)
+    made = L.pair_filter(L.saved(own.mapInArrow(L._number, L.NUMBERED), "t"), small)
     assert len(made.bits) * 8 <= small and made.least > 2
-    agree(L.scored(docs, max_bits=small).collect(), brute(rows, made.least), exact=False)
+    # pages of 64 bits have a few false positives; most texts meet none
+    got = {r["doc_id"]: r["score"] for r in L.scored(docs, max_bits=small).collect()}
+    want = {r[0]: r[6] for r in brute(rows, made.least)}
+    assert np.mean([np.isclose(got[i], want[i], rtol=1e-9) for i in want]) > 0.8
 
 
 def test_held_out_beats_the_unigram(spark):
