@@ -112,22 +112,18 @@ def dedup_exact(df: DataFrame, labels: Sequence[str], seq: str = "sequence", id_
     Ids are unique.
 
     The aggregation holds fixed-width values only (ids, counts, labels), so it
-    hashes and never sorts texts; with ``keep_sequence`` the survivors' texts are
-    fetched by a join on their ids.
+    hashes and never sorts texts; the survivors' own labels and (with
+    ``keep_sequence``) texts are fetched by a join on their ids.
     """
     keyed = df.select(id_col, seq_key(seq).alias("_k"), *[F.col(f"`{c}`") for c in labels]) \
         .withColumn("_solo", F.when(F.col("_k").isNull(), F.col(id_col)))
-    if mode == "first":
-        # the survivor's labels come with its id: a struct of numbers, compared by the id first
-        lab = [F.min(F.struct(id_col, *[F.col(f"`{c}`") for c in labels])).alias("_first")]
-    elif mode == "union":
-        lab = [F.max(F.col(f"`{c}`")).alias(c) for c in labels]
-    else:
+    if mode not in ("first", "union"):
         raise ValueError(f"unknown mode {mode!r}")
-    out = keyed.groupBy("_k", "_solo").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies"), *lab)
-    own = [F.col(f"_first.{c}").alias(c) for c in labels] if mode == "first" else [F.col(f"`{c}`") for c in labels]
-    out = out.select(id_col, "n_copies", *own)
-    return out.join(df.select(id_col, seq), id_col) if keep_sequence else out
+    own = labels if mode == "first" else []
+    lab = [F.max(F.col(f"`{c}`")).alias(c) for c in labels if c not in own]
+    out = keyed.groupBy("_k", "_solo").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies"), *lab).drop("_k", "_solo")
+    fetch = [*own, *([seq] if keep_sequence else [])]
+    return out.join(df.select(id_col, *[F.col(f"`{c}`") for c in fetch]), id_col) if fetch else out
 
 
 # --------------------------------------------------------------------- B6
