@@ -752,10 +752,9 @@ def q_d8(spark, sf):
     bias, so each label's mean fitted probability is its share of positives."""
     d = _embedded(spark, sf)
     fit = SC.fit_multilabel(d, reg=0.01, max_iter=200)
-    # ten rows of weights beside every row of the table
-    fitted = F.broadcast(fit.agg(F.array_sort(F.collect_list(F.struct("label_idx", "weights", "bias"))).alias("fit")))
-    z = F.transform("fit", lambda f: F.aggregate(F.zip_with("features", f["weights"], lambda x, w: x * w), f["bias"], lambda a, x: a + x))
-    p = d.join(fitted).select(F.posexplode(z).alias("label_idx", "z")).groupBy("label_idx").agg(
+    rows = fit.orderBy("label_idx").collect()     # one row per label
+    z = SC.linear_head(d, "features", [r["weights"] for r in rows], [r["bias"] for r in rows], out="z")
+    p = z.select(F.posexplode("z").alias("label_idx", "z")).groupBy("label_idx").agg(
         F.round(F.avg(1 / (1 + F.exp(-F.col("z")))), 4).alias("mean_probability"))
     return fit.join(p, "label_idx").select("label_idx", "label", F.size("weights").alias("n_weights"), "mean_probability",
                                            (F.col("objective_last") <= F.col("objective_first")).alias("loss_not_increased"))
@@ -839,15 +838,15 @@ def q_g3m(spark, sf):
     add up to the features' and are in the shares that the model reports."""
     pts, ev = DG.pca_points(_headed(spark, sf), k=10)
     names = [f"pc{j + 1}" for j in range(10)]
-    share = ev.agg(F.array_sort(F.collect_list(F.struct("component", "explained_variance"))).alias("e"))
+    shares = F.array(*[F.lit(r["explained_variance"]) for r in ev.orderBy("component").collect()])
     zero = lambda c: F.abs(F.round(c, 4))
     m = pts.agg(F.count(F.lit(1)).alias("n"), zero(F.avg("pc1")).alias("mean_x"), zero(F.avg("pc2")).alias("mean_y"),
                 zero(F.covar_samp("pc1", "pc2")).alias("cov_xy"), F.array(*[F.var_samp(c) for c in names]).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return m.join(F.broadcast(share)).select(
+    return m.select(
         "n", "mean_x", "mean_y", "cov_xy", F.round(total, 4).alias("total_variance"),
         F.forall(F.sequence(F.lit(1), F.lit(9)), lambda i: F.element_at("v", i) >= F.element_at("v", i + 1) - 1e-9).alias("variances_descend"),
-        F.forall(F.sequence(F.lit(1), F.lit(10)), lambda i: F.abs(F.element_at("v", i) / total - F.element_at("e", i)["explained_variance"]) < 1e-6)
+        F.forall(F.sequence(F.lit(1), F.lit(10)), lambda i: F.abs(F.element_at("v", i) / total - F.element_at(shares, i)) < 1e-6)
         .alias("variances_explained"))
 
 
