@@ -15,8 +15,8 @@ class (at most some 19,000 for capacity 4096, whatever the data) are packed
 together first-fit, longest first.
 
 Ids come from the public tokenizer.  It splits at white space before anything
-else, so the parts between spaces are encoded once each and kept in a bounded
-cache per worker.
+else, so the parts between spaces are encoded once each and kept in bounded
+caches per worker.
 
 Defined cases: null and empty texts have the end token alone; repeated rows are
 packed each; empty tables give no rows.
@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -41,29 +42,111 @@ CAPACITY = 4096
 END = 2
 CACHE = 400_000
 CHUNK = 4 << 20
+#: ASCII punctuation but the apostrophe, which begins endings of its own.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Kept:
+    """A bounded map that keeps what was asked for lately: when the young half is
+    full it becomes the old half, and what is still used moves back."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The distinct keys that aren't held; the others are made young."""
+        young, old = self.young, self.old
+        new = []
+        for k in dict.fromkeys(keys):
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    new.append(k)
+        return new
+
+    def add(self, items: Iterable[tuple[str, bytes]]) -> None:
+        self.young.update(items)
+
+    def turn(self) -> None:
+        """To be called between batches."""
+        if len(self.young) > self.size // 2:
+            self.old, self.young = self.young, {}
 
 
 class Ids:
-    """Token ids (little-endian 32-bit) of whole texts."""
+    """Token ids (little-endian 32-bit) of whole texts by the public tokenizer.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    A part between spaces that is letters within ASCII punctuation has the ids of
+    its punctuation and its letters in turn, since the tokenizer's pattern cuts
+    there.  Lower-cased letters in composed form need no normalisation; they are
+    encoded many at a time and told apart by their ends, which the vocabulary
+    marks.  Any other part goes through the tokenizer as it is."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache, self.known, self.rest = Kept(CACHE), Kept(CACHE), Kept(CACHE)
+
+    def runs(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-cased runs of letters in composed form."""
+        out = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):  # letters that the pattern doesn't take for one run
+                out += self.whole(part)
+                continue
+            body, stops = ids.tobytes(), stops.tolist()
+            out += [body[i:j] for i, j in zip([0, *stops], stops)]
+        return out
+
+    def whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn(self, parts: list[str]) -> None:
+        before, cores, after = [], [], []
+        for p in parts:
+            core = p.strip(PUNCTUATION)
+            low = core.lower()
+            # lower() knows final sigmas, the tokenizer doesn't; special tokens stay whole
+            if low.isalpha() and (low.isascii() or "\u03a3" not in core and is_normalized("NFC", low)) and "<|" not in p:
+                at = p.index(core)
+                before.append(p[:at])
+                cores.append(low)
+                after.append(p[at + len(core) :])
+            else:
+                before.append(p)
+                cores.append("")
+                after.append("")
+        known = self.known
+        new = [x for x in known.missing(cores) if x]
+        known.add([("", b"")])
+        known.add(zip(new, self.runs(new)))
+        rest = self.rest.missing(before + after)
+        self.rest.add(zip(rest, self.whole(rest)))
+        ids, other = known.young.__getitem__, self.rest.young.__getitem__
+        self.cache.add(zip(parts, map(b"".join, zip(map(other, before), map(ids, cores), map(other, after)))))
+        known.turn()
+        self.rest.turn()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        cache = self.cache
-        new = dict.fromkeys(p for ps in cut for p in ps if p not in cache)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = dict.fromkeys(p for ps in cut for p in ps)
-        made = self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)
-        cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, made))
-        return [b"".join(map(cache.__getitem__, ps)) for ps in cut]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(self.cache.missing(p for ps in cut for p in ps))
+        young = self.cache.young
+        out = [b"".join(map(young.__getitem__, ps)) for ps in cut]
+        self.cache.turn()
+        return out
 
 
 @lru_cache(maxsize=2)
