@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import fresh_path, shared_dir
+from ..session import materialized
 
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -30,14 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage,
     so that a lost executor costs one read and no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Sets the checkpoint folder from the session (see ``session.shared_dir``)."""
-    shared_dir(spark)
+    return materialized(df, name)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
