@@ -109,7 +109,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixdedup.deduplicated(docs, keep=False).drop("text")
+    return suffixdedup.deduplicated(docs).drop("text")
 
 
 @query

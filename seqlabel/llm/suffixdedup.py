@@ -209,26 +209,15 @@ def marks(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def sorted_out(docs: DataFrame, ids: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """(rows that may have one of the ids, the other rows).  The bitmap has one
-    place per hash of an id and always the same size."""
+    place per hash of an id; its pages, never more than ``BITMAP`` bits, are
+    broadcast."""
     place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(BITMAP))
-    pages = (ids.select(place.alias("p")).groupBy((F.col("p") / PAGE).cast("int").alias("page"))
-             .agg(F.bitmap_construct_agg((F.col("p") % PAGE)).alias("bits")).collect())
-    bits = np.zeros(BITMAP // 8, np.uint8)
-    for r in pages:
-        bits[r["page"] * (PAGE // 8) : (r["page"] + 1) * (PAGE // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    name = fresh_name(docs, "__place")
-
-    def side(want: bool) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = batch.column(batch.num_columns - 1).to_numpy()
-                hit = (shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-                yield batch.filter(pa.array(hit == want)).select(range(batch.num_columns - 1))
-
-        return docs.withColumn(name, place).mapInArrow(run, docs.schema)
-
-    return side(True), side(False)
+    page, bits, at = (fresh_name(docs, c) for c in ("__page", "__bits", "__at"))
+    pages = saved(ids.select(place.alias("p")).groupBy((F.col("p") / PAGE).cast("int").alias(page))
+                  .agg(F.bitmap_construct_agg(F.col("p") % PAGE).alias(bits)), "bitmap")
+    found = docs.withColumns({page: (place / PAGE).cast("int"), at: (place % PAGE).cast("int")}).join(F.broadcast(pages), page, "left")
+    hit = F.coalesce(F.expr(f"shiftright(conv(hex(substring(`{bits}`, shiftright(`{at}`, 3) + 1, 1)), 16, 10)::int, `{at}` & 7) & 1") == 1, F.lit(False))
+    return found.filter(hit).select(*docs.columns), found.filter(~hit).select(*docs.columns)
 
 
 def _bodies(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple]:
@@ -327,15 +316,16 @@ def _remove(body: bytes, own: list[int], masks: list[int], found: tuple[np.ndarr
     return np.frombuffer(body, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = True, hot: int = HOT) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``,
-    the bytes left as ``kept``; other columns of these names must not exist."""
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str | None = None, hot: int = HOT) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``
+    "bytes" or "text", the bytes left as ``kept``: as they are, or as text
+    without the bytes of characters that were cut apart.  Other columns of these
+    names must not exist."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     found = matches(own, hot)
     taken = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("slice").alias("__slices"), F.collect_list("mask").alias("__masks"))
     some, rest = sorted_out(docs, found.select(F.col("doc_id").alias(doc_id)), doc_id)
     joined = some.join(taken, F.col(doc_id).cast("long") == F.col("__id"), "left").drop("__id")
-    clean = rest.withColumns({"__slices": F.lit(None).cast("array<bigint>"), "__masks": F.lit(None).cast("array<bigint>")})
 
     def apply(texts: pa.Array, slices: pa.Array, masks: pa.Array) -> list[pa.Array]:
         bodies, out = bytes_of(texts), []
@@ -345,28 +335,26 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         mine = {i: (lo[a:b], count[a:b], hashes[a:b].view(np.int64)) for i, a, b in zip(some, bounds, bounds[1:])}
         for i, body in enumerate(bodies):
             left, gone, runs = _remove(body, slices[i].as_py(), masks[i].as_py(), mine[i]) if i in mine and len(mine[i][0]) else (body, 0, 0)
-            out.append((len(body), gone, runs, hashlib.sha256(left).hexdigest(), left))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if keep else 4]
+            out.append((len(body), gone, runs, hashlib.sha256(left).hexdigest(), left if keep == "bytes" else left.decode("utf-8", "ignore")))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary() if keep == "bytes" else pa.string()][: 5 if keep else 4]
         return [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
-    fields += [T.StructField("kept", T.BinaryType())] if keep else []
-    return append(joined.unionByName(clean), [text, "__slices", "__masks"], apply, fields).drop("__slices", "__masks")
+    fields += [T.StructField("kept", T.BinaryType() if keep == "bytes" else T.StringType())] if keep else []
+    done = append(joined, [text, "__slices", "__masks"], apply, fields).drop("__slices", "__masks")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    clean = {"n_bytes": F.octet_length(whole).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"),
+             "kept_sha256": F.sha2(whole.cast("binary"), 256)}
+    clean |= {"kept": whole.cast("binary") if keep == "bytes" else whole} if keep else {}
+    return done.unionByName(rest.withColumns(clean))
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents with the bytes left as their texts (bytes of a character
-    that was cut apart go too) and n_chars to match, other columns as they were.
-    Null texts stay null."""
+    """The documents with what is left as their texts and n_chars to match, other
+    columns as they were.  Null texts stay null."""
     own = {c: fresh_name(docs, "__own_" + c) for c in docs.columns if c.lower() in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-    out = deduplicated(docs.withColumnsRenamed(own), own.get(doc_id, doc_id))
-
-    def read(kept: pa.Array) -> list[pa.Array]:
-        return [pa.array([(x or b"").decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())]
-
-    name = fresh_name(out, "__kept_text")
-    out = append(out, ["kept"], read, [T.StructField(name, T.StringType())])
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(name)))
+    out = deduplicated(docs.withColumnsRenamed(own), own.get(doc_id, doc_id), keep="text")
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     back = {v: k for k, v in own.items()}
