@@ -176,11 +176,12 @@ def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, b
     """
     spark = df.sparkSession
     base = df.select(F.col(id_col).cast("long").alias("id"), _check_finite(F.col(vec).cast("array<double>")).alias("v"))
-    mean = base.agg(Summarizer.mean(array_to_vector("v")).alias("m")).first()["m"]
-    if mean is None:
+    size = base.agg(Summarizer.mean(array_to_vector("v")).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    if not size["n"]:
         return spark.createDataFrame([], "id long, nbr long, dist double, rank int")
-    mean = mean.toArray()
-    centres = base.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow().column("v")
+    mean = size["m"].toArray()
+    # cells of about a block, so that a row's own block can bound its k-th distance
+    centres = base.orderBy(F.xxhash64("id"), "id").limit(min(pivots, math.ceil(size["n"] / block_rows))).select("v").toArrow().column("v")
     P = _vectors(centres) - mean
     pp = (P * P).sum(1)
 
