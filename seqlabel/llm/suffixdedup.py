@@ -17,8 +17,9 @@ holds the corpus:
 3. Each document takes back the places found and removes what they cover.
 
 An anchor with more than ``HOT`` different slices within one task (the edge of a
-passage that very many documents hold) is told to its bucket by a flag alone;
-its slices are matched string by string, each string in the index of its own
+passage that very many documents hold) is told to its bucket by a flag alone.
+The slices of such an anchor, and of one that gathers more than ``4 * HOT`` in
+its bucket, are matched string by string, each string in the index of its own
 hash, after equal strings of a batch are merged to their least document.
 
 Texts are shuffled only for documents that have something to match: a bitmap of
@@ -178,33 +179,41 @@ def _pages(spark_buckets: int, limit: int):
 MARKS = "doc_id long, slice long, how int"
 
 
-def _shared(group):
+def _shared(limit: int):
     """What a bucket knows of each (document, slice): matched whole, or to be
-    matched against the anchor's other slices, or string by string."""
-    kinds, payloads = group.column("kind").to_pylist(), group.column("payload").to_pylist()
-    docs, owns, how = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
-    entries = [unpacked(p, "u8", "u8", "i8") for k, p in zip(kinds, payloads) if not k]
-    for d, o, h in (unpacked(p, "i8", "u8", "i1") for k, p in zip(kinds, payloads) if k):
-        docs.append(d), owns.append(o), how.append(h)
-    if entries:
-        anchor, own, doc = map(np.concatenate, zip(*entries))
-        flagged = np.unique(anchor[doc == FLAG])
-        real = doc != FLAG
-        a, o, d, n, full_doc, full_own = _owned(anchor[real], own[real], doc[real])
-        hot = np.isin(a, flagged)
-        open_ = hot | (n > 1)
-        docs += [full_doc, d[open_]]
-        owns += [full_own, o[open_]]
-        how += [np.full(len(full_doc), FULL, np.int8), np.where(hot, STRINGS, CLOSE)[open_].astype(np.int8)]
-    columns = [np.concatenate(docs), np.concatenate(owns).view(np.int64), np.concatenate(how).astype(np.int32)]
-    return pa.table(columns, names=["doc_id", "slice", "how"])
+    matched against the anchor's other slices, or string by string where the
+    anchor is flagged or has more than ``limit`` different slices in all."""
+
+    def run(group):
+        docs, owns, how = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+        entries = []
+        for kind, payload in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()):
+            if kind:
+                for out, part in zip((docs, owns, how), unpacked(payload, "i8", "u8", "i1")):
+                    out.append(part)
+            else:
+                entries.append(unpacked(payload, "u8", "u8", "i8"))
+        if entries:
+            anchor, own, doc = map(np.concatenate, zip(*entries))
+            flagged = np.unique(anchor[doc == FLAG])
+            real = doc != FLAG
+            a, o, d, n, full_doc, full_own = _owned(anchor[real], own[real], doc[real])
+            hot = np.isin(a, flagged) | (n > limit)
+            open_ = hot | (n > 1)
+            docs += [full_doc, d[open_]]
+            owns += [full_own, o[open_]]
+            how += [np.full(len(full_doc), FULL, np.int8), np.where(hot, STRINGS, CLOSE)[open_].astype(np.int8)]
+        columns = [np.concatenate(docs), np.concatenate(owns).view(np.int64), np.concatenate(how).astype(np.int32)]
+        return pa.table(columns, names=["doc_id", "slice", "how"])
+
+    return run
 
 
 def marks(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, slice, how) of all slices that may match, from (doc_id, __text)."""
     n = buckets(docs.sparkSession)
     dealt = docs.filter("doc_id IS NOT NULL AND octet_length(__text) >= %d" % SPAN).mapInArrow(_pages(n, hot), "bucket long, kind int, payload binary")
-    return saved(dealt.groupBy("bucket").applyInArrow(_shared, MARKS), "slices")
+    return saved(dealt.groupBy("bucket").applyInArrow(_shared(4 * hot), MARKS), "slices")
 
 
 def sorted_out(docs: DataFrame, ids: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
