@@ -49,7 +49,7 @@ from .winnowing import BASE, INVERSE, powers
 SPAN = 50
 GRAM = 16
 HOT = 512
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 CHUNK = 1 << 20
 BITMAP = 1 << 25
 PAGE = 1 << 15
