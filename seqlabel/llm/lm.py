@@ -45,8 +45,8 @@ BITS_EACH = 12
 MAX_BITS = 1 << 28
 PROBES = 6
 PAGES = 4096
-CHUNK = 24 << 20
-BLOCK = 1 << 21
+CHUNK = 12 << 20
+BLOCK = 1 << 20
 END = b" "
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
