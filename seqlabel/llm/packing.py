@@ -40,7 +40,7 @@ from .common import parts, saved, tokenizer_path
 FILE = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 2
-CACHE = 240_000
+CACHE = 400_000
 CHUNK = 2 << 20
 #: ASCII punctuation but the apostrophe, which begins endings of its own.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -95,7 +95,7 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache, self.known, self.rest = Kept(CACHE // 2), Kept(CACHE), Kept(CACHE // 8)
+        self.cache, self.known, self.rest = Kept(CACHE * 3 // 5), Kept(CACHE), Kept(CACHE // 8)
 
     def runs(self, words: list[str]) -> list[bytes]:
         """Ids of lower-cased runs of letters in composed form."""
