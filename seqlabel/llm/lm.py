@@ -11,11 +11,15 @@ over ``w`` at most 1 (but for the filter's false positives).  A context seen les
 than ``least`` times can't have a bigram in the filter and uses the unigram alone.
 
 Every bigram of the training documents is counted.  The filter holds those seen
-``least`` times or more, 2 to begin with; it has ``BITS_EACH`` bits per entry and
-at most ``MAX_BITS`` bits (32 MB) whatever the corpus: where the entries need
-more, ``least`` doubles until they fit, and rarer bigrams score as unseen.  The
-filter is cut into ``PAGES`` pages by the bigram's hash, so tasks build whole
-pages and the driver only lays them side by side before broadcasting them.
+``LEAST`` times or more, at every size, in ``BITS_EACH`` bits per training token,
+which is at least that per entry.  It is cut into ``PAGES`` pages by the bigram's
+hash and grows with the corpus, so it is never in one place: each block of tokens
+sends its distinct bigrams to the buckets of their pages; a bucket sums them,
+builds its pages and answers every block with the levels that it finds there.
+
+A caller that wants one small model instead gives ``max_bits``: that filter is
+broadcast, and where the entries need more room, the least count doubles until
+they fit, and rarer bigrams score as unseen.  No query sets it.
 
 Unigram counts are exact and never broadcast.  Each task numbers the words of its
 documents (a chunk), sums them and sends each word once to its bucket; the bucket
@@ -42,7 +46,7 @@ from .common import LOWER, buckets, bytes_of, coded, id_remainder, mix, packed,
 LAMBDA = 0.1
 LEAST = 2
 BITS_EACH = 12
-MAX_BITS = 1 << 28
+BUILD_BITS = 1 << 24
 PROBES = 6
 PAGES = 4096
 CHUNK = 12 << 20
@@ -56,10 +60,11 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Quantised counts by repeated membership probes."""
+    """Quantised counts by repeated membership probes; ``bits`` starts with page
+    ``first``."""
 
-    def __init__(self, bits: np.ndarray, page_bits: int, least: int):
-        self.bits, self.page_bits, self.least = bits, page_bits, least
+    def __init__(self, bits: np.ndarray, page_bits: int, least: int, first: int = 0):
+        self.bits, self.page_bits, self.least, self.first = bits, page_bits, least, first
 
     @staticmethod
     def places(keys: np.ndarray, level: int | np.ndarray, page_bits: int) -> Iterator[np.ndarray]:
@@ -88,21 +93,30 @@ class LogFrequencyFilter:
                 bits[np.searchsorted(pages, at // page_bits), at % page_bits] = True
         return dict(zip(pages.tolist(), (row.tobytes() for row in np.packbits(bits, axis=1, bitorder="little"))))
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that each key is held with, 0 if it isn't."""
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """The level that each key is held with, 0 if it isn't."""
         level, live, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
         while len(live):
             q += 1
             probe = self.places(keys[live], q, self.page_bits)
             held = np.arange(len(live))
             for at in probe:
-                at = at[held]
+                at = at[held] - self.first * self.page_bits
                 held = held[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
                 if not len(held):
                     break
             live = live[held]
             level[live] = q
-        return np.where(level > 0, self.least << np.maximum(level - 1, 0), 0)
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The count that each key is held with, 0 if it isn't."""
+        return rounded(self.found(keys), self.least)
+
+
+def rounded(level: np.ndarray, least: int) -> np.ndarray:
+    """The count that a level stands for."""
+    return np.where(level > 0, least << np.maximum(level.astype(np.int64) - 1, 0), 0)
 
 
 NUMBERED = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words binary, counts binary"
@@ -181,6 +195,83 @@ def _answer(group):
                     names=["chunk", "bucket", "payload", "kinds", "tokens"])
 
 
+def _blocks(codes: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first token, codes before, codes) of each block of a chunk; a text starts
+    after the end of the one before."""
+    end = int(np.flatnonzero(words == word_hashes([END])[0])[0])
+    for at in range(0, len(codes), BLOCK):
+        own = codes[at : at + BLOCK]
+        yield at, np.concatenate((codes[at - 1 : at] if at else [end], own[:-1])).astype(np.int64), own
+
+
+ASKED = "bucket long, chunk long, place long, payload binary"
+
+
+def _pairs_asked(n: int):
+    """Each block's distinct bigrams in the order of their keys, with their counts
+    in training documents, by bucket; a bucket has consecutive pages.  ``place``
+    orders the parts of a chunk."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, held, sizes, codes, words in zip(*(c.to_pylist() for c in batch.columns)):
+                train = np.repeat(~np.array(held, bool), sizes)
+                codes, words = unpacked(codes, "u4")[0], unpacked(words, "u8")[0]
+                for at, before, own in _blocks(codes, words):
+                    keys, place = np.unique(pair_keys(words[before], words[own]), return_inverse=True)
+                    counts = np.bincount(place[train[at : at + BLOCK]], minlength=len(keys)).astype(np.uint32)
+                    _, dealt = _by_bucket((keys >> np.uint64(52)).astype(np.int64) * n // PAGES)
+                    columns = [[b for b, _, _ in dealt], [chunk] * len(dealt), [at // BLOCK * n + b for b, _, _ in dealt],
+                               [packed(keys[i:j], counts[i:j]) for _, i, j in dealt]]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "chunk", "place", "payload"])
+
+    return run
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, page_bits: int, least: int) -> np.ndarray:
+    """The level of each of the sorted distinct keys in the filter's pages, which
+    are built from them, ``BUILD_BITS`` or one page at a time."""
+    pages = (keys >> np.uint64(52)).astype(np.int64)
+    out, step = np.zeros(len(keys), np.uint8), max(1, BUILD_BITS // page_bits)
+    for first in range(int(pages[0]), int(pages[-1]) + 1, step):
+        i, j = np.searchsorted(pages, (first, first + step))
+        if i < j:
+            bits = np.zeros(step * page_bits // 8, np.uint8)
+            for page, body in LogFrequencyFilter.page_bytes(keys[i:j], counts[i:j], page_bits, least).items():
+                bits[(page - first) * page_bits // 8 : (page - first + 1) * page_bits // 8] = np.frombuffer(body, np.uint8)
+            out[i:j] = LogFrequencyFilter(bits, page_bits, least, first).found(keys[i:j])
+    return out
+
+
+def _pairs_answered(page_bits: int, least: int):
+    """Each part's bigrams with their levels in the filter over all chunks."""
+    def run(group: pa.Table) -> pa.Table:
+        found = [unpacked(p, "u8", "u4") for p in group.column("payload").to_pylist()]
+        stops = np.cumsum([len(k) for k, _ in found])
+        keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+        del found
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        first = np.flatnonzero(new)
+        level = np.empty(len(keys), np.uint8)
+        level[order] = _levels(keys[first], np.add.reduceat(counts, first), page_bits, least)[np.cumsum(new) - 1]
+        return pa.table([group.column("chunk"), group.column("place"), pa.array([packed(x) for x in np.split(level, stops[:-1])], pa.binary())],
+                        names=["chunk", "place", "payload"])
+
+    return run
+
+
+def pair_levels(numbered: DataFrame, tokens: int, least: int) -> DataFrame:
+    """(chunk, place, payload): the levels of each chunk's bigrams, answered by the
+    filter over the ``tokens`` tokens of the training documents."""
+    n = min(PAGES, buckets(numbered.sparkSession))
+    # a count has no more levels than occurrences
+    page_bits = max(64, 1 << (tokens * BITS_EACH // PAGES).bit_length())
+    asked = numbered.select("chunk", "held", "sizes", "codes", "words").mapInArrow(_pairs_asked(n), ASKED)
+    return saved(asked.groupBy("bucket").applyInArrow(_pairs_answered(page_bits, least), "chunk long, place long, payload binary"), "lm-levels")
+
+
 def _pairs_out(n: int):
     """Bigrams of training documents, summed per block of tokens, by bucket."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +308,8 @@ def _pair_sums(group):
                     names=["bucket", "payload", "needs"])
 
 
-def pair_filter(numbered: DataFrame, max_bits: int = MAX_BITS) -> LogFrequencyFilter:
-    """The filter over the training documents' bigrams, at most ``max_bits``."""
+def pair_filter(numbered: DataFrame, max_bits: int) -> LogFrequencyFilter:
+    """One filter over the training documents' bigrams, at most ``max_bits``."""
     n = min(PAGES, buckets(numbered.sparkSession))
     sums = numbered.select("held", "sizes", "codes", "words").mapInArrow(_pairs_out(n), "bucket long, payload binary")
     sums = saved(sums.groupBy("bucket").applyInArrow(_pair_sums, "bucket long, payload binary, needs array<long>"), "lm-pairs")
@@ -243,11 +334,14 @@ def pair_filter(numbered: DataFrame, max_bits: int = MAX_BITS) -> LogFrequencyFi
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(shared, n: int, tokens: int, kinds: int):
+def _scores(shared, n: int, pair_n: int, tokens: int, kinds: int):
+    """``shared``: a filter that every task has, or None where the chunks come with
+    their bigrams' levels."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared and shared.value
+        least = model.least if model else LEAST
         for batch in batches:
-            for ids, held, sizes, codes, words, answers in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, held, sizes, codes, words, answers, levels in zip(*(c.to_pylist() for c in batch.columns)):
                 codes, words = unpacked(codes, "u4")[0], unpacked(words, "u8")[0]
                 order, dealt = _by_bucket((words % np.uint64(n)).astype(np.int64))
                 counts = np.zeros(len(words), np.int64)
@@ -256,16 +350,18 @@ def _scores(shared, n: int, tokens: int, kinds: int):
                 plain = (counts + 1) / (tokens + kinds + 1)
                 log = np.log10(plain)
                 first = np.cumsum(sizes) - sizes
-                end = int(np.flatnonzero(words == word_hashes([END])[0])[0])
                 score = np.empty(len(codes))
-                for at in range(0, len(codes), BLOCK):
-                    own = codes[at : at + BLOCK]
-                    before = np.concatenate((codes[at - 1 : at] if at else [end], own[:-1])).astype(np.int64)
-                    pair = model.counts(pair_keys(words[before], words[own]))
+                for at, before, own in _blocks(codes, words):
+                    keys = pair_keys(words[before], words[own])
+                    if model:
+                        pair = model.counts(keys)
+                    else:
+                        own_levels = [unpacked(x["payload"], "u1")[0] for x in levels if x["place"] // pair_n == at // BLOCK]
+                        pair = rounded(np.concatenate(own_levels), least)[np.unique(keys, return_inverse=True)[1]]
                     seen = counts[before]
                     two = np.minimum(pair, seen) / np.maximum(seen, 1)
                     p = plain[own]
-                    score[at : at + BLOCK] = np.log10(np.where(seen >= model.least, LAMBDA * two + (1 - LAMBDA) * p, p))
+                    score[at : at + BLOCK] = np.log10(np.where(seen >= least, LAMBDA * two + (1 - LAMBDA) * p, p))
                 columns = [ids, held, sizes, np.add.reduceat((counts > 0)[codes].astype(np.int64), first),
                            np.add.reduceat(log[codes], first), np.add.reduceat(score, first)]
                 kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -274,10 +370,10 @@ def _scores(shared, n: int, tokens: int, kinds: int):
     return run
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (the unigram alone) and score (the model), log10 of the text's
-    probability."""
+    probability.  ``max_bits``: see above."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).select("doc_id", (id_remainder(7) == 2).alias("held"), "__text")
     numbered = saved(own.mapInArrow(_number, NUMBERED), "lm-chunks")
@@ -286,10 +382,16 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits
     answers = saved(sent.groupBy("bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
     size = answers.filter("chunk = -1").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).first()
     tokens, kinds = int(size["tokens"] or 0), int(size["kinds"] or 0)
-    shared = spark.sparkContext.broadcast(pair_filter(numbered, max_bits))
     # a chunk's answers: one per bucket, as many bytes as its distinct words need
     by_chunk = answers.filter("chunk >= 0").groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "payload"))).alias("answers"))
-    rows = numbered.drop("counts").join(by_chunk, "chunk").select("ids", "held", "sizes", "codes", "words", F.transform(
+    rows = numbered.drop("counts").join(by_chunk, "chunk").select("chunk", "ids", "held", "sizes", "codes", "words", F.transform(
         F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda b: F.try_element_at("answers", b)).alias("answers"))
-    out = rows.mapInArrow(_scores(shared, n, tokens, kinds), SCORES)
+    if max_bits is None:
+        shared, levels = None, pair_levels(numbered, tokens, LEAST)
+        levels = levels.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "payload"))).alias("levels"))
+        rows = rows.join(levels, "chunk").drop("chunk")
+    else:
+        shared = spark.sparkContext.broadcast(pair_filter(numbered, max_bits))
+        rows = rows.drop("chunk").withColumn("levels", F.lit(None).cast("array<struct<place: long, payload: binary>>"))
+    out = rows.mapInArrow(_scores(shared, n, min(PAGES, buckets(spark)), tokens, kinds), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -87,3 +87,17 @@ def test_size_bound_raises_the_least_count(spark, monkeypatch):
 def test_held_out_beats_the_unigram(spark):
     rows = [r for r in QUERIES["op5_lm"](spark, SF).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_no_size_bound_unless_asked_for(spark, monkeypatch):
+    """More entries than the 2**28 bits that once bounded every model could hold."""
+    monkeypatch.setattr(L, "BITS_EACH", 1 << 17)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    pairs = Counter()
+    for i, t in rows:
+        if not held(i):
+            w = (t or "").encode().translate(L.LOWER).split() + [b" "]
+            pairs.update(zip([b" ", *w], w))
+    assert sum((c // L.LEAST).bit_length() for c in pairs.values()) * L.BITS_EACH > 1 << 28
+    agree(L.scored(docs).collect(), brute(rows, L.LEAST))
