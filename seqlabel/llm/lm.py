@@ -8,10 +8,11 @@ The model is a word bigram interpolated with the smoothed unigram:
 ``least * 2**(q - 1)``, with the entries (vw, 1) .. (vw, q) put in.  A lookup
 probes (vw, 1), (vw, 2), ... until one is missing.  Rounding down keeps the sum
 over ``w`` at most 1 (but for the filter's false positives).  A context seen less
-than ``least`` times can't have a bigram in the filter and uses the unigram alone.
+than ``least`` times can't have a bigram in the filter and uses the unigram alone;
+as ``LEAST`` is 1, that is one that no training document has.
 
-Every bigram of the training documents is counted.  The filter holds those seen
-``LEAST`` times or more, at every size, in ``BITS_EACH`` bits per training token,
+Every bigram of the training documents is counted, and the filter holds them all,
+those seen once too (``LEAST`` is 1), in ``BITS_EACH`` bits per training token,
 which is at least that per entry.  It is cut into ``PAGES`` pages by the bigram's
 hash and grows with the corpus, so it is never in one place: each block of tokens
 sends its distinct bigrams to the buckets of their pages; a bucket sums them,
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, buckets, bytes_of, coded, id_remainder, mix, packed, parts, saved, unpacked, word_hashes
 
 LAMBDA = 0.1
-LEAST = 2
+LEAST = 1
 BITS_EACH = 12
 BUILD_BITS = 1 << 24
 PROBES = 6

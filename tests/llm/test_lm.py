@@ -101,3 +101,27 @@ def test_no_size_bound_unless_asked_for(spark, monkeypatch):
             pairs.update(zip([b" ", *w], w))
     assert sum((c // L.LEAST).bit_length() for c in pairs.values()) * L.BITS_EACH > 1 << 28
     agree(L.scored(docs).collect(), brute(rows, L.LEAST))
+
+
+def test_bigrams_and_contexts_seen_once_count(spark, monkeypatch):
+    monkeypatch.setattr(L, "BITS_EACH", 400)
+    train = [i for i in range(20) if not held(i)][:2]
+    out = next(i for i in range(20) if held(i))
+    rows = [(train[0], "red fox runs home"), (train[1], "blue fox sleeps"), (out, "red fox sleeps")]
+    got = L.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    agree(got, brute(rows, 1))
+    # each of its bigrams occurs once in training, "red fox" after a context seen once
+    row = next(r for r in got if r["held_out"])
+    assert row["score"] > row["base_score"]
+
+
+def test_query_holds_every_training_bigram(spark, monkeypatch):
+    monkeypatch.setattr(L, "BITS_EACH", 400)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    agree(QUERIES["op5_lm"](spark, SF).collect(), brute(rows, 1))
+
+
+def test_awkward_rows_with_every_bigram(spark, monkeypatch):
+    monkeypatch.setattr(L, "BITS_EACH", 400)
+    got = L.scored(clashing(frame(spark, awkward()).repartition(3))).collect()
+    agree(got, brute([r[:2] for r in awkward()], 1))
