@@ -11,9 +11,11 @@ variants brings every pair within the radius together at least once.  Colliding
 pairs are verified on all 64 bits.
 
 A variant held by more than ``bucket`` distinct fingerprints is not compared
-pair by pair: its fingerprints emit their whole-width balls of ``radius // 2``
-bits instead, where sharing a variant already proves the distance, so a chain to
-the least member links the group exactly with no pairs at all.  Copies never
+pair by pair: its fingerprints emit their whole-width balls of half the radius
+instead, where sharing a variant already proves the distance, so a chain to
+the least member links the group exactly with no pairs at all.  An odd radius
+takes the larger half; a variant then links to its least member within the
+smaller half, and without one it links nothing.  Copies never
 reach the search: it runs on distinct fingerprints.
 
 Defined cases: no words (null and empty texts) give fingerprint zero, linked like
@@ -184,14 +186,16 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
              .mapInArrow(_search(radius, bucket), "u long, v long, hot boolean"))
     found = saved(found.distinct(), "simhash-links")
     hot = found.filter("hot").select(F.col("u").alias("fp"))
-    whole = F.array(*[F.col("fp").bitwiseXOR(F.lit(signed(x))) for x in ball((1 << 64) - 1, 1)])
-    # the whole-width ball as two balls of one bit each, so that the plan stays small
-    balls = hot.select("fp", F.explode(whole).alias("a")).select("fp", F.explode(F.array(*[
-        F.col("a").bitwiseXOR(F.lit(signed(x))) for x in ball((1 << 64) - 1, 1)])).alias("key")).distinct() if radius // 2 == 2 else \
-        hot.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(signed(x))) for x in ball((1 << 64) - 1, radius // 2)])).alias("key"))
+    # the whole-width ball as balls of one bit each, so that the plan stays small
+    balls = hot.select("fp", F.col("fp").alias("key"))
+    for _ in range(-(-radius // 2)):
+        balls = balls.select("fp", F.explode(F.array(*[
+            F.col("key").bitwiseXOR(F.lit(signed(x))) for x in ball((1 << 64) - 1, 1)])).alias("key"))
+    balls = balls.distinct()
     if not found.filter("hot").isEmpty():
         least = saved(balls, "simhash-balls")
-        chain = least.join(least.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "key")
+        near = F.col("fp") if radius % 2 == 0 else F.when(F.bit_count(F.col("key").bitwiseXOR(F.col("fp"))) <= radius // 2, F.col("fp"))
+        chain = least.join(least.groupBy("key").agg(F.min(near).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "key")
         found = found.filter("NOT hot").select("u", "v").unionByName(
             chain.filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")))
         return found.distinct()

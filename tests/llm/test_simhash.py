@@ -111,3 +111,22 @@ def test_deduplicated_keeps_columns_and_first(spark):
     assert {r["doc_id"] for r in out.collect()} == first
     copies = frame(spark, [(5, "a b c d e", "en", "s", 9), (3, "a b c d e", "en", "s", 9), (3, "a b c d e", "en", "s", 9), (None, "a b", None, None, 3)])
     assert sorted(r["doc_id"] or 0 for r in S.deduplicated(copies).collect()) == [0, 3, 3]
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_hot_fingerprints_an_odd_radius_apart(spark, radius):
+    """The hot way links pairs exactly ``radius`` bits apart, and none farther."""
+    rng = np.random.default_rng(8)
+    fps = []
+    for x in rng.integers(0, 1 << 63, 3):
+        x = int(x)
+        for k in range(5):
+            fps.append(x ^ sum(1 << (radius * k + j) for j in range(radius)))
+        fps += [x, x ^ ((1 << radius + 1) - 1) << 40]
+    df = spark.createDataFrame([(S.signed(x),) for x in fps], "fp long")
+    got = {S.signed(x): S.signed(x) for x in fps}
+    got.update({r["node"]: r["root"] for r in components(S.links(df, radius, 1)).collect()})
+    want, pairs = groups(fps, radius), set()
+    for i, x in enumerate(fps):
+        pairs.add((got[S.signed(x)], want[i]))
+    assert len(pairs) == len(set(want)) == len(set(got.values())) == 6
