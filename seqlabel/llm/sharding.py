@@ -3,8 +3,11 @@
 Every shard draws ``-ln(u) / weight`` for a document, ``u`` being a hash of the
 document's id and the shard.  A subtree's draw is the least below it, which is an
 exponential draw with the subtree's summed weight, so each level picks a child
-in proportion to its weight.  The descent takes the region with the least draw,
-then its rack, then its shard.  Adding a shard or changing a weight alters only
+in proportion to its weight.  Taking the region with the least draw, then its
+rack, then its shard ends in the shard with the least draw of all, so this is
+computed as such: all shards draw, no node above them draws by itself, and racks
+and regions only name the place of the shard.  That is flat weighted rendezvous
+hashing; it is also why a new shard takes rows only into itself.  Adding a shard or changing a weight alters only
 the draws on its own path: rows move into or out of that subtree alone, and when
 a shard is added only into that shard.  The place of a document depends on its
 id and the shards, on nothing else.
@@ -34,7 +37,7 @@ def tree(shards: int, per_rack: int = SHARDS_PER_RACK, per_region: int = RACKS_P
 
 
 def placed(key: Column, regions: list[list[list[int]]], weights: dict[int, float] | None = None) -> Column:
-    """Struct (draw, shard, rack, region) that the descent ends in."""
+    """Struct (draw, shard, rack, region) of the least draw of all shards."""
     def draw(shard: int) -> Column:
         u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / float(1 << 53)
         return -F.log(u) / float((weights or {}).get(shard, 1.0))
