@@ -13,7 +13,9 @@ A document's language is the one with most letters in its spans (the
 alphabetically first of equals), its score the share of its letters there.
 
 The model has ``SLOTS + scripts`` counts per language, summed over all training
-documents; at most ``languages`` languages, those with most letters, are kept.
+documents, and keeps every language that has letters: the table takes 256 KB a
+language, the counts reach the driver sparse, and texts are scored in parts that
+are smaller the more languages there are.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, as is
 every text when nothing was learned; documents without a language are not learned
@@ -37,7 +39,7 @@ SLOTS = 1 << 16
 SCRIPT_SHARE = 0.01
 SWITCH = 12.0
 SMOOTHING = 0.5
-LANGUAGES = 256
+HELD = 64
 RANGES = 16
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -97,7 +99,12 @@ def words(texts: list[str]) -> tuple[np.ndarray, ...]:
 def learned(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, part, counts): trigram and script counts per language, cut into
     ``RANGES`` parts so that no task sums a whole language.  Each task sums its
-    own documents first."""
+    own documents first, over ``HELD`` languages at a time."""
+    def rows(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        cut = [(x, i, packed(part)) for x, n in sorted(sums.items()) for i, part in enumerate(np.array_split(n, RANGES))]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in cut], k) for i, k in enumerate((pa.string(), pa.int32(), pa.binary()))],
+                                          names=["lang", "part", "counts"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in parts(batches, "__text", CHUNK):
@@ -107,10 +114,11 @@ def learned(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFram
                 sums.setdefault(own, np.zeros(WIDTH, np.int64))
                 sums[own][:SLOTS] += np.bincount(slot, minlength=SLOTS)
                 sums[own][SLOTS:] += np.bincount(script, minlength=WIDTH - SLOTS)
-        rows = [(x, i, packed(part)) for x, n in sorted(sums.items()) for i, part in enumerate(np.array_split(n, RANGES))]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.binary()))],
-                                             names=["lang", "part", "counts"])
+                if len(sums) == HELD:
+                    yield rows(sums)
+                    sums = {}
+        if sums:
+            yield rows(sums)
 
     def add(key, group):
         total = None
@@ -125,15 +133,24 @@ def learned(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFram
 
 
 class Model:
-    """Log probabilities per slot and language, and each script's candidates."""
+    """Log probabilities per slot and language, and each script's candidates, from
+    each language's (places, counts) that aren't 0."""
 
-    def __init__(self, counts: dict[str, np.ndarray]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        n = np.stack([counts[x] for x in self.langs]).astype(float)
-        slots, scripts = n[:, :SLOTS], n[:, SLOTS:]
+        seen = np.zeros(WIDTH, bool)
+        for at, _ in counts.values():
+            seen[at] = True
         # unseen slots share the smoothing of those seen in any language
-        used = max(1, int((slots.sum(0) > 0).sum()))
-        self.log = np.log((slots + SMOOTHING) / (slots.sum(1, keepdims=True) + SMOOTHING * (used + 1))).astype(np.float32).T.copy()
+        used = max(1, int(seen[:SLOTS].sum()))
+        self.log = np.empty((SLOTS, len(self.langs)), np.float32)
+        scripts = np.zeros((len(self.langs), WIDTH - SLOTS))
+        for i, (at, n) in enumerate(counts[x] for x in self.langs):
+            slot = at < SLOTS
+            total = n[slot].sum() + SMOOTHING * (used + 1)
+            self.log[:, i] = np.log(SMOOTHING / total)
+            self.log[at[slot], i] = np.log((n[slot] + SMOOTHING) / total)
+            scripts[i, at[~slot] - SLOTS] = n[~slot]
         allowed = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
         allowed[:, ~allowed.any(0)] = True
         self.barred = np.where(allowed, 0, -1e6).astype(np.float32).T.copy()
@@ -146,13 +163,17 @@ class Model:
         if not len(first):
             return text, first, count, np.zeros(0, np.int64)
         score = np.empty((len(first), len(self.langs)), np.float32)
-        bounds = [*range(0, len(first), 1 << 16), len(first)]
+        bounds = [*range(0, len(first), (1 << 16) // self.width()), len(first)]
         for a, b in zip(bounds, bounds[1:]):
             stop = first[b] if b < len(first) else len(slot)
             score[a:b] = np.add.reduceat(self.log[slot[first[a] : stop]], first[a:b] - first[a], axis=0)
         score += self.barred[script[first]]
         return text, first, count, viterbi(score, np.bincount(text, minlength=len(texts)))
 
+    def width(self) -> int:
+        """By how much parts must be smaller than those of 16 languages."""
+        return min(1 << 10, -(-len(self.langs) // 16))
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         text, _, count, label = self.spans(texts)
         share = np.bincount(text * len(self.langs) + label, count, len(texts) * len(self.langs)).reshape(len(texts), -1)
@@ -169,7 +190,7 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.
     sizes = sizes[order]
     active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes.max())), side="right")
     n = score.shape[1]
-    back = np.empty(score.shape, np.uint8 if n <= 256 else np.uint16)
+    back = np.empty(score.shape, np.min_scalar_type(n - 1))
     stay = np.arange(n)
     best = score[starts[: active[0]]].astype(np.float64)
     ends = np.empty(len(sizes), np.int64)
@@ -194,15 +215,18 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.
     return label
 
 
-def fit(docs: DataFrame, languages: int = LANGUAGES, lang: str = "lang", text: str = "text") -> Model | None:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model | None:
     """The model of the documents' languages, or None without any."""
-    counts: dict[str, dict[int, np.ndarray]] = {}
-    # ``RANGES`` rows per language
+    firsts = [int(part[0]) for part in np.array_split(np.arange(WIDTH), RANGES)]
+    counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    # ``RANGES`` compressed rows per language
     for row in learned(docs, lang, text).collect():
-        counts.setdefault(row["lang"], {})[row["part"]] = unpacked(bytes(row["counts"]), "i8")[0]
-    whole = {x: np.concatenate([p[i] for i in range(RANGES)]) for x, p in counts.items()}
-    kept = sorted((x for x in whole if whole[x].sum()), key=lambda x: (-int(whole[x].sum()), x))[:languages]
-    return Model({x: whole[x] for x in kept}) if kept else None
+        n = unpacked(bytes(row["counts"]), "i8")[0]
+        at = np.flatnonzero(n)
+        counts.setdefault(row["lang"], []).append((at + firsts[row["part"]], n[at]))
+    whole = {x: tuple(map(np.concatenate, zip(*p))) for x, p in counts.items()}
+    whole = {x: p for x, p in whole.items() if len(p[0])}
+    return Model(whole) if whole else None
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -216,7 +240,7 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text") -> D
         values = [t or "" for t in texts.to_pylist()]
         batch = pa.RecordBatch.from_arrays([texts], names=["t"])
         at = 0
-        for part in slices(batch, np.fromiter(map(len, values), np.int64, len(values)), 4 * CHUNK):
+        for part in slices(batch, np.fromiter(map(len, values), np.int64, len(values)), 4 * CHUNK // shared.value.width()):
             n, s = shared.value.predict(values[at : at + part.num_rows])
             at += part.num_rows
             names += n

@@ -74,3 +74,13 @@ def test_prediction_ignores_the_labels(spark):
     a = I.with_language(frame(spark, base), model).select("doc_id", "lang_pred").collect()
     b = I.with_language(frame(spark, [(r[0] , r[1], "xx", "other", 1) for r in base]), model).select("doc_id", "lang_pred").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_every_language_is_kept(spark):
+    """More than 256 languages, each with words of its own."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(30)) for _ in range(300)]
+    docs = frame(spark, [(i, t, f"l{i:03}", "s", 1) for i, t in enumerate(texts)])
+    model = I.fit(docs)
+    assert model.langs == [f"l{i:03}" for i in range(300)]
+    assert all(r["lang"] == r["lang_pred"] for r in I.with_language(docs, model).collect())
