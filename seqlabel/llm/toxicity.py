@@ -17,10 +17,10 @@ would drown a few decisive ones.  A document's evidence divided by its tokens is
 the length-normalised comparison; a calibration over ``evidence / tokens`` and
 ``evidence / sqrt(tokens)`` turns it into a probability.
 
-Bounds (parameters): the models are fitted on at most ``sample`` labelled
-documents per class, those with the least hash of their id, and hold at most
-``entries`` byte n-grams, the most frequent; a quarter of the sample is held
-back from the counts to fit the calibration.  All documents are scored whole.
+Bound (parameter): the models are fitted on at most ``sample`` labelled
+documents per class, those with the least hash of their id, and hold every byte
+n-gram of them; a quarter of the sample is held back from the counts to fit the
+calibration.  All documents are scored whole.
 
 Tokens are A-Z lower-cased words without ASCII punctuation at their ends, then
 one end token without evidence.  Defined cases: null and empty texts have the
@@ -43,7 +43,6 @@ from .common import LOWER, append, bytes_of, fresh_name, id_remainder, parts, sa
 
 THRESHOLD = 0.3
 SAMPLE = 20_000
-ENTRIES = 1 << 20
 ORDER = 5
 DISCOUNT = 0.75
 MARGIN = 3.0
@@ -196,13 +195,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return saved(own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__text", "toxic", "held"), "toxic-sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The fitted model, or None without both classes."""
     rows = labelled(docs, labels, sample)
     counted = rows.filter("NOT held").select("__text", F.col("toxic").cast("long")).mapInArrow(_count, "key long, toxic long, ordinary long")
     sums = counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    # at most ``entries`` rows reach the driver
-    top = sums.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "key").limit(entries).toArrow()
+    # the sample bounds what reaches the driver
+    top = sums.toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     toxic, ordinary = (top.column(c).to_numpy()[order].astype(float) for c in ("toxic", "ordinary"))

@@ -92,3 +92,15 @@ def test_no_labels_or_documents(spark):
 def test_query(spark):
     out = QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.01")
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 1000
+
+
+def test_every_ngram_of_the_sample_is_kept(spark):
+    """More n-grams than the 2**20 that a model once held."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(bytes(w).decode() for w in rng.integers(97, 123, (7000, 8)).astype(np.uint8)) for _ in range(40)]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABELS)
+    used = [r[0].encode() for r in X.labelled(docs, labels, X.SAMPLE).filter("NOT held").collect()]
+    want = np.unique(X.grams([X.END, *[w for t in used for w in t.split()]])[0])
+    model = X.fit(docs, labels)
+    assert len(want) > 1 << 20 and np.array_equal(model.keys, want)
