@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm, packing, quality, sharding, simhash, suffixdedup, toxicity, winnowing
+from . import bpe, langid, lm, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged j"""
 
 
+def url_sql() -> str:
+    """Rules by suffix and prefix tests, terms by regular expressions with
+    boundaries, restated for DuckDB."""
+    rules = ", ".join(f"('{v}', '{r}')" for v, r in urlfilter.RULES)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    other = r"[^0-9a-z\x{80}-\x{10FFFF}]"
+    count = "len(list_filter({}, lambda t: regexp_matches(low, '(^|{})' || t || '({}|$)')))".format
+    return rf"""
+WITH texts AS (SELECT page_id, coalesce(url, '') AS u, translate(coalesce(url, ''), '{upper}', '{lower}') AS low FROM pages),
+cut AS (SELECT *, CASE WHEN contains(u, '://') THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS rest FROM texts),
+split AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+counted AS (SELECT *, {count(urlfilter.STRICT, other, other)}::BIGINT AS n_strict, {count(urlfilter.SOFT, other, other)}::BIGINT AS n_soft FROM split),
+rules AS (SELECT v, r, split_part(r, '/', 1) AS h, substr(r, strpos(r, '/')) AS p FROM (VALUES {rules}) t(v, r)),
+fits AS (SELECT DISTINCT host, path, arg_max(r, length(r) * 1000 + length(h)) AS rule, arg_max(v, length(r) * 1000 + length(h)) AS v
+    FROM (SELECT DISTINCT host, path FROM split) s JOIN rules ON ends_with('.' || host, '.' || h) AND host <> '' AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, host, path, rule, n_strict, n_soft,
+    coalesce(v, CASE WHEN n_strict > 0 OR n_soft >= {urlfilter.SEVERAL} THEN 'block' ELSE 'allow' END) AS verdict
+FROM counted LEFT JOIN fits USING (host, path)"""
+
+
 @query
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compared(table(spark, sf_dir, "documents"))
@@ -117,4 +138,10 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
 ORACLE_SQL["op4_quality"] = quality_sql()
+ORACLE_SQL["op13_url_filter"] = url_sql()
