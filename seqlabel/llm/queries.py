@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter, winnowing
+from . import bpe, langid, lm, merkle, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,50 @@ SELECT page_id, host, path, rule, n_strict, n_soft,
 FROM counted LEFT JOIN fits USING (host, path)"""
 
 
+def merkle_sql(levels: int = 6) -> str:
+    """The same trees level by level (16 ** levels rows a source at most), crc32
+    by its table, restated for DuckDB."""
+    fields = " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in merkle.FIELDS)
+    side = "coalesce(string_agg(digest, '') OVER (PARTITION BY {}, pos // 16 ORDER BY pos ROWS BETWEEN {}), '')".format
+    left, right = "UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"
+
+    def tree(name: str, first: str, key: str) -> tuple[list[str], str, str]:
+        """Levels, and the joins and paths of a node's siblings."""
+        steps, joins = [f"{name}0 AS ({first})"], []
+        for k in range(levels):
+            steps.append(f"""{name}{k}s AS (SELECT {key}, pos, m, digest, CASE WHEN m > 1 THEN {side(key, left)} ELSE '' END AS l,
+    CASE WHEN m > 1 THEN {side(key, right)} ELSE '' END AS r FROM {name}{k})""")
+            steps.append(f"""{name}{k + 1} AS (SELECT {key}, pos // 16 AS pos, count(*) OVER (PARTITION BY {key}) AS m, digest FROM (
+    SELECT {key}, pos // 16 * 16 AS pos, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest
+    FROM {name}{k} GROUP BY {key}, pos // 16))""")
+            joins.append(f"JOIN {name}{k}s ON {name}{k}s.{key} = x.{key} AND {name}{k}s.pos = x.{name}pos // {16 ** k}")
+        return steps, " ".join(joins), " || ".join(f"{name}{k}s.l || {name}{k}s.r" for k in range(levels))
+
+    inner, inner_join, inner_path = tree("a", "SELECT k, pos, count(*) OVER (PARTITION BY k) AS m, leaf AS digest FROM leaves", "k")
+    upper, upper_join, upper_path = tree("b", f"SELECT 0 AS g, k AS pos, count(*) OVER () AS m, digest FROM a{levels}", "g")
+    folds = [f"CASE WHEN {n}{k}s.m > 1 THEN sha256({n}{k}s.l || {{}} || {n}{k}s.r) ELSE {{}} END" for n in "ab" for k in range(levels)]
+    steps, node = [], "now"
+    for i, f in enumerate(folds):
+        # one column per fold, so that the expression isn't written out twice a level
+        steps.append(f"{f.format(node, node)} AS f{i}")
+        node = f"f{i}"
+    return f"""
+WITH crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+hashed AS (SELECT doc_id, source, {fields} AS whole, sha256({fields}) AS leaf,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 5 = 0 AS hit,
+    sha256({fields.replace("text::VARCHAR", f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")}) AS tampered
+    FROM documents, crcs),
+leaves AS (SELECT doc_id, leaf, CASE WHEN hit THEN tampered ELSE leaf END AS now, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS k,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+{", ".join(inner)}, {", ".join(upper)},
+x AS (SELECT *, pos AS apos, k AS bpos, 0 AS g FROM leaves)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM (
+    SELECT doc_id, leaf, a{levels}.digest AS subroot, b{levels}.digest AS root, sha256({inner_path} || {upper_path}) AS proof_sha256, {", ".join(steps)}, {node} AS folded_root
+    FROM x {inner_join} {upper_join} JOIN a{levels} ON a{levels}.k = x.k JOIN b{levels} ON true)"""
+
+
 @query
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compared(table(spark, sf_dir, "documents"))
@@ -143,5 +187,12 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audited(docs, *merkle.tampered(docs))
+
+
 ORACLE_SQL["op4_quality"] = quality_sql()
 ORACLE_SQL["op13_url_filter"] = url_sql()
+ORACLE_SQL["op11_merkle"] = merkle_sql()
