@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, merkle, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter, winnowing
+from . import bond, bpe, langid, lm, merkle, packing, quality, sharding, simhash, suffixdedup, toxicity, urlfilter, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +131,22 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
     FROM x {inner_join} {upper_join} JOIN a{levels} ON a{levels}.k = x.k JOIN b{levels} ON true)"""
 
 
+NEGATIVES_SQL = """
+WITH part AS (SELECT vec_id, min({'label': CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END,
+    'v': list_transform(embedding, lambda x: floor(256 * x::DOUBLE))}) AS r FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+sound AS (SELECT vec_id, r.label AS label, r.v AS v FROM part),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM sound a JOIN sound b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+
 @query
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compared(table(spark, sf_dir, "documents"))
@@ -187,6 +204,12 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return bond.mined(table(spark, sf_dir, "embeddings"), label, F.col("id") % 50 == 0)
+
+
 @query
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -196,3 +219,4 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op4_quality"] = quality_sql()
 ORACLE_SQL["op13_url_filter"] = url_sql()
 ORACLE_SQL["op11_merkle"] = merkle_sql()
+ORACLE_SQL["op12_hard_negatives"] = NEGATIVES_SQL
