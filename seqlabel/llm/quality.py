@@ -36,10 +36,12 @@ from .common import append, bytes_of, fresh_name, saved
 MIN_WORDS = 50
 ALPHA = 0.05
 DELTA = 0.05
-MAX_STRATA = 64
+CUT = "__cut_"
+#: Strata with cutoffs up to which their table (some 100 bytes a row) is broadcast.
+BROADCAST_STRATA = 200_000
+SALTS = 32
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
-POOLED = "~other"
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
@@ -104,9 +106,16 @@ def base_failed() -> Column:
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= x)."""
-    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
-                              + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(x + 1))
+    """P(Bin(n, p) <= x) for ``x`` below the mean: summed from the largest term
+    down, as long as terms count, which are some multiple of sqrt(n)."""
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p))
+    terms = []
+    for i in range(x, -1, -1):
+        terms.append(term)
+        if term <= 1e-18 * terms[0]:
+            break
+        term *= i / (n - i + 1) * (1 - p) / p
+    return math.fsum(terms)
 
 
 def certified(n: int, lost: list[int], alpha: float, level: float) -> int:
@@ -117,14 +126,14 @@ def certified(n: int, lost: list[int], alpha: float, level: float) -> int:
     return len(lost)
 
 
-def fit(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA,
-        max_strata: int = MAX_STRATA) -> dict[str | None, dict[str, int]]:
-    """Certified cutoffs: stratum -> rule -> cutoff, ``POOLED`` for the strata
-    beyond ``max_strata``.
+def fit(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Certified cutoffs: s (the stratum) and a column of each rule's cutoff, null
+    without one; strata without any cutoff have no row.
 
     One aggregation counts good and low-quality documents per (stratum, rule,
-    number of cutoffs that reject them); the driver gets at most
-    (max_strata + 1) x rules x (grid + 1) rows, whatever the data.
+    number of cutoffs that reject them); each stratum is tested in a task, over
+    at most rules x (grid + 1) rows, and only the number of strata, which the
+    correction needs, reaches the driver.
     """
     held = labels.groupBy("doc_id").agg(F.min("quality").alias("__quality")).filter(F.col("__quality").isNotNull())
     marks = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(f"size(filter(array({','.join(map(str, cuts))}), c -> {value} >= c))").alias("reach"))
@@ -134,37 +143,44 @@ def fit(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float
     counts = rows.groupBy("s", "m.rule", "m.reach").agg(
         F.count_if(F.col("__quality") == 1).alias("good"), F.count_if(F.col("__quality") == 0).alias("bad"))
     counts = saved(counts, "quality-counts")
-    sizes = counts.groupBy("s").agg(F.sum("good").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("s")).limit(max_strata)
-    named = [r["s"] for r in sizes.collect()]
-    name = F.when(F.col("s").isNull() | F.col("s").isin([s for s in named if s is not None]), F.col("s")).otherwise(POOLED)
-    table = counts.groupBy(name.alias("s"), "rule", "reach").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
-    found: dict[str | None, dict[str, list]] = {}
-    for r in table:
-        good, bad = found.setdefault(r["s"], {}).setdefault(
-            r["rule"], [np.zeros(len(RULES[r["rule"]][1]) + 1, np.int64) for _ in range(2)])
-        good[r["reach"]] += r["good"]
-        bad[r["reach"]] += r["bad"]
-    level, out = delta / max(1, len(found) * len(RULES)), {}
-    for s, rules in found.items():
-        for rule, (good, bad) in rules.items():
+    level = delta / max(1, counts.select("s").distinct().count() * len(RULES))
+    kind = stats.schema[stratum].dataType
+    schema = T.StructType([T.StructField("s", kind), *[T.StructField(CUT + r, T.LongType()) for r in RULES]])
+
+    def tested(group: pa.Table) -> pa.Table:
+        cut: dict[str, int | None] = dict.fromkeys(RULES)
+        rule, reach = group.column("rule").to_pylist(), group.column("reach").to_numpy()
+        for r, (_, cuts) in RULES.items():
+            own = np.flatnonzero([x == r for x in rule])
             # a document reaches the strictest cutoffs first
-            lost, caught = np.cumsum(good[::-1])[:-1], np.cumsum(bad[::-1])[:-1]
+            good, bad = (np.bincount(reach[own], group.column(c).to_numpy()[own], len(cuts) + 1).astype(np.int64)[::-1] for c in ("good", "bad"))
+            lost, caught = np.cumsum(good)[:-1], np.cumsum(bad)[:-1]
             k = certified(int(good.sum()), lost.tolist(), alpha / len(RULES), level)
             gain = (caught - lost)[:k]
             if k and gain.max() > 0:
-                out.setdefault(s, {})[rule] = RULES[rule][1][int(gain.argmax())]
-        out.setdefault(s, {})
-    return out
+                cut[r] = cuts[int(gain.argmax())]
+        some = any(c is not None for c in cut.values())
+        return pa.table([group.column("s").slice(0, int(some)), *[pa.array([c][: int(some)], pa.int64()) for c in cut.values()]], names=schema.names)
 
+    return saved(counts.groupBy("s").applyInArrow(tested, schema), "quality-cutoffs")
 
-def rejected(cutoffs: dict[str | None, dict[str, int]], stratum: str = "lang") -> Column:
-    """Whether a rule rejects the row; strata without cutoffs reject nothing."""
-    known = [s for s in cutoffs if s is not None]
+
+def with_cutoffs(rows: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
+    """``rows`` with their stratum's cutoffs.  Up to ``BROADCAST_STRATA`` strata
+    they are broadcast; beyond, a stratum's rows are dealt over salted parts."""
+    if cutoffs.count() <= BROADCAST_STRATA:
+        return rows.join(F.broadcast(cutoffs), F.col(stratum).eqNullSafe(F.col("s")), "left").drop("s")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns[:1], F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    same = F.col(stratum).eqNullSafe(F.col("s")) & (F.col("__salt") == F.col("__part"))
+    return dealt.join(cutoffs.withColumn("__part", salt), same, "left").drop("s", "__salt", "__part")
+
+
+def rejected() -> Column:
+    """Whether a cutoff of its stratum rejects the row."""
     verdict = F.lit(False)
-    for s, rules in cutoffs.items():
-        here = F.col(stratum).isNull() if s is None else ~F.col(stratum).isin(known) if s == POOLED else F.col(stratum) == s
-        for rule, cut in rules.items():
-            verdict = verdict | (F.coalesce(here, F.lit(False)) & F.expr(f"{RULES[rule][0]} >= {cut}"))
+    for rule, (value, _) in RULES.items():
+        verdict = verdict | F.coalesce(F.expr(f"{value} >= {CUT}{rule}"), F.lit(False))
     return verdict
 
 
@@ -172,9 +188,9 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str
     """One row per document: doc_id, the statistics, base_failed and kept."""
     stats = saved(measured(docs.select("doc_id", F.col(stratum).alias("__stratum"), F.col(text).alias("__text")), "__text")
                   .drop("__text"), "quality-stats")
-    cutoffs = fit(stats, labels, "__stratum", **options)
-    return stats.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & ~rejected(cutoffs, "__stratum")).drop("__stratum")
+    out = with_cutoffs(stats, fit(stats, labels, "__stratum", **options), "__stratum")
+    return out.withColumn("base_failed", base_failed()).withColumn(
+        "kept", ~F.col("base_failed") & ~rejected()).drop("__stratum", *[CUT + r for r in RULES])
 
 
 def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
@@ -182,7 +198,7 @@ def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **option
     with their own columns.  The texts are measured twice rather than shuffled."""
     small = docs.select("doc_id", F.col(stratum).alias("__stratum"), F.col("text").alias("__text"))
     cutoffs = fit(saved(measured(small, "__text").drop("__text"), "quality-stats"), labels, "__stratum", **options)
-    renamed = {c: fresh_name(docs, "__own_" + c) for c in docs.columns if c.lower() in {s.lower() for s in STATS} | {"base_failed"}}
+    renamed = {c: fresh_name(docs, "__own_" + c) for c in docs.columns if c.lower() in {"s", *STATS, "base_failed", *[CUT + r for r in RULES]}}
     out = measured(docs.withColumnsRenamed(renamed).withColumn("__stratum", F.col(renamed.get(stratum, stratum))))
-    out = out.filter(~base_failed() & ~rejected(cutoffs, "__stratum")).drop("__stratum", *STATS)
+    out = with_cutoffs(out.filter(~base_failed()), cutoffs, "__stratum").filter(~rejected()).drop("__stratum", *STATS, *[CUT + r for r in RULES])
     return out.withColumnsRenamed({v: k for k, v in renamed.items()}).select(*docs.columns)

@@ -51,7 +51,7 @@ marked AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id HA
 held AS (SELECT j.*, quality FROM judged j JOIN marked USING (doc_id) WHERE NOT base_failed),
 vals AS ({rules}),
 grid AS ({grid}),
-strata AS (SELECT count(*) AS n_strata FROM (SELECT DISTINCT coalesce(lang, '') FROM held)),
+strata AS (SELECT count(*) AS n_strata FROM (SELECT DISTINCT lang FROM held)),
 tested AS (SELECT lang, g.rule, pos, cut, count(*) FILTER (quality = 1) AS n,
     count(*) FILTER (quality = 1 AND v >= cut) AS x, count(*) FILTER (quality = 0 AND v >= cut) AS caught
     FROM vals v JOIN grid g ON v.rule = g.rule GROUP BY lang, g.rule, pos, cut),

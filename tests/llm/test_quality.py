@@ -52,8 +52,37 @@ def test_cutoffs_per_stratum(spark):
     assert all(out[10_000 + i] for i in range(5))  # too few labels there: nothing is rejected
     docs, labels = table(spark, 60, 40)
     assert all(r["kept"] for r in Q.judged(docs, labels).collect())
-    strata = Q.fit(Q.measured(docs.withColumnRenamed("text", "t"), "t"), labels, max_strata=1)
-    assert set(strata) == {"en", Q.POOLED}
+
+
+def strata(spark, n, others):
+    """``n`` strata of 400 good documents and ``others`` of 300 good and 100 bad,
+    which look the same."""
+    word = " ".join(f"w{i} ok" for i in range(60))
+    rows, labels = [], []
+    for s in range(n + others):
+        for i in range(400):
+            doc, good = s * 1000 + i, s < n or i < 300
+            rows.append((doc, word + ("" if good else " $ % & #" * 12), f"l{s}", "s", 1))
+            labels.append((doc, int(good), 0))
+    return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_strata_are_never_pooled(spark):
+    docs, labels = strata(spark, 64, 6)
+    assert all(r["kept"] for r in Q.judged(docs, labels).collect())  # no stratum alone has the labels to certify a cutoff
+    alone = {r["doc_id"]: r["kept"] for r in Q.judged(*strata(spark, 0, 1), delta=2.0).collect()}
+    assert sum(not k for k in alone.values()) == 100
+    # the correction is the only thing that other strata change
+    together = {r["doc_id"]: r["kept"] for r in Q.judged(docs, labels, delta=2.0 * 70).collect()}
+    assert all(together[s * 1000 + i] == (s < 64 or i < 300) for s in range(70) for i in range(400))
+
+
+def test_many_strata_are_joined_salted(spark, monkeypatch):
+    docs, labels = table(spark, 800, 40)
+    docs = docs.unionByName(frame(spark, awkward()))
+    want = {repr(r) for r in Q.judged(docs, labels).collect()}, {repr(r) for r in Q.filtered(docs, labels).collect()}
+    monkeypatch.setattr(Q, "BROADCAST_STRATA", -1)
+    assert ({repr(r) for r in Q.judged(docs, labels).collect()}, {repr(r) for r in Q.filtered(docs, labels).collect()}) == want
 
 
 def test_filter_agrees_with_verdict_and_keeps_columns(spark):
