@@ -114,6 +114,9 @@ def class_balance(df: DataFrame, label: int = 0, targets: str = "targets", label
         .withColumn("label", F.lit(labels[label]))
 
 
+BROADCAST_BLOCKS = 1_000_000   # two integers each
+
+
 def _check_finite(v: Column) -> Column:
     """The vector; a missing or non-finite value fails the query."""
     bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -157,85 +160,126 @@ def _nearest(Q: np.ndarray, qid: np.ndarray, R: np.ndarray, rid: np.ndarray, k:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
+def _spread_out(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of ``x``: the first, then always the farthest from those taken."""
+    chosen = [0]
+    near = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(n, len(x)):
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+class Exchange:
+    """What the exact search sends: ``queries`` and ``references``, both with
+    (block, part), and the number of blocks.
+
+    Vectors are centred (subtracting large offsets loses digits).  Every row
+    joins the cell of its nearest pivot (one per ``block_rows`` rows, at most
+    ``pivots``; of twice as many drawn rows, each the farthest from those before
+    it, so that no cluster is without); cells are cut into blocks of about
+    ``block_rows``.  A row's k-th distance within its own block bounds
+    how far its neighbours can be, and by the triangle inequality only cells with
+    ``d(row, pivot) - radius`` within that bound can hold one: rows are queries
+    in the blocks of those cells alone.
+
+    References follow the queries: the queries that reach each block are counted,
+    the block gets one part per ``16 * block_rows`` of them, and its rows are
+    joined to that table of (block, part).  A block that few rows ask is sent
+    once, one that none asks not at all.
+    """
+
+    def __init__(self, base: DataFrame, mean: np.ndarray, n: int, k: int, block_rows: int, pivots: int):
+        # cells of about a block, so that a row's own block can bound its k-th distance
+        wanted = min(pivots, math.ceil(n / block_rows))
+        drawn = base.orderBy(F.xxhash64("id"), "id").limit(2 * wanted).select("v").toArrow().column("v")
+        P = _spread_out(_vectors(drawn) - mean, wanted)
+        pp = (P * P).sum(1)
+
+        def place(batches):
+            for b in batches:
+                v = _vectors(b.column(1)) - mean if b.num_rows else np.zeros((0, len(mean)))
+                cell = ((v * v).sum(1)[:, None] + pp[None, :] - 2 * (v @ P.T)).argmin(1) if len(v) else np.zeros(0, np.int64)
+                near = np.sqrt(((v - P[cell]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(near)],
+                                                 names=["id", "v", "cell", "near"])
+
+        placed = materialized(base.mapInArrow(place, "id long, v array<double>, cell int, near double"), "knn-cells")
+        cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("r")).orderBy("cell").collect()   # at most ``pivots``
+        blocks = {c["cell"]: max(1, math.ceil(c["n"] / block_rows)) for c in cells}
+        first, total = {}, 0
+        for c in sorted(blocks):
+            first[c], total = total, total + blocks[c]
+        radius = np.full(len(P), -np.inf)
+        for c in cells:
+            radius[c["cell"]] = c["r"]
+        where = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, first[c])])
+        count = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, blocks[c])])
+        dealt = placed.select("id", "v", (F.element_at(where, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(count, F.col("cell"))).cast("int")).alias("block"))
+
+        def bound(group):
+            v, ids = _vectors(group.column("v")), np.asarray(group.column("id"))
+            reach = np.full(len(ids), np.inf)
+            if len(ids) > k:
+                i, _, d = _nearest(v, ids, v, ids, k)
+                reach = np.zeros(len(ids))
+                np.maximum.at(reach, i, d)
+            return pa.table([group.column("id"), group.column("v"), pa.array(reach)], names=["id", "v", "reach"])
+
+        reached = materialized(dealt.groupBy("block").applyInArrow(bound, "id long, v array<double>, reach double"), "knn-reach")
+        of_cell = [list(range(first[c], first[c] + blocks[c])) if c in first else [] for c in range(len(P))]
+        slack = 8 * np.finfo(float).eps * (len(mean) + 4)
+
+        def send(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v, reach = _vectors(b.column(1)), np.asarray(b.column(2))
+                for at in range(0, len(v), 256):
+                    x = v[at:at + 256]
+                    xx = (x * x).sum(1)[:, None]
+                    d = np.sqrt(np.maximum(xx + pp[None, :] - 2 * (x @ P.T) - slack * (xx + pp[None, :]), 0))   # rounded down
+                    go = d - radius[None, :] <= reach[at:at + 256, None] * (1 + 1e-9) + 1e-9 * d
+                    targets = [[t for c in np.flatnonzero(row) for t in of_cell[c]] for row in go]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), b.column(1).slice(at, 256), pa.array(targets, pa.list_(pa.int32()))],
+                                                     names=["id", "v", "blocks"])
+
+        self.blocks = total
+        sent = materialized(reached.mapInArrow(send, "id long, v array<double>, blocks array<int>"), "knn-sent")
+        asked = sent.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        self.requests = materialized(asked.select("block", F.ceil(F.col("n") / F.lit(16 * block_rows)).cast("int").alias("parts")), "knn-requests")
+        requests = F.broadcast(self.requests) if total <= BROADCAST_BLOCKS else self.requests
+        part = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.col("parts")).cast("int")
+        self.queries = sent.select("id", "v", F.explode("blocks").alias("block")).join(requests, "block").select("id", "v", "block", part.alias("part"))
+        self.references = dealt.join(requests, "block").select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def _centred(df: DataFrame, vec: str, id_col: str) -> tuple[DataFrame, int, np.ndarray]:
+    """The rows as (id, v), their number and the mean vector."""
+    base = df.select(F.col(id_col).cast("long").alias("id"), _check_finite(F.col(vec).cast("array<double>")).alias("v"))
+    if base.isEmpty():   # there is no mean of nothing
+        return base, 0, np.zeros(0)
+    size = base.agg(Summarizer.mean(array_to_vector("v")).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    return base, size["n"], size["m"].toArray()
+
+
 def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, block_rows: int = 2048,
-        pivots: int = 256, fan: int = 32) -> DataFrame:
+        pivots: int = 4096, fan: int = 32) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded, ties by
     neighbour id): ``(id, nbr, dist, rank)``.
 
-    Vectors are centred (subtracting large offsets loses digits).  Every row
-    joins the cell of its nearest pivot (at most ``pivots`` rows, those with the
-    least hash of their id); cells are cut into blocks of about ``block_rows``.
-    A row's k-th distance within its own block bounds how far its neighbours can
-    be, and by the triangle inequality only cells with ``d(row, pivot) - radius``
-    within that bound can hold one: rows are sent to the blocks of those cells
-    alone.  Each (block, part of the queries) is one group, where NumPy keeps the
-    k best per query, so no pair is ever emitted; the survivors of a row are
-    merged as a tree of ``fan`` blocks at a time.  Well-separated data visits few
-    cells; data without clusters visits them all, which is the cost of an exact
-    search.  Missing or non-finite vectors fail the query; ids are unique.
+    ``Exchange`` says which rows meet.  Each (block, part) is one group, where
+    NumPy keeps the k best per query, so no pair is ever emitted; the survivors
+    of a row are merged as a tree of ``fan`` blocks at a time.  Well-separated
+    data visits few cells; data without clusters visits them all, which is the
+    cost of an exact search.  Missing or non-finite vectors fail the query; ids
+    are unique.
     """
     spark = df.sparkSession
-    base = df.select(F.col(id_col).cast("long").alias("id"), _check_finite(F.col(vec).cast("array<double>")).alias("v"))
-    size = base.agg(Summarizer.mean(array_to_vector("v")).alias("m"), F.count(F.lit(1)).alias("n")).first()
-    if not size["n"]:
+    base, n, mean = _centred(df, vec, id_col)
+    if not n:
         return spark.createDataFrame([], "id long, nbr long, dist double, rank int")
-    mean = size["m"].toArray()
-    # cells of about a block, so that a row's own block can bound its k-th distance
-    centres = base.orderBy(F.xxhash64("id"), "id").limit(min(pivots, math.ceil(size["n"] / block_rows))).select("v").toArrow().column("v")
-    P = _vectors(centres) - mean
-    pp = (P * P).sum(1)
-
-    def place(batches):
-        for b in batches:
-            v = _vectors(b.column(1)) - mean if b.num_rows else np.zeros((0, len(mean)))
-            cell = ((v * v).sum(1)[:, None] + pp[None, :] - 2 * (v @ P.T)).argmin(1) if len(v) else np.zeros(0, np.int64)
-            near = np.sqrt(((v - P[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(near)],
-                                             names=["id", "v", "cell", "near"])
-
-    placed = materialized(base.mapInArrow(place, "id long, v array<double>, cell int, near double"), "knn-cells")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("r")).orderBy("cell").collect()
-    blocks = {c["cell"]: max(1, math.ceil(c["n"] / block_rows)) for c in cells}
-    first, total = {}, 0
-    for c in sorted(blocks):
-        first[c], total = total, total + blocks[c]
-    radius = np.full(len(P), -np.inf)
-    for c in cells:
-        radius[c["cell"]] = c["r"]
-    where = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, first[c])])
-    count = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, blocks[c])])
-    dealt = placed.withColumn("block", F.element_at(where, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(count, F.col("cell"))).cast("int"))
-
-    def bound(group):
-        v, ids = _vectors(group.column("v")), np.asarray(group.column("id"))
-        reach = np.full(len(ids), np.inf)
-        if len(ids) > k:
-            i, _, d = _nearest(v, ids, v, ids, k)
-            reach = np.zeros(len(ids))
-            np.maximum.at(reach, i, d)
-        return pa.table([group.column("id"), group.column("v"), pa.array(reach)], names=["id", "v", "reach"])
-
-    reached = materialized(dealt.select("id", "v", "block").groupBy("block").applyInArrow(bound, "id long, v array<double>, reach double"), "knn-reach")
-    of_cell = [list(range(first[c], first[c] + blocks[c])) if c in first else [] for c in range(len(P))]
-
-    def send(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v, reach = _vectors(b.column(1)), np.asarray(b.column(2))
-            for at in range(0, len(v), 256):
-                x = v[at:at + 256]
-                d = np.sqrt(((x[:, None, :] - P[None, :, :]) ** 2).sum(2))
-                go = d * (1 - 1e-9) - radius[None, :] <= reach[at:at + 256, None] * (1 + 1e-9) + 1e-9 * d
-                targets = [[t for c in np.flatnonzero(row) for t in of_cell[c]] for row in go]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), b.column(1).slice(at, 256), pa.array(targets, pa.list_(pa.int32()))],
-                                                 names=["id", "v", "blocks"])
-
-    n = sum(c["n"] for c in cells)
-    queries = max(1, math.ceil(n / (16 * block_rows)))     # parts of the queries, so that a group stays bounded
-    q = reached.mapInArrow(send, "id long, v array<double>, blocks array<int>").select(
-        "id", "v", F.explode("blocks").alias("block"), F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(queries)).cast("int").alias("part"), F.lit(True).alias("q"))
-    r = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))).alias("part"), F.lit(False).alias("q"))
+    sent = Exchange(base, mean, n, k, block_rows, pivots)
 
     def top_k(group):
         is_q = np.asarray(group.column("q"))
@@ -249,9 +293,10 @@ def knn(df: DataFrame, vec: str = "features", id_col: str = "id", k: int = 30, b
         block = np.full(len(i), group.column("block")[0].as_py(), np.int64)
         return pa.table([pa.array(qid[i]), pa.array(rid[j]), pa.array(d), pa.array(block)], names=["id", "nbr", "dist", "_g"])
 
-    cand = q.unionByName(r).groupBy("block", "part").applyInArrow(top_k, "id long, nbr long, dist double, _g long")
+    both = sent.queries.withColumn("q", F.lit(True)).unionByName(sent.references.withColumn("q", F.lit(False)))
+    cand = both.groupBy("block", "part").applyInArrow(top_k, "id long, nbr long, dist double, _g long")
     # tree merge of each row's survivors: no window group exceeds fan * k rows
-    groups = total
+    groups = sent.blocks
     while groups > fan:
         cand = cand.withColumn("_g", F.floor(F.col("_g") / F.lit(fan)))
         w = Window.partitionBy("id", "_g").orderBy("dist", "nbr")

@@ -10,16 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import COMPARTMENTS, IDENTITY, KFOLDS, MAX_LEN, SEED, TEST_SIZE, VAL_SHARE
 from ..operators import curate as C
 from ..operators import diagnose as DG
 from ..operators import encode as E
+from ..operators import lsh as LSH
 from ..operators import pool as PL
 from ..operators import score as SC
 from ..operators import similarity as SIM
+from ..session import materialized
 from ..sources import readers as R
 from ..streaming import running as ST
 from ..sources import sinks as K
@@ -871,6 +873,35 @@ def q_g5(spark, sf):
     return _knn(spark, sf).withColumn("dist", r6("dist")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("G5_knn_lsh")
+def q_g5l(spark, sf):
+    """Signed random projections over the whole embedding, with the recall
+    measured on the pilots.  No SQL: the neighbours depend on random directions;
+    G5_knn_lsh_recall holds them against the exact ones."""
+    found, recall = LSH.knn_lsh(_embedded(spark, sf), "features", k=30)
+    return found.select("id", "nbr", r6("dist").alias("dist"), F.col("rank").cast("bigint").alias("rank"), F.lit(round(recall, 6)).alias("recall"))
+
+
+@query("G5_knn_lsh_recall", _G5 + """SELECT (SELECT count(*) FROM f) AS n, count(*) AS n_true, true AS recall_reached, true AS distances_exact,
+  true AS ranks_ascend FROM nn""")
+def q_g5r(spark, sf):
+    """The LSH neighbours against the exact ones of the same rows: at least 0.9
+    of them found, each at its true distance."""
+    d = materialized(_embedded(spark, sf), "lsh-input")
+    found, _ = LSH.knn_lsh(d, "features", k=30)
+    r = LSH.recall_of(found, DG.knn(d, "features", k=30))
+    far = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
+    own, other = d.select("id", F.col("features").alias("x")), d.select(F.col("id").alias("nbr"), F.col("features").alias("y"))
+    w = Window.partitionBy("id").orderBy("rank")
+    checked = found.join(own, "id").join(other, "nbr").select(
+        (F.abs(far("x", "y") - F.col("dist")) < 1e-6).alias("exact"), (F.col("dist") >= F.coalesce(F.lag("dist").over(w), F.lit(0.0))).alias("ascend"))
+    yes, none = F.lit(True), F.lit(0).cast("long")
+    both = r.select("n", "n_true", (F.col("recall") >= 0.9).alias("reached"), yes.alias("exact"), yes.alias("ascend")).unionByName(
+        checked.select(none.alias("n"), none.alias("n_true"), yes.alias("reached"), "exact", "ascend"))
+    return both.agg(F.max("n").alias("n"), F.max("n_true").alias("n_true"), F.every("reached").alias("recall_reached"),
+                    F.every("exact").alias("distances_exact"), F.every("ascend").alias("ranks_ascend"))
+
+
 @query("G6_neighbour_purity", _G5 + f""", cls AS (SELECT id, CASE WHEN list_max(targets) > 0
   THEN {NAMES}[list_position(targets, list_max(targets))] END AS c FROM f),
 per AS (SELECT nn.id, a.c, avg(coalesce((a.c = b.c)::INT, 0)) AS s FROM nn JOIN cls a ON nn.id = a.id
