@@ -13,6 +13,11 @@ from seqlabel.llm import packing, quality, simhash, suffixdedup, toxicity
 from seqlabel.llm.common import saved, table
 
 
+#: Workers of the stages before are still there, so packing remembers fewer parts
+#: than by itself.
+PACK_CACHE = 120_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rule or a certified cutoff rejects."""
     return quality.filtered(docs, table(spark, sf_dir, "labels"))
@@ -36,7 +41,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the texts that are left."""
-    return packing.packed(docs)
+    return packing.packed(docs, cache=PACK_CACHE)
 
 
 STAGES = [

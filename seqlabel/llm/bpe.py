@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, tokenizer_path
+from .common import append, held, tokenizer_path
 
 FILE = "byte_bpe_50k.json"
 CACHE = 400_000
@@ -221,9 +220,8 @@ class Codec:
         return [x[:-1] for x in self.as_decimal.joined(np.concatenate(ids), list(map(len, ids)))]
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encoded(docs: DataFrame, file: str = FILE, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -244,4 +242,4 @@ def encoded(docs: DataFrame, file: str = FILE, doc_id: str = "doc_id", text: str
     if keep_ids:
         fields += [T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())]
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    return append(own, ["__text"], run, fields).drop("__text")
+    return append(own, ["__text"], run, fields, holds=True).drop("__text")

@@ -52,14 +52,34 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def append(df: DataFrame, inputs: list[str], fn: Callable[..., list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+#: What an operator's tasks keep in this worker process.
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The worker's object of this key, kept for later tasks.  Workers outlive a
+    stage, so what another key has kept is dropped first."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def released() -> None:
+    """Drops what an earlier operator has kept in this worker."""
+    _HELD.clear()
+
+
+def append(df: DataFrame, inputs: list[str], fn: Callable[..., list[pa.Array]], fields: list[T.StructField], holds: bool = False) -> DataFrame:
     """``df`` with the columns that ``fn`` computes from the ``inputs`` of each
-    Arrow batch, in one pass over the data."""
+    Arrow batch, in one pass over the data.  ``holds``: it uses ``held``."""
     schema = T.StructType([*df.schema.fields, *fields])
     names = schema.names
     places = [df.columns.index(c) for c in inputs]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            released()
         for batch in batches:
             new = fn(*[batch.column(i) for i in places])
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)

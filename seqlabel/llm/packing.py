@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -35,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, saved, tokenizer_path
+from .common import held, parts, saved, tokenizer_path
 
 FILE = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 2
+#: Parts and bytes that a worker's caches hold at most.
 CACHE = 400_000
+CACHE_BYTES = 64 << 20
 CHUNK = 2 << 20
 #: ASCII punctuation but the apostrophe, which begins endings of its own.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -48,10 +49,11 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 class Kept:
     """A bounded map that keeps what was asked for lately: when the young half is
-    full it becomes the old half, and what is still used moves back."""
+    full, in entries or in bytes, it becomes the old half, and what is still used
+    moves back."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int, most_bytes: int):
+        self.size, self.most_bytes, self.bytes, self.young, self.old = size, most_bytes, 0, {}, {}
 
     def missing(self, keys: Iterable[str]) -> list[str]:
         """The distinct keys that aren't held; the others are made young."""
@@ -61,17 +63,20 @@ class Kept:
             if k not in young:
                 if k in old:
                     young[k] = old[k]
+                    self.bytes += len(k) + len(old[k])
                 else:
                     new.append(k)
         return new
 
     def add(self, items: Iterable[tuple[str, bytes]]) -> None:
+        items = dict(items)
+        self.bytes += sum(map(len, items)) + sum(map(len, items.values()))
         self.young.update(items)
 
     def turn(self) -> None:
         """To be called between batches."""
-        if len(self.young) > self.size // 2:
-            self.old, self.young = self.young, {}
+        if len(self.young) > self.size // 2 or self.bytes > self.most_bytes // 2:
+            self.old, self.young, self.bytes = self.young, {}, 0
 
 
 class Ids:
@@ -83,7 +88,7 @@ class Ids:
     encoded many at a time and told apart by their ends, which the vocabulary
     marks.  Any other part goes through the tokenizer as it is."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -95,7 +100,7 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache, self.known, self.rest = Kept(CACHE * 3 // 5), Kept(CACHE), Kept(CACHE // 8)
+        self.cache, self.known, self.rest = (Kept(n, CACHE_BYTES * n // CACHE) for n in (cache * 3 // 5, cache, cache // 8))
 
     def runs(self, words: list[str]) -> list[bytes]:
         """Ids of lower-cased runs of letters in composed form."""
@@ -149,9 +154,9 @@ class Ids:
         return out
 
 
-@lru_cache(maxsize=2)
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def ids_of(path: str, cache: int = CACHE) -> Ids:
+    """This worker's tokenizer and caches; another operator's tasks drop them."""
+    return held(("packing", path, cache), lambda: Ids(path, cache))
 
 
 def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -167,12 +172,12 @@ def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, nth long"
 
 
-def pieces(docs: DataFrame, file: str, capacity: int, end: int, doc_id: str, text: str) -> DataFrame:
+def pieces(docs: DataFrame, file: str, capacity: int, end: int, doc_id: str, text: str, cache: int = CACHE) -> DataFrame:
     """One row per piece, numbered per length within its task."""
     last = end.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, worker, counts = ids_of(tokenizer_path(file)), TaskContext.get().partitionId(), {}
+        ids, worker, counts = ids_of(tokenizer_path(file), cache), TaskContext.get().partitionId(), {}
         for batch in parts(batches, "__text", CHUNK):
             rows = []
             encoded = ids.encode_batch([t or "" for t in batch.column(1).to_pylist()])
@@ -210,12 +215,13 @@ def first_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, file: str = FILE, end: int = END,
-           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+           doc_id: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and padded_length, the length its sequence is padded to
-    (its own if that is a power of two, else the capacity)."""
+    (its own if that is a power of two, else the capacity).  ``cache``: parts that a
+    worker remembers, at most."""
     spark = docs.sparkSession
-    rows = saved(pieces(docs, file, capacity, end, doc_id, text), "pieces")
+    rows = saved(pieces(docs, file, capacity, end, doc_id, text, cache), "pieces")
     counts = rows.groupBy("length", "worker").agg(F.count("*").alias("n"))
     firsts = saved(counts.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("worker")) - F.col("n")), "firsts")
     # at most one row per class: about 2 * sqrt(capacity)

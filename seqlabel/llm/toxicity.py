@@ -220,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     if 0 < y.sum() < len(y):
         x = np.stack((np.ones(len(y)), table.column("a").to_numpy(), table.column("b").to_numpy()), 1)
         model.weights = calibrated(x, y)
+    shared.destroy()
     return model
 
 

@@ -15,7 +15,7 @@ from seqlabel.llm.queries import QUERIES
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and set(QUERIES) < set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "near_dedup", "suffix_dedup", "packing"]
 
 
