@@ -1031,10 +1031,36 @@ def q_b4k(spark, sf):
 
 @query("B4_near_copies_documents")
 def q_b4kd(spark, sf):
-    """Near copies within the whole documents at identity >= 0.9 (k-mer mode).
-    No SQL: the all-pairs check on whole texts is too slow for DuckDB; tests
-    compare the mode with brute force."""
-    return SIM.similar_pairs_kmer(V.seq_v(spark, sf), None, 0.9).withColumn("identity", r6("identity"))
+    """Near copies within the whole documents at identity >= 0.9 (segment index).
+    No SQL: the all-pairs check on whole texts is too slow for DuckDB; the next
+    entries run the same index on shorter ones."""
+    return SIM.similar_pairs_segments(V.seq_v(spark, sf), None, 0.9).withColumn("identity", r6("identity"))
+
+
+def _all_pairs(texts: str, t: float) -> str:
+    return f"""WITH t AS ({texts}), pairs AS (SELECT a.id, b.id AS ref_id, levenshtein(a.sequence, b.sequence) AS distance,
+    greatest(length(a.sequence), length(b.sequence)) AS L
+  FROM t a JOIN t b ON a.id < b.id AND least(length(a.sequence), length(b.sequence)) >= {t} * greatest(length(a.sequence), length(b.sequence)) - 1e-9
+  WHERE length(a.sequence) > 0 AND length(b.sequence) > 0),
+hits AS (SELECT id, ref_id, distance, round(1 - distance / L, 6) AS identity FROM pairs WHERE 1 - distance / L >= {t} - 1e-9)
+"""
+
+
+@query("B4_near_copies_segments", _all_pairs("SELECT page_id AS id, upper(regexp_replace(url, '[^A-Za-z]', '', 'g')) AS sequence FROM pages", 0.9) + "SELECT * FROM hits")
+def q_b4s(spark, sf):
+    """Near copies among the letters of all page addresses at identity >= 0.9."""
+    return SIM.similar_pairs_segments(_urls(spark, sf), None, 0.9).withColumn("identity", r6("identity"))
+
+
+@query("B4_near_copy_classes", _all_pairs("SELECT page_id AS id, upper(regexp_replace(url, '[^A-Za-z]', '', 'g')) AS sequence FROM pages", 0.9) + """,
+cls AS (SELECT id, min(id) OVER (PARTITION BY sequence) AS class_id FROM t WHERE length(sequence) > 0),
+links AS (SELECT id, ref_id FROM hits WHERE distance > 0 AND id IN (SELECT class_id FROM cls) AND ref_id IN (SELECT class_id FROM cls)),
+ends AS (SELECT id FROM links UNION ALL SELECT ref_id FROM links)
+SELECT c.id, c.class_id, (SELECT count(*) FROM ends e WHERE e.id = c.class_id) AS n_links FROM cls c""")
+def q_b4c(spark, sf):
+    """Every page with its class of equal letters and how many other classes are
+    within identity 0.9."""
+    return SIM.near_copy_classes(_urls(spark, sf), 0.9)[0]
 
 
 @query("E7_misclassified_any", PV + f"""
