@@ -134,7 +134,8 @@ def merge_annotations(sources: Mapping[str, DataFrame] | DataFrame, key: str, la
     A label is positive if any source says so (max), ``<label>_conflict`` marks
     sources that disagree (max <> min over non-null values), and ``sources``
     lists the contributing source names, sorted.  Missing label columns in a
-    source count as not annotated.
+    source count as not annotated.  Rows without a key describe no common thing:
+    each stays a row of its own.
     """
     if isinstance(sources, DataFrame):   # one table whose rows name their source
         tagged = sources.withColumn("_src", F.col(source_col))
@@ -147,7 +148,9 @@ def merge_annotations(sources: Mapping[str, DataFrame] | DataFrame, key: str, la
     for c in labels:
         col = F.col(f"`{c}`")
         aggs += [F.max(col).alias(c), (F.max(col) != F.min(col)).alias(f"{c}_conflict")]
-    return tagged.groupBy(key).agg(*aggs, F.array_sort(F.collect_set("_src")).alias("sources"))
+    # rows without a key are told apart by a number; all others share the null
+    tagged = tagged.withColumn("_solo", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    return tagged.groupBy(key, "_solo").agg(*aggs, F.array_sort(F.collect_set("_src")).alias("sources")).drop("_solo")
 
 
 # --------------------------------------------------------------------- B7

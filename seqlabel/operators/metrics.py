@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -336,6 +337,26 @@ def history_from_confusion(conf: DataFrame, by: Sequence[str] = ("epoch",), spli
     return g.groupBy(*by).pivot(split, splits).agg(F.first("acc").alias("acc"), F.first("loss").alias("loss"))
 
 
+def store_epochs(scored: DataFrame, path: str, epoch: str = "epoch", split: str = "split",
+                 labels: Sequence[str] = COMPARTMENTS) -> DataFrame:
+    """F14, resumable: the F0 counts of the epochs that ``path`` does not hold
+    yet are added to it, one partition each, and the whole history is returned.
+
+    Counts are additive, so the stored table is all that an earlier epoch's
+    predictions are needed for: they are read once, when the epoch is added.  A
+    run that stopped is repeated as it is; an epoch is there as a whole or not
+    at all, and one that is written again replaces itself."""
+    spark = scored.sparkSession
+    try:
+        done = [r[0] for r in spark.read.parquet(path).select(epoch).distinct().collect()]   # one row per epoch
+    except AnalysisException:       # nothing is stored yet
+        done = []
+    todo = scored.filter(~F.col(epoch).isin(done)) if done else scored
+    counts = confusion(todo, [epoch, split], labels)
+    counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(epoch).parquet(path)
+    return history_from_confusion(spark.read.schema(counts.schema).parquet(path), [epoch], split)
+
+
 def best_so_far(hist: DataFrame, metric: str, order: str = "epoch", by: Sequence[str] = ()) -> DataFrame:
     """running best of ``metric``: a new best only when strictly greater
     than every earlier value (ties keep the first), starting from 0.

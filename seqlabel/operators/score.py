@@ -12,11 +12,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,26 +61,34 @@ def linear_head(df: DataFrame, vec: str, weights: Sequence[Sequence[float]], bia
 
 
 def fit_multilabel(df: DataFrame, features: str = "features", targets: str = "targets",
-                   labels: Sequence[str] = COMPARTMENTS, reg: float = 0.0, max_iter: int = 50) -> DataFrame:
+                   labels: Sequence[str] = COMPARTMENTS, reg: float = 0.0, max_iter: int = 50, tol: float = 1e-6,
+                   at_once: int = 4) -> DataFrame:
     """One logistic model per label on the same features.
 
     Output ``label_idx, label, weights ARRAY<DOUBLE>, bias, objective_first,
     objective_last, iterations`` — weights feed ``linear_head``.  The
-    feature frame is cached for the label loop (one pass per iteration per
-    label happens on executors; only the coefficients come back).
+    feature frame is cached for all labels (one pass per iteration per label
+    happens on executors; only the coefficients come back).  ``at_once`` labels
+    are fitted side by side, each from a thread with a scheduler pool of its own,
+    so that one label's short passes fill the cores that another leaves idle.
     """
     base = df.select(array_to_vector(F.col(features)).alias("_x"), F.col(targets).alias("_y")).persist()
     spark = df.sparkSession
-    rows = []
+
+    def fitted(i: int, name: str) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"label-{i}")
+        d = base.select("_x", F.element_at("_y", i + 1).cast("double").alias("_yi")).filter(F.col("_yi").isNotNull())
+        lr = LogisticRegression(featuresCol="_x", labelCol="_yi", regParam=reg, maxIter=max_iter,
+                                tol=tol, standardization=False)
+        m = lr.fit(d)
+        hist = m.summary.objectiveHistory
+        return (i, name, [float(x) for x in m.coefficients.toArray()], float(m.intercept),
+                float(hist[0]), float(hist[-1]), int(m.summary.totalIterations))
+
     try:
-        for i, name in enumerate(labels):
-            d = base.select("_x", F.element_at("_y", i + 1).cast("double").alias("_yi")).filter(F.col("_yi").isNotNull())
-            lr = LogisticRegression(featuresCol="_x", labelCol="_yi", regParam=reg, maxIter=max_iter,
-                                    standardization=False)
-            m = lr.fit(d)
-            hist = m.summary.objectiveHistory
-            rows.append((i, name, [float(x) for x in m.coefficients.toArray()], float(m.intercept),
-                         float(hist[0]), float(hist[-1]), int(m.summary.totalIterations)))
+        base.count()        # cached once, before the labels start
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            rows = list(pool.map(inheritable_thread_target(spark)(fitted), range(len(labels)), labels))
     finally:
         base.unpersist()
     schema = "label_idx int, label string, weights array<double>, bias double, objective_first double, " \

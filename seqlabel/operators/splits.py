@@ -7,7 +7,10 @@ sizes are exact (``DataFrame.sample`` / ``randomSplit`` are neither).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import KFOLDS, SEED, TEST_SIZE, VAL_SHARE
@@ -15,20 +18,62 @@ from ..session import materialized
 from .rank import global_rank, md5_key, ordered_rank
 
 
+#: A boundary bucket of at most so many ids is ranked; a larger one is cut further.
+BUCKET_ROWS = 50_000
+
+
+def first_of(df: DataFrame, n_of: Callable[[int], int], seed: int = SEED, id_col: str = "id") -> tuple[Column | None, int]:
+    """A condition for the first ``n_of(rows)`` rows in the seeded order, and the
+    number of rows.
+
+    Selection, not ranking: ids are counted per prefix of their hash, the prefix
+    that holds the n-th row is counted again by a longer one until it has few
+    ids, and only those are sorted.  Everything else is told by comparing with
+    the n-th (hash, id), so rows are never shuffled.  Jobs read the ids only;
+    the driver gets at most 65,536 counts a step.  None if several rows share the
+    n-th id, which no condition can tell apart.
+    """
+    key = md5_key(seed, id_col)
+    ids = df.select(key.alias("_h"), F.col(id_col).alias("_id"))
+    prefix, before, total, n = "", 0, None, 0
+    while total is None or (size > BUCKET_ROWS and len(prefix) < 32):
+        counts = ids.filter(F.col("_h").startswith(prefix)).groupBy(F.substring("_h", 1, len(prefix) + 4).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        table = counts.toArrow().sort_by("p")
+        sizes, names = table.column("n").to_numpy(), table.column("p")
+        if total is None:
+            total = int(sizes.sum())
+            n = n_of(total)
+            if n <= 0 or n >= total:
+                return F.lit(n > 0), total
+        ends = before + sizes.cumsum()
+        at = int((ends < n).sum())      # the first bucket that reaches the n-th row
+        prefix, size, before = names[at].as_py(), int(sizes[at]), int(ends[at] - sizes[at])
+    bucket = ids.filter(F.col("_h").startswith(prefix))
+    last = bucket.orderBy("_h", "_id").limit(n - before).agg(F.max(F.struct("_h", "_id")).alias("k")).first()["k"]
+    h, same = F.lit(last["_h"]), bucket.filter((F.col("_h") == last["_h"]) & (F.col("_id") == F.lit(last["_id"])))
+    if same.count() > 1:
+        return None, total
+    return (key < h) | ((key == h) & (F.col(id_col) <= F.lit(last["_id"]))), total
+
+
 def sample_exact(df: DataFrame, n: int, seed: int = SEED, id_col: str = "id", check: bool = True) -> DataFrame:
     """Exactly ``n`` rows, seeded, without replacement.  ``n`` larger than
-    the table is an error (checked with a count before the plan is built)."""
-    if check:
-        tot = df.count()          # one partial-aggregate pass, not the ranking itself
-        if n > tot:
-            raise ValueError(f"cannot take a sample of {n} from {tot} rows without replacement")
-    return global_rank(df, md5_key(seed, id_col), id_col).filter(F.col("rank") <= n)
+    the table is an error (checked while the plan is built).  Only the rows
+    chosen are ranked."""
+    chosen, total = first_of(df, lambda _: n, seed, id_col)
+    if check and n > total:
+        raise ValueError(f"cannot take a sample of {n} from {total} rows without replacement")
+    return global_rank(df if chosen is None else df.filter(chosen), md5_key(seed, id_col), id_col).filter(F.col("rank") <= n)
 
 
 def split(df: DataFrame, test: float = TEST_SIZE, seed: int = SEED, id_col: str = "id",
           out: str = "split") -> DataFrame:
     """Adds ``split`` = 'test' for the first ``ceil(test * N)`` rows of the
-    seeded order, 'train' for the rest (the sizes of the usual library split)."""
+    seeded order, 'train' for the rest (the sizes of the usual library split).
+    A projection: the rows stay where they are."""
+    chosen, _ = first_of(df, lambda n: math.ceil(float(test) * n), seed, id_col)
+    if chosen is not None:
+        return df.withColumn(out, F.when(chosen, F.lit("test")).otherwise(F.lit("train")))
     ranked = global_rank(df, md5_key(seed, id_col), id_col, total="_n")
     n_test = F.ceil(F.lit(float(test)) * F.col("_n"))
     return ranked.withColumn(out, F.when(F.col("rank") <= n_test, F.lit("test")).otherwise(F.lit("train"))) \

@@ -133,6 +133,16 @@ CONF = "1/list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))"
 NAMES = "[" + ", ".join("'" + x + "'" for x in COMPARTMENTS) + "]"
 PV = O.with_views(O.PRED_V, LAB)
 PVS = O.with_views(O.PRED_V, LAB, SPLIT_SQL)
+_HEAD = ("list_transform(range(10), lambda l: list_sum(list_transform(range(64), lambda j: x[j+1] * "
+         "((((3*l + 5*j) % 7) - 3) / 10))) + (l - 4) / 10)")
+_EMB = "SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
+#: Logits of the head over all dimensions of the embedding, with the targets.
+HEADED_V = f"""headed_v AS (SELECT e.id, {_HEAD.replace('x[', 'e.x[')} AS logits, p.targets FROM ({_EMB}) e JOIN pred_v p ON e.id = p.id WHERE p.run = 0)"""
+PH = O.with_views(O.PRED_V, LAB, HEADED_V)
+
+
+def _head_logits(spark, sf):
+    return _headed(spark, sf).withColumnRenamed("features", "logits")
 
 
 def _scored(spark, sf):
@@ -161,12 +171,12 @@ def q_e4(spark, sf):
     return _pred(spark, sf).select("run", "id", r6(fa.confidence("logits")).alias("confidence"))
 
 
-@query("E5_attach", O.with_views(O.SEQ_V, O.PRED_V) + f"""
+@query("E5_attach", O.with_views(O.SEQ_V, O.PRED_V, HEADED_V) + f"""
 SELECT s.id, s.lang, s.source, round({CONF.replace('logits', 'p.logits')}, 6) AS confidence
-FROM seq_v s JOIN pred_v p ON s.id = p.id WHERE p.run = 0""")
+FROM seq_v s JOIN headed_v p ON s.id = p.id""")
 def q_e5(spark, sf):
     src = V.seq_v(spark, sf).select("id", "lang", "source")
-    sc = _pred(spark, sf).filter("run = 0").select("id", r6(fa.confidence("logits")).alias("confidence"))
+    sc = _head_logits(spark, sf).select("id", r6(fa.confidence("logits")).alias("confidence"))
     return P.attach(src, sc)
 
 
@@ -180,22 +190,22 @@ def q_e5u(spark, sf):
     return P.unmatched(src, sc).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("E6_dominant", PV + f"""
+@query("E6_dominant", PH + f"""
 SELECT id, CASE WHEN list_max(targets) > 0 THEN {NAMES}[list_position(targets, list_max(targets))] END AS dominant_true,
   CASE WHEN list_max({PROB}) > 0 THEN {NAMES}[list_position({PROB}, list_max({PROB}))] END AS dominant_pred
-FROM pred_v WHERE run = 0""")
+FROM headed_v""")
 def q_e6(spark, sf):
-    p = _pred(spark, sf).filter("run = 0")
+    p = _head_logits(spark, sf)
     return p.select("id", fa.dominant("targets", COMPARTMENTS).alias("dominant_true"),
                     fa.dominant(fa.probs("logits"), COMPARTMENTS).alias("dominant_pred"))
 
 
-@query("E6_dominant_counts", PV + f"""
-SELECT CASE WHEN list_max(targets) > 0 THEN {NAMES}[list_position(targets, list_max(targets))] END AS dominant, count(*) AS n
-FROM pred_v WHERE run = 0 GROUP BY 1""")
+@query("E6_dominant_counts", PH + f"""
+SELECT CASE WHEN list_max({PROB}) > 0 THEN {NAMES}[list_position({PROB}, list_max({PROB}))] END AS dominant, count(*) AS n
+FROM headed_v GROUP BY 1""")
 def q_e6c(spark, sf):
-    p = _pred(spark, sf).filter("run = 0")
-    return p.groupBy(fa.dominant("targets", COMPARTMENTS).alias("dominant")).agg(F.count(F.lit(1)).alias("n"))
+    p = _head_logits(spark, sf)
+    return p.groupBy(fa.dominant(fa.probs("logits"), COMPARTMENTS).alias("dominant")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _E7_SQL = PV + f"""
@@ -250,16 +260,16 @@ def q_e9(spark, sf):
     return P.mean_confidence(d, ["run", "split"]).withColumn("mean_confidence", r6("mean_confidence"))
 
 
-@query("D9_predicted_names", PV + f"""SELECT id, list_transform(list_filter(range(10), lambda i: {PRED}[i+1] = 1),
-  lambda i: {NAMES}[i+1]) AS predicted FROM pred_v WHERE run = 0""")
+@query("D9_predicted_names", PH + f"""SELECT id, list_transform(list_filter(range(10), lambda i: {PRED}[i+1] = 1),
+  lambda i: {NAMES}[i+1]) AS predicted FROM headed_v""")
 def q_d9(spark, sf):
-    return P.with_names(_pred(spark, sf).filter("run = 0")).select("id", "predicted")
+    return P.with_names(_head_logits(spark, sf)).select("id", "predicted")
 
 
-@query("D10_feature_table", PVS + """SELECT p.id, s.split, list_transform(p.logits, lambda x: round(x, 6)) AS features, p.targets
-FROM pred_v p JOIN sp s ON p.id = s.id WHERE p.run = 0""")
+@query("D10_feature_table", O.with_views(O.PRED_V, LAB, SPLIT_SQL, HEADED_V) + """SELECT p.id, s.split, list_transform(p.logits, lambda x: round(x, 6)) AS features,
+  p.targets FROM headed_v p JOIN sp s ON p.id = s.id""")
 def q_d10(spark, sf):
-    d = _pred(spark, sf).filter("run = 0").join(_split_ids(spark, sf), "id")
+    d = _head_logits(spark, sf).join(_split_ids(spark, sf), "id")
     ft = P.feature_table({"train": d.filter("split = 'train'"), "test": d.filter("split = 'test'")})
     return ft.withColumn("features", r6a("features"))
 
@@ -380,6 +390,18 @@ def q_f14(spark, sf):
     return h.select("epoch", *[r6(c).alias(c) for c in ("train_acc", "train_loss", "test_acc", "test_loss")])
 
 
+@query("F14_history_resumed", _HIST_SQL + """SELECT epoch, round(train_acc, 6) AS train_acc, round(train_loss, 6) AS train_loss,
+  round(test_acc, 6) AS test_acc, round(test_loss, 6) AS test_loss FROM hist""")
+def q_f14r(spark, sf):
+    """Two epochs stored, then a second run that finds them and adds the others."""
+    from ..session import fresh_path
+    d = _pred(spark, sf).join(_split_ids(spark, sf), "id").withColumnRenamed("run", "epoch")
+    path = fresh_path(spark, "epochs")
+    M.store_epochs(d.filter("epoch < 2"), path)
+    h = M.store_epochs(d, path)
+    return h.select(F.col("epoch").cast("int").alias("epoch"), *[r6(c).alias(c) for c in ("train_acc", "train_loss", "test_acc", "test_loss")])
+
+
 @query("F13_best_so_far", _HIST_SQL + """
 , b AS (SELECT epoch, test_acc, coalesce(max(test_acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best_before FROM hist)
 SELECT epoch, round(test_acc, 6) AS test_acc, round(best_before, 6) AS best_before, test_acc > best_before AS is_new_best,
@@ -597,7 +619,7 @@ def q_b5d(spark, sf):
 
 @query("B6_merge_annotations", SV + f"""SELECT {_B3_KEY} AS key,
   {", ".join(f"max({c}) AS {c}, max({c}) <> min({c}) AS {c}_conflict" for c in ("quality", "toxic", "en"))},
-  list_sort(list_distinct(list(source))) AS sources FROM seq_v GROUP BY 1""")
+  list_sort(list_distinct(list(source))) AS sources FROM seq_v GROUP BY 1, CASE WHEN sequence IS NULL THEN id END""")
 def q_b6(spark, sf):
     d = V.seq_v(spark, sf).withColumn("key", C.seq_key("sequence")).select("key", "source", "quality", "toxic", "en")
     return C.merge_annotations(d, "key", ["quality", "toxic", "en"], source_col="source")
@@ -668,8 +690,6 @@ HEAD_W, HEAD_B = SC.rule_head(10, 64)
 _SMOOTH_W = PL.gaussian_weights(2)
 _LN = "list_transform(vec, lambda x: (x - list_avg(vec)) / sqrt(list_aggregate(vec, 'var_pop') + 1e-5))"
 _DOT_Q = "list_sum(list_transform(range(64), lambda j: ln[j+1] * ((((7*j) % 5) - 2) / 10)))"
-_HEAD = ("list_transform(range(10), lambda l: list_sum(list_transform(range(64), lambda j: x[j+1] * "
-         "((((3*l + 5*j) % 7) - 3) / 10))) + (l - 4) / 10)")
 PSV = O.with_views(O.POS_V)
 
 
@@ -729,9 +749,6 @@ def q_d6w(spark, sf):
     return att.select("key", "pos", r6("attn").alias("attn"))
 
 
-_EMB = "SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
-
-
 @query("D7_linear_head", f"SELECT id, list_transform({_HEAD}, lambda v: round(v, 6)) AS logits FROM ({_EMB})")
 def q_d7(spark, sf):
     e = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
@@ -762,6 +779,23 @@ def q_d8(spark, sf):
                                            (F.col("objective_last") <= F.col("objective_first")).alias("loss_not_increased"))
 
 
+@query("D8_fit_optimality", PV + f""", f AS (SELECT e.id, e.x, p.targets FROM ({_EMB}) e JOIN pred_v p ON e.id = p.id WHERE p.run = 0)
+SELECT l.label_idx, r.j::INT AS feature, round(avg(f.targets[l.label_idx+1] * f.x[r.j+1]), 5) + 0.0 AS slope
+FROM f, lab l, range(64) r(j) GROUP BY l.label_idx, r.j""")
+def q_d8o(spark, sf):
+    """Every weight of every label: at the optimum the loss has no slope in any of
+    them, so avg(p * x_j) + reg * w_j is the data's own avg(y * x_j)."""
+    d, reg = _embedded(spark, sf), 0.01
+    rows = SC.fit_multilabel(d, reg=reg, max_iter=1000, tol=1e-15).orderBy("label_idx").collect()     # one row per label
+    z = SC.linear_head(d, "features", [r["weights"] for r in rows], [r["bias"] for r in rows], out="z")
+    cells = z.select("features", F.posexplode("z").alias("label_idx", "z")).select(
+        "label_idx", (1 / (1 + F.exp(-F.col("z")))).alias("p"), F.posexplode("features").alias("feature", "x"))
+    fitted = cells.groupBy("label_idx", "feature").agg(F.avg(F.col("p") * F.col("x")).alias("m"))
+    weights = F.array(*[F.array(*[F.lit(w) for w in r["weights"]]) for r in rows])
+    slope = F.col("m") + reg * F.element_at(F.element_at(weights, F.col("label_idx") + 1), F.col("feature") + 1)
+    return fitted.select("label_idx", "feature", (F.round(slope, 5) + 0.0).alias("slope"))
+
+
 # ======================================================================= G1-G6
 _EDGES = DG.hist_edges(10)
 
@@ -985,6 +1019,19 @@ def q_h1(spark, sf):
                     r6(F.col("bce_sum") / F.col("n")).alias("loss"), r6(F.col("n_eq_round") / F.col("n")).alias("accuracy"))
 
 
+@query("H1_running_metrics_update", PRED_BASE + """
+SELECT run, label_idx, label, count_if(y=1 AND yhat=1) AS tp, count_if(y=0 AND yhat=1) AS fp,
+  count_if(y=1 AND yhat=0) AS fn, count_if(y=0 AND yhat=0) AS tn, count(y) AS n,
+  round(sum(bce) / count(y), 6) AS loss FROM cells2 GROUP BY run, label_idx, label""")
+def q_h1u(spark, sf):
+    """Update mode: each of four batches brings the groups it has changed."""
+    from ..session import fresh_path
+    out, ck = fresh_path(spark, "h1u-out"), fresh_path(spark, "h1u-ckpt")
+    ST.run_to_table(ST.running_metrics(_stream_pred(spark, sf), ["run"]), out, ck, mode="update", keys=["run", "label_idx"])
+    t = ST.latest(spark, out)
+    return t.select("run", F.col("label_idx").cast("int").alias("label_idx"), "label", "tp", "fp", "fn", "tn", "n", r6(F.col("bce_sum") / F.col("n")).alias("loss"))
+
+
 @query("H2_score_stream", f"SELECT id, list_transform({_HEAD}, lambda v: round(v, 6)) AS logits FROM ({_EMB})")
 def q_h2(spark, sf):
     from ..session import fresh_path

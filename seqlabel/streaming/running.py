@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +44,39 @@ def running_metrics(stream: DataFrame, by: Sequence[str] = ("run",), labels: Seq
     return g.withColumn("label", F.element_at(names, F.col("label_idx") + 1).cast("string"))
 
 
-def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
+MARKS = "-commits"
+
+
+def committed(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The newest version with a mark (older than ``below``)."""
+    try:
+        marks = spark.read.parquet(path + MARKS)
+    except AnalysisException:       # none yet
+        return None
+    return marks.filter(F.lit(True) if below is None else F.col("version") < below).agg(F.max("version")).first()[0]
+
+
+def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "complete", keys: Sequence[str] = ()) -> None:
     """Drive an aggregating stream to completion.  Each micro-batch writes the
-    whole (small: groups x labels) result as a version of its own, so a reader
-    never meets a half-replaced table; a replayed batch rewrites its version.
-    Read with ``latest``."""
+    whole (small: groups x labels) result as a version of its own and then a mark
+    that the version is complete, beside the table; ``latest`` reads the newest
+    version with a mark, so it never meets one that is being written.  A replayed
+    batch rewrites its version.
+
+    With ``mode="update"`` a batch brings only the groups it has changed: they
+    replace those of the last complete version with the same ``keys``."""
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a group")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if mode == "update":
+            before = committed(spark, path, batch_id)
+            if before is not None:
+                old = spark.read.schema(batch.schema).parquet(f"{path}/version={before}")
+                batch = old.join(batch.select(*keys), [*keys], "left_anti").select(*batch.columns).unionByName(batch)
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}{MARKS}/version={batch_id}")
 
     q = stream_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(sink).trigger(availableNow=True).start()
@@ -58,9 +85,10 @@ def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version of a table that ``run_to_table`` keeps."""
-    t = spark.read.parquet(path)
-    newest = t.agg(F.max("version")).first()[0]
-    return t.filter(F.col("version") == F.lit(newest)).drop("version")
+    newest = committed(spark, path)
+    if newest is None:
+        raise ValueError(f"{path} has no complete version")
+    return spark.read.parquet(f"{path}/version={newest}")
 
 
 def score_stream(stream: DataFrame, inputs: str, model_loader: Callable, n_out: int, dim: int, out: str,
