@@ -738,14 +738,14 @@ att AS (SELECT key, pos, ln, e / sum(e) OVER (PARTITION BY key) AS attn FROM sw)
 @query("D6_attention_pool", _D6 + """SELECT key, list(round(v, 6) ORDER BY j) AS pooled FROM (
   SELECT key, r.j, sum(attn * ln[r.j + 1]) AS v FROM att, range(64) r(j) GROUP BY key, r.j) GROUP BY key""")
 def q_d6(spark, sf):
-    pooled, _ = PL.attention_pool(V.pos_v(spark, sf), Q_VEC)
+    pooled = PL.pooled_vectors(V.pos_v(spark, sf), Q_VEC)
     return pooled.select("key", r6a("pooled").alias("pooled"))
 
 
 @query("D6_attention_weights", _D6 + """SELECT key, pos, round(attn, 6) AS attn FROM att
 UNION ALL SELECT key, pos, 0.0 FROM pos_v WHERE NOT mask""")
 def q_d6w(spark, sf):
-    _, att = PL.attention_pool(V.pos_v(spark, sf), Q_VEC)
+    att = PL.attention_weights(V.pos_v(spark, sf), Q_VEC)
     return att.select("key", "pos", r6("attn").alias("attn"))
 
 

@@ -59,3 +59,28 @@ def test_ensemble_with_one_item_everywhere(spark):
     df = spark.createDataFrame(rows, "run int, id long, logits array<double>, targets array<int>").repartition(4)
     e = {r["id"]: r for r in M.ensemble(df, ["a", "b"]).collect()}
     assert e[1]["n_runs"] == 40 and e[1]["pred"] == [1, 0]
+
+
+def test_softmax_over_a_wide_range_of_scores(spark):
+    """Scores far apart lie on many steps; the states merge to the plain result."""
+    import numpy as np
+    rng = np.random.default_rng(9)
+    scores = {0: rng.normal(0, 400, 300), 1: rng.normal(-3000, 1, 50), 2: np.array([5.0]), 3: np.array([float("-inf"), 1.0, 2.0]), 4: rng.normal(1e6, 50, 200)}
+    rows = [(k, i, float(s), [float(s % 7), 1.0]) for k, v in scores.items() for i, s in enumerate(v)]
+    df = spark.createDataFrame(rows, "key long, pos long, s double, vec array<double>").repartition(7)
+    got = {(r["key"], r["pos"]): r["weight"] for r in PL.group_softmax(df, "key", "s").collect()}
+    for k, v in scores.items():
+        e = np.exp(v - v.max())
+        assert np.allclose([got[k, i] for i in range(len(v))], e / e.sum(), rtol=1e-7, atol=1e-12)
+
+
+def test_pooling_is_one_lazy_plan(spark):
+    """No statistic is written while the plan is built, and no row is joined."""
+    import re
+    rows = [(k, p, [float(k + p), 1.0, float(p * p % 5)], p < 3 + k % 4 and k != 5) for k in range(8) for p in range(7)]
+    df = spark.createDataFrame(rows, "key long, pos long, vec array<double>, mask boolean")
+    pooled = PL.pooled_vectors(df, [0.5, -0.5, 1.0])
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Join|FileScan", plan)
+    both = {r["key"]: r["pooled"] for r in pooled.collect()}
+    assert len(both) == 8 and both[5] is None and all(len(v) == 3 for k, v in both.items() if k != 5)
