@@ -53,30 +53,43 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_FOLDERS: dict[str, str] = {}   # this process's folder, by application
+
+
+def session_dir(spark: SparkSession) -> str:
+    """A folder of this application under the shared one, which the file system
+    deletes when the driver's JVM ends."""
+    import uuid
+
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        path = f"{shared_dir(spark)}/seqlabel-{uuid.uuid4().hex[:12]}"
+        jvm = spark.sparkContext._jvm       # Spark has no public handle on the file system
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)              # only what exists can be registered
+        _FOLDERS[app] = path
+    return _FOLDERS[app]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
+    """A new, unused path in the application's folder.  What is written there
+    goes when the application ends."""
     import uuid
 
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the shared folder and read back.  Runs a job
     while the plan is built; what reads it later neither recomputes nor depends
-    on the executors that made it.  The folder goes when the session ends."""
+    on the executors that made it.  The folder goes when the application ends."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    _remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Have the file system delete ``path`` when the driver's JVM ends."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
 def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Settings for a cluster run sized to the input.
 
