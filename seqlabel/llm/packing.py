@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -58,20 +59,17 @@ class Kept:
     def missing(self, keys: Iterable[str]) -> list[str]:
         """The distinct keys that aren't held; the others are made young."""
         young, old = self.young, self.old
-        new = []
-        for k in dict.fromkeys(keys):
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                    self.bytes += len(k) + len(old[k])
-                else:
-                    new.append(k)
+        new = [k for k in dict.fromkeys(keys) if k not in young]
+        if old:
+            back = [k for k in new if k in old]
+            if back:
+                self.add(back, list(map(old.__getitem__, back)))
+                new = [k for k in new if k not in old]
         return new
 
-    def add(self, items: Iterable[tuple[str, bytes]]) -> None:
-        items = dict(items)
-        self.bytes += sum(map(len, items)) + sum(map(len, items.values()))
-        self.young.update(items)
+    def add(self, keys: list[str], values: list[bytes]) -> None:
+        self.bytes += sum(map(len, keys)) + sum(map(len, values))
+        self.young.update(zip(keys, values))
 
     def turn(self) -> None:
         """To be called between batches."""
@@ -136,18 +134,18 @@ class Ids:
                 after.append("")
         known = self.known
         new = [x for x in known.missing(cores) if x]
-        known.add([("", b"")])
-        known.add(zip(new, self.runs(new)))
+        known.add([""], [b""])
+        known.add(new, self.runs(new))
         rest = self.rest.missing(before + after)
-        self.rest.add(zip(rest, self.whole(rest)))
+        self.rest.add(rest, self.whole(rest))
         ids, other = known.young.__getitem__, self.rest.young.__getitem__
-        self.cache.add(zip(parts, map(b"".join, zip(map(other, before), map(ids, cores), map(other, after)))))
+        self.cache.add(parts, list(map(b"".join, zip(map(other, before), map(ids, cores), map(other, after)))))
         known.turn()
         self.rest.turn()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(self.cache.missing(p for ps in cut for p in ps))
+        self.learn(self.cache.missing(chain.from_iterable(cut)))
         young = self.cache.young
         out = [b"".join(map(young.__getitem__, ps)) for ps in cut]
         self.cache.turn()
