@@ -15,7 +15,9 @@ ordinary one.  Evidence within ``margin`` nats of zero counts as none and no wor
 counts for more than ``cap``; otherwise the noise of hundreds of ordinary words
 would drown a few decisive ones.  A document's evidence divided by its tokens is
 the length-normalised comparison; a calibration over ``evidence / tokens`` and
-``evidence / sqrt(tokens)`` turns it into a probability.
+``evidence / sqrt(tokens)`` turns it into a probability.  Margin and cap are
+those of ``SHAPES`` whose calibration has the least cross-validated log loss on
+the part of the training labels that is held back from the counts.
 
 Bound (parameter): the models are fitted on at most ``sample`` labelled
 documents per class, those with the least hash of their id, and hold every byte
@@ -45,8 +47,9 @@ THRESHOLD = 0.3
 SAMPLE = 20_000
 ORDER = 5
 DISCOUNT = 0.75
-MARGIN = 3.0
-CAP = 8.0
+#: Settings of (margin, cap) that every fit chooses from.
+SHAPES = [(margin, cap) for margin in (0.0, 1.0, 2.0, 3.0, 4.0, 6.0) for cap in (4.0, 8.0, 16.0)]
+FOLDS = 4
 CHUNK = 4 << 20
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 END = b" "
@@ -124,8 +127,8 @@ class Model:
     others, per context; in a context that a class has not seen it backs off
     without loss, and the shared part cancels."""
 
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, margin: float = MARGIN, cap: float = CAP):
-        self.keys, self.margin, self.cap = keys, margin, cap
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+        self.keys, self.shape = keys, SHAPES[0]
         self.contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
         below = shared_backoff(keys, ORDER)
         logs, backs = [], []
@@ -135,7 +138,7 @@ class Model:
             logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(total[place], 1) + back[place] * below))
             backs.append(np.log(back))
         self.ratio, self.back = logs[0] - logs[1], backs[0] - backs[1]
-        self.weights = np.array([math.log(0.1), 30.0, 1.0])
+        self.weights, self.losses = np.array([math.log(0.1), 30.0, 1.0]), []
 
     def word_evidence(self, words: list[bytes]) -> np.ndarray:
         key, word = grams(words)
@@ -145,19 +148,24 @@ class Model:
         context = key[missed] >> np.uint64(8)
         at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
         out[missed] = np.where(self.contexts[at] == context, self.back[at], 0)
-        total = np.bincount(word, out, len(words))
-        return np.sign(total) * np.clip(np.abs(total) - self.margin, 0, self.cap)
+        return np.bincount(word, out, len(words))
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def evidence(self, texts: list[bytes], shapes: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each text, its evidence under each of the shapes)."""
         codes, docs, words = tokens(texts)
         by_word = self.word_evidence(words)
         by_word[0] = 0
+        shaped = [np.sign(by_word) * np.clip(np.abs(by_word) - margin, 0, cap) for margin, cap in shapes]
         n = np.maximum(np.bincount(docs, minlength=len(texts)), 1)
-        evidence = np.bincount(docs, by_word[codes], len(texts))
-        return np.stack((np.ones(len(texts)), evidence / n, evidence / np.sqrt(n)), 1)
+        return n, np.stack([np.bincount(docs, x[codes], len(texts)) for x in shaped], 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return logistic(self.features(texts) @ self.weights)
+        n, evidence = self.evidence(texts, [self.shape])
+        return logistic(features(n, evidence[:, 0]) @ self.weights)
+
+
+def features(n: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    return np.stack((np.ones(len(n)), evidence / n, evidence / np.sqrt(n)), 1)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -165,16 +173,35 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
+    """Logistic regression by Newton steps, halved until the loss falls; columns
+    are brought to one scale first, so the penalty treats them alike."""
+    scale = np.maximum(np.abs(x).max(0, initial=0), 1e-12)
+    x, w = x / scale, np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * w @ w)
+
+    for _ in range(100):
         p = logistic(x @ w)
         gradient = x.T @ (y - p) - ridge * w
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
-        w = w + step
+        while loss(w + step) > loss(w) and np.abs(step).max() >= 1e-8:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
-    return w
+        w = w + step
+    return w / scale
+
+
+def cross_validated(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """Mean log loss of each fold under the calibration of the others."""
+    loss = np.zeros(len(y))
+    for f in np.unique(fold):
+        out = fold == f
+        p = logistic(x[out] @ calibrated(x[~out], y[~out]))
+        loss[out] = -np.log(np.where(y[out] == 1, p, 1 - p))
+    return float(loss.mean())
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -190,9 +217,10 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     whole = cut
     if sizes and max(sizes.values()) > sample:
         whole = cut.withColumn("q", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).filter(F.col("q") <= sample)
-    chosen = whole.select(F.col("doc_id").alias("__id"), "toxic", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(4)) == 0).alias("held"))
+    chosen = whole.select(F.col("doc_id").alias("__id"), "toxic", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(4)) == 0).alias("held"),
+                          F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(FOLDS)).alias("fold"))
     own = docs.select(F.col("doc_id"), F.col("text").alias("__text"))
-    return saved(own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__text", "toxic", "held"), "toxic-sample")
+    return saved(own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__text", "toxic", "held", "fold"), "toxic-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -211,15 +239,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(texts: pa.Array) -> list[pa.Array]:
-        x = shared.value.features(bytes_of(texts))
-        return [pa.array(x[:, 1]), pa.array(x[:, 2])]
+        n, evidence = shared.value.evidence(bytes_of(texts), SHAPES)
+        return [pa.array(n.astype(float)), pa.array(list(evidence), pa.list_(pa.float64()))]
 
-    held = append(rows.filter("held"), ["__text"], measure, [T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    table = held.select("toxic", "a", "b").toArrow()  # two numbers for a quarter of the sample
-    y = table.column("toxic").to_numpy().astype(float)
+    held = append(rows.filter("held"), ["__text"], measure, [T.StructField("n", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.DoubleType()))])
+    table = held.select("toxic", "fold", "n", "evidence").toArrow()  # some numbers for a quarter of the sample
+    y, fold, n = (table.column(c).to_numpy().astype(float) for c in ("toxic", "fold", "n"))
     if 0 < y.sum() < len(y):
-        x = np.stack((np.ones(len(y)), table.column("a").to_numpy(), table.column("b").to_numpy()), 1)
-        model.weights = calibrated(x, y)
+        x = [features(n, e) for e in np.array(table.column("evidence").to_pylist()).T]
+        model.losses = [cross_validated(a, y, fold) for a in x]
+        best = int(np.argmin(model.losses))
+        model.shape, model.weights = SHAPES[best], calibrated(x[best], y)
     shared.destroy()
     return model
 

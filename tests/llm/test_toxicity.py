@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from helpers import awkward, clashing, frame
@@ -104,3 +106,102 @@ def test_every_ngram_of_the_sample_is_kept(spark):
     want = np.unique(X.grams([X.END, *[w for t in used for w in t.split()]])[0])
     model = X.fit(docs, labels)
     assert len(want) > 1 << 20 and np.array_equal(model.keys, want)
+
+
+def plain(docs, labels, used):
+    """The whole query in plain Python: counts, shared Kneser-Ney backoff, both
+    models, margin and cap by cross-validation, calibration, scores.  ``used``:
+    (text, label, held, fold) of the labelled sample."""
+    order, d = X.ORDER, X.DISCOUNT
+
+    def spelled(text):
+        bare = [w.strip(X.EDGES) or w for w in (text or "").encode().translate(X.LOWER).split()]
+        return [[(b" " * (order - 1) + w + b" ")[i : i + order] for i in range(len(w) + 1)] for w in bare]
+
+    counts = {0: Counter(), 1: Counter()}
+    for text, label, held, _ in used:
+        if not held:
+            for word in spelled(text):
+                counts[label].update(word)
+    seen = set(counts[0]) | set(counts[1]) | {g[:order] for g in [b" " * order]}  # the end token's spelling
+    levels, below = {}, seen
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[-n:] for g in below)
+        below = set(levels[n])
+
+    def shared(gram):
+        if not gram:
+            return 1 / 256
+        table = tables[len(gram)][gram[:-1]]
+        return (levels[len(gram)][gram] - d) / table[0] + d * table[1] / table[0] * shared(gram[1:])
+
+    tables = {}
+    for n, level in levels.items():
+        tables[n] = defaultdict(lambda: [0, 0])
+        for g, c in level.items():
+            tables[n][g[:-1]][0] += c
+            tables[n][g[:-1]][1] += 1
+    total = {c: Counter() for c in counts}
+    kinds = {c: Counter() for c in counts}
+    for c, by in counts.items():
+        for g, k in by.items():
+            total[c][g[:-1]] += k
+            kinds[c][g[:-1]] += 1
+    contexts = {g[:-1] for g in seen}
+
+    def ratio(gram):
+        back = {c: d * kinds[c][gram[:-1]] / total[c][gram[:-1]] if total[c][gram[:-1]] else 1.0 for c in counts}
+        if gram in seen:
+            p = {c: max(counts[c][gram] - d, 0) / max(total[c][gram[:-1]], 1) + back[c] * shared(gram[1:]) for c in counts}
+            return math.log(p[1]) - math.log(p[0])
+        return math.log(back[1]) - math.log(back[0]) if gram[:-1] in contexts else 0.0
+
+    known = {}
+
+    def row(text, margin, cap):
+        words, evidence = spelled(text), 0.0
+        for w in words:
+            key = tuple(w)
+            if key not in known:
+                known[key] = sum(map(ratio, w))
+            evidence += math.copysign(min(max(abs(known[key]) - margin, 0), cap), known[key])
+        n = len(words) + 1
+        return [1.0, evidence / n, evidence / math.sqrt(n)]
+
+    held = [(t, y, f) for t, y, h, f in used if h]
+    y, fold = np.array([h[1] for h in held], float), np.array([h[2] for h in held])
+    losses, tried = [], []
+    for shape in X.SHAPES:
+        x = np.array([row(t, *shape) for t, _, _ in held])
+        loss = []
+        for f in sorted(set(fold)):
+            w = X.calibrated(x[fold != f], y[fold != f])
+            p = 1 / (1 + np.exp(-np.clip(x[fold == f] @ w, -30, 30)))
+            loss += (-np.log(np.where(y[fold == f] == 1, p, 1 - p))).tolist()
+        losses.append(np.mean(loss))
+        tried.append(x)
+    best = int(np.argmin(losses))
+    w = X.calibrated(tried[best], y)
+    return {i: float(1 / (1 + math.exp(-min(max(np.dot(row(t, *X.SHAPES[best]), w), -30), 30)))) for i, t in docs}
+
+
+def test_query_against_plain_python(spark):
+    """Every score of the query, from the sample that the operator drew."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    used = [tuple(r) for r in X.labelled(docs, labels, X.SAMPLE).select("__text", "toxic", "held", "fold").collect()]
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["toxic"] in (0, 1)}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    # the sample is every training row, here
+    assert Counter((t, y) for t, y, _, _ in used) == Counter((texts[i], y) for i, y in truth.items() if i in texts)
+    want = plain(texts.items(), truth, used)
+    got = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert abs(r["score"] - want[i]) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_shape_is_chosen_on_held_back_training_rows(spark):
+    docs, labels = corpus()
+    model = X.fit(frame(spark, docs), spark.createDataFrame(labels, LABELS))
+    assert len(model.losses) == len(X.SHAPES) and model.shape == X.SHAPES[int(np.argmin(model.losses))]
