@@ -13,15 +13,11 @@ as ``LEAST`` is 1, that is one that no training document has.
 
 Every bigram of the training documents is counted, and the filter holds them all,
 those seen once too (``LEAST`` is 1), in ``BITS_EACH`` bits per training token,
-which is at least that per entry.  It is cut into ``PAGES`` pages by the bigram's
+which is at least that per entry.  It is cut into pages by the bigram's
 hash and grows with the corpus, so it is never in one place: each block of tokens
 sends its distinct bigrams to the buckets of their pages; a bucket sums them,
 builds its pages and answers every block with the levels that it finds there.
 
-A caller that wants one small model instead gives ``max_bits``: that filter is
-broadcast, and where the entries need more room, the least count doubles until
-they fit, and rarer bigrams score as unseen.  No query sets it.
-
 Unigram counts are exact and never broadcast.  Each task numbers the words of its
 documents (a chunk), sums them and sends each word once to its bucket; the bucket
 sums over chunks and answers each chunk with the counts of its own words.  The
@@ -44,12 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, buckets, bytes_of, coded, id_remainder, mix, packed, parts, saved, unpacked, word_hashes
 
-LAMBDA = 0.1
+#: Chosen on training documents alone (those with remainder 3 scored by the others).
+LAMBDA = 0.4
 LEAST = 1
 BITS_EACH = 12
 BUILD_BITS = 1 << 24
+#: The filter has 2 ** 12 pages, or as many as there are buckets.
+PAGE_LOG = 12
 PROBES = 6
-PAGES = 4096
 CHUNK = 12 << 20
 BLOCK = 1 << 20
 END = b" "
@@ -60,18 +58,23 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * SALT + word)
 
 
+def _page(keys: np.ndarray, page_log: int) -> np.ndarray:
+    """A key's page, of ``2 ** page_log``: its first bits."""
+    return (keys >> np.uint64(64 - page_log)).astype(np.int64)
+
+
 class LogFrequencyFilter:
     """Quantised counts by repeated membership probes; ``bits`` starts with page
     ``first``."""
 
-    def __init__(self, bits: np.ndarray, page_bits: int, least: int, first: int = 0):
-        self.bits, self.page_bits, self.least, self.first = bits, page_bits, least, first
+    def __init__(self, bits: np.ndarray, page_bits: int, least: int, first: int = 0, page_log: int = PAGE_LOG):
+        self.bits, self.page_bits, self.least, self.first, self.page_log = bits, page_bits, least, first, page_log
 
     @staticmethod
-    def places(keys: np.ndarray, level: int | np.ndarray, page_bits: int) -> Iterator[np.ndarray]:
+    def places(keys: np.ndarray, level: int | np.ndarray, page_bits: int, page_log: int) -> Iterator[np.ndarray]:
         """Bit numbers of an entry's probes, all within the key's page."""
         x = mix(keys + np.asarray(level, np.uint64) * SALT)
-        base = (keys >> np.uint64(52)).astype(np.int64) * page_bits
+        base = _page(keys, page_log) * page_bits
         step = (x >> np.uint64(32)) | np.uint64(1)
         for _ in range(PROBES):
             yield base + (x & np.uint64(page_bits - 1)).astype(np.int64)
@@ -83,14 +86,14 @@ class LogFrequencyFilter:
         return np.where(counts >= least, np.log2(np.maximum(counts // least, 1)).astype(np.int64) + 1, 0)
 
     @classmethod
-    def page_bytes(cls, keys: np.ndarray, counts: np.ndarray, page_bits: int, least: int) -> dict[int, bytes]:
+    def page_bytes(cls, keys: np.ndarray, counts: np.ndarray, page_bits: int, least: int, page_log: int = PAGE_LOG) -> dict[int, bytes]:
         """The pages that hold the keys, all of whose keys must be given."""
         level = cls.levels(counts, least)
         keys, level = keys[level > 0], level[level > 0]
-        pages = np.unique((keys >> np.uint64(52)).astype(np.int64))
+        pages = np.unique(_page(keys, page_log))
         bits = np.zeros((len(pages), page_bits), bool)
         for q in range(1, int(level.max(initial=0)) + 1):
-            for at in cls.places(keys[level >= q], q, page_bits):
+            for at in cls.places(keys[level >= q], q, page_bits, page_log):
                 bits[np.searchsorted(pages, at // page_bits), at % page_bits] = True
         return dict(zip(pages.tolist(), (row.tobytes() for row in np.packbits(bits, axis=1, bitorder="little"))))
 
@@ -99,7 +102,7 @@ class LogFrequencyFilter:
         level, live, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
         while len(live):
             q += 1
-            probe = self.places(keys[live], q, self.page_bits)
+            probe = self.places(keys[live], q, self.page_bits, self.page_log)
             held = np.arange(len(live))
             for at in probe:
                 at = at[held] - self.first * self.page_bits
@@ -208,7 +211,7 @@ def _blocks(codes: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndar
 ASKED = "bucket long, chunk long, place long, payload binary"
 
 
-def _pairs_asked(n: int):
+def _pairs_asked(n: int, page_log: int):
     """Each block's distinct bigrams in the order of their keys, with their counts
     in training documents, by bucket; a bucket has consecutive pages.  ``place``
     orders the parts of a chunk."""
@@ -220,7 +223,7 @@ def _pairs_asked(n: int):
                 for at, before, own in _blocks(codes, words):
                     keys, place = np.unique(pair_keys(words[before], words[own]), return_inverse=True)
                     counts = np.bincount(place[train[at : at + BLOCK]], minlength=len(keys)).astype(np.uint32)
-                    _, dealt = _by_bucket((keys >> np.uint64(52)).astype(np.int64) * n // PAGES)
+                    _, dealt = _by_bucket(_page(keys, page_log) * n >> page_log)
                     columns = [[b for b, _, _ in dealt], [chunk] * len(dealt), [at // BLOCK * n + b for b, _, _ in dealt],
                                [packed(keys[i:j], counts[i:j]) for _, i, j in dealt]]
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -229,22 +232,22 @@ def _pairs_asked(n: int):
     return run
 
 
-def _levels(keys: np.ndarray, counts: np.ndarray, page_bits: int, least: int) -> np.ndarray:
+def _levels(keys: np.ndarray, counts: np.ndarray, page_bits: int, least: int, page_log: int) -> np.ndarray:
     """The level of each of the sorted distinct keys in the filter's pages, which
     are built from them, ``BUILD_BITS`` or one page at a time."""
-    pages = (keys >> np.uint64(52)).astype(np.int64)
+    pages = _page(keys, page_log)
     out, step = np.zeros(len(keys), np.uint8), max(1, BUILD_BITS // page_bits)
     for first in range(int(pages[0]), int(pages[-1]) + 1, step):
         i, j = np.searchsorted(pages, (first, first + step))
         if i < j:
             bits = np.zeros(step * page_bits // 8, np.uint8)
-            for page, body in LogFrequencyFilter.page_bytes(keys[i:j], counts[i:j], page_bits, least).items():
+            for page, body in LogFrequencyFilter.page_bytes(keys[i:j], counts[i:j], page_bits, least, page_log).items():
                 bits[(page - first) * page_bits // 8 : (page - first + 1) * page_bits // 8] = np.frombuffer(body, np.uint8)
-            out[i:j] = LogFrequencyFilter(bits, page_bits, least, first).found(keys[i:j])
+            out[i:j] = LogFrequencyFilter(bits, page_bits, least, first, page_log).found(keys[i:j])
     return out
 
 
-def _pairs_answered(page_bits: int, least: int):
+def _pairs_answered(page_bits: int, least: int, page_log: int):
     """Each part's bigrams with their levels in the filter over all chunks."""
     def run(group: pa.Table) -> pa.Table:
         found = [unpacked(p, "u8", "u4") for p in group.column("payload").to_pylist()]
@@ -256,7 +259,7 @@ def _pairs_answered(page_bits: int, least: int):
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         first = np.flatnonzero(new)
         level = np.empty(len(keys), np.uint8)
-        level[order] = _levels(keys[first], np.add.reduceat(counts, first), page_bits, least)[np.cumsum(new) - 1]
+        level[order] = _levels(keys[first], np.add.reduceat(counts, first), page_bits, least, page_log)[np.cumsum(new) - 1]
         return pa.table([group.column("chunk"), group.column("place"), pa.array([packed(x) for x in np.split(level, stops[:-1])], pa.binary())],
                         names=["chunk", "place", "payload"])
 
@@ -266,81 +269,19 @@ def _pairs_answered(page_bits: int, least: int):
 def pair_levels(numbered: DataFrame, tokens: int, least: int) -> DataFrame:
     """(chunk, place, payload): the levels of each chunk's bigrams, answered by the
     filter over the ``tokens`` tokens of the training documents."""
-    n = min(PAGES, buckets(numbered.sparkSession))
+    n = buckets(numbered.sparkSession)
+    page_log = max(PAGE_LOG, (n - 1).bit_length())
     # a count has no more levels than occurrences
-    page_bits = max(64, 1 << (tokens * BITS_EACH // PAGES).bit_length())
-    asked = numbered.select("chunk", "held", "sizes", "codes", "words").mapInArrow(_pairs_asked(n), ASKED)
-    return saved(asked.groupBy("bucket").applyInArrow(_pairs_answered(page_bits, least), "chunk long, place long, payload binary"), "lm-levels")
-
-
-def _pairs_out(n: int):
-    """Bigrams of training documents, summed per block of tokens, by bucket."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for held, sizes, codes, words in zip(*(c.to_pylist() for c in batch.columns)):
-                train = np.repeat(~np.array(held, bool), sizes)
-                codes, words = unpacked(codes, "u4")[0][train], unpacked(words, "u8")[0]
-                before = np.concatenate((np.array([np.flatnonzero(words == word_hashes([END])[0])[0]], np.uint32), codes[:-1])) if len(codes) else codes
-                for at in range(0, len(codes), BLOCK):
-                    keys, counts = np.unique(pair_keys(words[before[at : at + BLOCK]], words[codes[at : at + BLOCK]]), return_counts=True)
-                    order, dealt = _by_bucket((keys >> np.uint64(52)).astype(np.int64) % n)
-                    rows = [(b, packed(keys[order[i:j]], counts[order[i:j]].astype(np.uint32))) for b, i, j in dealt]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                                                     names=["bucket", "payload"])
-
-    return run
-
-
-def _pair_sums(group):
-    """A bucket's bigrams seen ``LEAST`` times or more, and how many entries the
-    filter would need for it at each power-of-two multiple of that."""
-    found = [unpacked(p, "u8", "u4") for p in group.column("payload").to_pylist()]
-    keys = np.concatenate([k for k, _ in found])
-    counts = np.concatenate([c for _, c in found]).astype(np.int64)
-    del found
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    keys, counts = keys[first], np.add.reduceat(counts, first)
-    kept = counts >= LEAST
-    keys, counts = keys[kept], counts[kept]
-    needs = [int(LogFrequencyFilter.levels(counts, LEAST << i).sum()) for i in range(40)]
-    return pa.table([pa.array([group.column("bucket")[0].as_py()]), pa.array([packed(keys, counts)], pa.binary()), pa.array([needs], pa.list_(pa.int64()))],
-                    names=["bucket", "payload", "needs"])
-
-
-def pair_filter(numbered: DataFrame, max_bits: int) -> LogFrequencyFilter:
-    """One filter over the training documents' bigrams, at most ``max_bits``."""
-    n = min(PAGES, buckets(numbered.sparkSession))
-    sums = numbered.select("held", "sizes", "codes", "words").mapInArrow(_pairs_out(n), "bucket long, payload binary")
-    sums = saved(sums.groupBy("bucket").applyInArrow(_pair_sums, "bucket long, payload binary, needs array<long>"), "lm-pairs")
-    total = [r["n"] or 0 for r in sums.select(F.posexplode("needs").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()]
-    step = next((i for i, need in enumerate(total) if need * BITS_EACH <= max_bits), 0)
-    least, need = LEAST << step, total[step] if total else 0
-    page_bits = 1 << max(6, min(max_bits // PAGES, max(1, need * BITS_EACH // PAGES)).bit_length())
-    page_bits = min(page_bits, max(64, max_bits // PAGES))
-
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                pages = LogFrequencyFilter.page_bytes(*unpacked(payload, "u8", "i8"), page_bits, least)
-                yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array(list(pages.values()), pa.binary())], names=["page", "bits"])
-
-    bits = np.zeros(PAGES * page_bits // 8, np.uint8)
-    for row in sums.select("payload").mapInArrow(build, "page long, bits binary").toLocalIterator():
-        bits[row["page"] * page_bits // 8 : (row["page"] + 1) * page_bits // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return LogFrequencyFilter(bits, page_bits, least)
+    page_bits = max(64, 1 << (tokens * BITS_EACH >> page_log).bit_length())
+    asked = numbered.select("chunk", "held", "sizes", "codes", "words").mapInArrow(_pairs_asked(n, page_log), ASKED)
+    return saved(asked.groupBy("bucket").applyInArrow(_pairs_answered(page_bits, least, page_log), "chunk long, place long, payload binary"), "lm-levels")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(shared, n: int, pair_n: int, tokens: int, kinds: int):
-    """``shared``: a filter that every task has, or None where the chunks come with
-    their bigrams' levels."""
+def _scores(n: int, pair_n: int, tokens: int, kinds: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared and shared.value
-        least = model.least if model else LEAST
         for batch in batches:
             for ids, held, sizes, codes, words, answers, levels in zip(*(c.to_pylist() for c in batch.columns)):
                 codes, words = unpacked(codes, "u4")[0], unpacked(words, "u8")[0]
@@ -354,15 +295,12 @@ def _scores(shared, n: int, pair_n: int, tokens: int, kinds: int):
                 score = np.empty(len(codes))
                 for at, before, own in _blocks(codes, words):
                     keys = pair_keys(words[before], words[own])
-                    if model:
-                        pair = model.counts(keys)
-                    else:
-                        own_levels = [unpacked(x["payload"], "u1")[0] for x in levels if x["place"] // pair_n == at // BLOCK]
-                        pair = rounded(np.concatenate(own_levels), least)[np.unique(keys, return_inverse=True)[1]]
+                    own_levels = [unpacked(x["payload"], "u1")[0] for x in levels if x["place"] // pair_n == at // BLOCK]
+                    pair = rounded(np.concatenate(own_levels), LEAST)[np.unique(keys, return_inverse=True)[1]]
                     seen = counts[before]
                     two = np.minimum(pair, seen) / np.maximum(seen, 1)
                     p = plain[own]
-                    score[at : at + BLOCK] = np.log10(np.where(seen >= least, LAMBDA * two + (1 - LAMBDA) * p, p))
+                    score[at : at + BLOCK] = np.log10(np.where(seen >= LEAST, LAMBDA * two + (1 - LAMBDA) * p, p))
                 columns = [ids, held, sizes, np.add.reduceat((counts > 0)[codes].astype(np.int64), first),
                            np.add.reduceat(log[codes], first), np.add.reduceat(score, first)]
                 kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -371,10 +309,10 @@ def _scores(shared, n: int, pair_n: int, tokens: int, kinds: int):
     return run
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (the unigram alone) and score (the model), log10 of the text's
-    probability.  ``max_bits``: see above."""
+    probability."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).select("doc_id", (id_remainder(7) == 2).alias("held"), "__text")
     numbered = saved(own.mapInArrow(_number, NUMBERED), "lm-chunks")
@@ -387,12 +325,6 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits
     by_chunk = answers.filter("chunk >= 0").groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "payload"))).alias("answers"))
     rows = numbered.drop("counts").join(by_chunk, "chunk").select("chunk", "ids", "held", "sizes", "codes", "words", F.transform(
         F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda b: F.try_element_at("answers", b)).alias("answers"))
-    if max_bits is None:
-        shared, levels = None, pair_levels(numbered, tokens, LEAST)
-        levels = levels.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "payload"))).alias("levels"))
-        rows = rows.join(levels, "chunk").drop("chunk")
-    else:
-        shared = spark.sparkContext.broadcast(pair_filter(numbered, max_bits))
-        rows = rows.drop("chunk").withColumn("levels", F.lit(None).cast("array<struct<place: long, payload: binary>>"))
-    out = rows.mapInArrow(_scores(shared, n, min(PAGES, buckets(spark)), tokens, kinds), SCORES)
+    levels = pair_levels(numbered, tokens, LEAST).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "payload"))).alias("levels"))
+    out = rows.join(levels, "chunk").drop("chunk").mapInArrow(_scores(n, buckets(spark), tokens, kinds), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
