@@ -61,3 +61,22 @@ def test_cluster_conf_sizes_shuffle_to_input():
     small = cluster_conf(10 * 1024 ** 2, 64)
     assert int(small["spark.sql.shuffle.partitions"]) == 128          # never below two waves of cores
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true" and big["spark.ui.enabled"] == "false"
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_embeddings_stream_reads_a_folder_and_a_file(spark, tmp_path, parts):
+    """Large tables are folders of parts, small ones single files."""
+    from seqlabel.sources import views as V
+
+    df = spark.createDataFrame([(i, [float(i)] * 4, i % 3) for i in range(30)], V.EMBEDDINGS_SCHEMA)
+    df.repartition(parts).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "documents.parquet"))
+    if parts == 1:      # the same table as one file
+        (tmp_path / "one").mkdir()
+        (part,) = (tmp_path / "embeddings.parquet").glob("part-*.parquet")
+        (tmp_path / "one" / "embeddings.parquet").write_bytes(part.read_bytes())
+    out = fresh_path(spark, "stream-out")
+    q = V.embeddings_stream(spark, str(tmp_path / "one" if parts == 1 else tmp_path)).writeStream.format("parquet").option("path", out) \
+        .option("checkpointLocation", fresh_path(spark, "stream-ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["vec_id"] for r in spark.read.parquet(out).collect()) == list(range(30))
