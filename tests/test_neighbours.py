@@ -106,3 +106,32 @@ def test_references_follow_the_queries(spark):
     d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     assert got == {(i, int(j)) for i in range(1500) for j in np.argsort(d[i])[:3]}
+
+
+@pytest.mark.parametrize("block_rows", [None, 30])
+def test_search_for_some_rows_among_all(spark, block_rows):
+    """Only the asked rows have neighbours, the same ones as in the search for all."""
+    x = clustered(8, 60)
+    asks = F.col("id") % 10 == 0
+    key = lambda df: sorted((r["id"], r["nbr"], r["rank"], r["dist"]) for r in df.collect())
+    every = key(DG.knn(frame(spark, x), k=4))
+    assert key(DG.knn(frame(spark, x), k=4, block_rows=block_rows, asks=asks)) == [r for r in every if r[0] % 10 == 0]
+    assert DG.knn(frame(spark, x), k=4, asks=F.col("id") < 0).count() == 0
+
+
+def test_what_a_search_for_some_rows_sends(spark):
+    """Rows without clusters: every tenth row goes to all blocks, each block once."""
+    x = np.random.default_rng(7).normal(size=(1200, 24))
+    base, n, mean = DG._centred(frame(spark, x), "features", "id")
+    e = DG.Exchange(base, mean, n, 3, 100, 4096, F.col("id") % 10 == 0)
+    assert e.references.count() <= 1200 and e.queries.count() <= 120 * e.blocks
+
+
+def test_lsh_for_some_rows_among_all(spark):
+    x = np.random.default_rng(8).normal(size=(900, 12))
+    found, measured = LSH.knn_lsh(frame(spark, x), k=5, cell_rows=100, pilots=64, batch=4, asks=F.col("id") % 10 == 0)
+    rows, truth = found.collect(), exact(x, 5)[::10]
+    hits = sum(r["dist"] <= truth[r["id"] // 10, -1] * (1 + 1e-9) for r in rows)
+    assert {r["id"] for r in rows} == set(range(0, 900, 10)) and any(r["nbr"] % 10 for r in rows)
+    assert measured >= 0.93 and hits / truth.size >= 0.9
+    assert LSH.knn_lsh(frame(spark, x), k=5, asks=F.col("id") < 0)[0].count() == 0
