@@ -118,8 +118,14 @@ class Ids:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def learn(self, parts: list[str]) -> None:
-        before, cores, after = [], [], []
+        plain, lows, mixed, before, cores, after = [], [], [], [], [], []
         for p in parts:
+            if p.isalpha():  # no punctuation to look for
+                low = p.lower()
+                if p.isascii() or "\u03a3" not in p and low.isalpha() and is_normalized("NFC", low):
+                    plain.append(p)
+                    lows.append(low)
+                    continue
             core = p.strip(PUNCTUATION)
             low = core.lower()
             # lower() knows final sigmas, the tokenizer doesn't; special tokens stay whole
@@ -132,14 +138,16 @@ class Ids:
                 before.append(p)
                 cores.append("")
                 after.append("")
+            mixed.append(p)
         known = self.known
-        new = [x for x in known.missing(cores) if x]
+        new = [x for x in known.missing(chain(lows, cores)) if x]
         known.add([""], [b""])
         known.add(new, self.runs(new))
-        rest = self.rest.missing(before + after)
+        rest = self.rest.missing(chain(before, after))
         self.rest.add(rest, self.whole(rest))
         ids, other = known.young.__getitem__, self.rest.young.__getitem__
-        self.cache.add(parts, list(map(b"".join, zip(map(other, before), map(ids, cores), map(other, after)))))
+        self.cache.add(plain, list(map(ids, lows)))
+        self.cache.add(mixed, [x + y + z for x, y, z in zip(map(other, before), map(ids, cores), map(other, after))])
         known.turn()
         self.rest.turn()
 
