@@ -14,9 +14,10 @@ task's first number.  Piece ``i`` of a class lies in the class's sequence
 class (at most some 19,000 for capacity 4096, whatever the data) are packed
 together first-fit, longest first.
 
-Ids come from the public tokenizer.  It splits at white space before anything
-else, so the parts between spaces are encoded once each and kept in bounded
-caches per worker.
+Ids come from the public tokenizer.  Texts of ``LATIN`` characters alone are cut
+at once by its own pattern; of others, which it splits at white space before
+anything else, the parts between spaces are taken.  Either are encoded once each
+and kept in bounded caches per worker.
 
 Defined cases: null and empty texts have the end token alone; repeated rows are
 packed each; empty tables give no rows.
@@ -24,6 +25,7 @@ packed each; empty tables give no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -35,17 +37,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import held, parts, saved, tokenizer_path
 
 FILE = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 2
-#: Parts and bytes that a worker's caches hold at most.
-CACHE = 400_000
-CACHE_BYTES = 64 << 20
+#: Words and bytes that a worker's caches hold at most, and parts of other texts.
+CACHE = 1_000_000
+CACHE_BYTES = 160 << 20
+PARTS = 240_000
 CHUNK = 2 << 20
 #: ASCII punctuation but the apostrophe, which begins endings of its own.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Characters of composed form that lower-case one by one, to letters up to U+017F.
+LATIN = "\t\n\r -~¡§°¿«»À-\u012f\u0131-\u017f‐-‧€"
+#: The tokenizer's pattern for lower-cased text of these characters.
+LETTERS = "a-zß-öø-\u017f"
+CUT = f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t\n\r 0-9{LETTERS}]+"
 
 
 class Kept:
@@ -58,14 +67,12 @@ class Kept:
 
     def missing(self, keys: Iterable[str]) -> list[str]:
         """The distinct keys that aren't held; the others are made young."""
-        young, old = self.young, self.old
-        new = [k for k in dict.fromkeys(keys) if k not in young]
-        if old:
-            back = [k for k in new if k in old]
-            if back:
-                self.add(back, list(map(old.__getitem__, back)))
-                new = [k for k in new if k not in old]
-        return new
+        new = set(keys).difference(self.young)
+        back = list(new.intersection(self.old))
+        if back:
+            self.add(back, list(map(self.old.__getitem__, back)))
+            new.difference_update(back)
+        return list(new)
 
     def add(self, keys: list[str], values: list[bytes]) -> None:
         self.bytes += sum(map(len, keys)) + sum(map(len, values))
@@ -80,7 +87,8 @@ class Kept:
 class Ids:
     """Token ids (little-endian 32-bit) of whole texts by the public tokenizer.
 
-    A part between spaces that is letters within ASCII punctuation has the ids of
+    Texts of ``LATIN`` characters without special tokens are lower-cased and cut
+    as the tokenizer does.  In other texts, a part between spaces that is letters within ASCII punctuation has the ids of
     its punctuation and its letters in turn, since the tokenizer's pattern cuts
     there.  Lower-cased letters in composed form need no normalisation; they are
     encoded many at a time and told apart by their ends, which the vocabulary
@@ -94,18 +102,22 @@ class Ids:
             t.no_truncation()
             t.no_padding()
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache, self.known, self.rest = (Kept(n, CACHE_BYTES * n // CACHE) for n in (cache * 3 // 5, cache, cache // 8))
+        self.strange, self.words = re.compile(f"[^{LATIN}]|<\\|").search, re.compile(CUT).findall
+        self.cache, self.known, self.rest = (Kept(n, CACHE_BYTES * n // CACHE) for n in (min(cache * 3 // 5, PARTS), cache, min(cache // 8, PARTS // 4)))
 
     def runs(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-cased runs of letters in composed form."""
+        """Ids of lower-cased runs of letters in composed form, or of other words
+        that the tokenizer's pattern cuts from such text."""
         out = []
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            line = " ".join(part).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.plain.encode_batch_fast([line.split(" ")], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(part):  # letters that the pattern doesn't take for one run
                 out += self.whole(part)
@@ -152,6 +164,19 @@ class Ids:
         self.rest.turn()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        cut = [None if self.strange(t) else self.words(t.lower()) for t in texts]
+        others = [i for i, ws in enumerate(cut) if ws is None]
+        known = self.known
+        new = known.missing(chain.from_iterable(ws for ws in cut if ws))
+        known.add(new, self.runs(new))
+        ids = known.young.__getitem__
+        out = [b"".join(map(ids, ws)) if ws else b"" for ws in cut]
+        known.turn()
+        for i, body in zip(others, self.by_parts([texts[i] for i in others])):
+            out[i] = body
+        return out
+
+    def by_parts(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn(self.cache.missing(chain.from_iterable(cut)))
         young = self.cache.young
@@ -224,7 +249,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, file: str = FILE, end: int
            doc_id: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and padded_length, the length its sequence is padded to
-    (its own if that is a power of two, else the capacity).  ``cache``: parts that a
+    (its own if that is a power of two, else the capacity).  ``cache``: words that a
     worker remembers, at most."""
     spark = docs.sparkSession
     rows = saved(pieces(docs, file, capacity, end, doc_id, text, cache), "pieces")

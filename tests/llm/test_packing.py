@@ -70,3 +70,20 @@ def test_repeated_rows_are_packed_each(spark):
 def test_query_packs_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     check(QUERIES["op3_packing"](spark, SF).collect(), [tuple(r) for r in docs])
+
+
+def test_latin_texts_are_cut_at_once():
+    path = tokenizer_path(P.FILE)
+    library = Tokenizer.from_file(path)
+    every = [chr(c) for c in range(0x2100) if chr(c).isprintable() or chr(c) in "\t\n\r"]
+    ids = P.Ids(path)
+    latin = [c for c in every if not ids.strange(c)]
+    assert len(latin) > 220
+    texts = ["", " ", "Don't 'tis ''s we'LL I'd've 'Re o'clock 'x", "a1b22c 3.14 e9", "x...y ?!\n\tz\r\n--", "Ÿ×÷ÆØß ﬁ"[:-2], "l’été «ÇA» ¿qué? ¡sí! 20 € – Łódź…"]
+    texts += [f"{c}" for c in latin] + [f"a{c}B{c}{c} 7{c}'s" for c in latin]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.known.young and not ids.cache.young  # no part was learnt by itself
+    # the others go by parts, in the same batch
+    texts = ["Word", "İstanbul word", "<|endoftext|> a", "ΟΔΟΣ οδός", "été", "a\x1cb\x85c d", "²½ x٣y", "word"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.cache.young
