@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append, bytes_of, fresh_name, saved
+from .common import LOWER, append, bytes_of, fresh_name, released, saved
 from .components import components
 
 SHINGLE = 4
@@ -148,6 +148,7 @@ def _search(radius: int, bucket: int):
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(u), hot))], schema=SEARCH)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         passing = None  # the key of a long run that is being passed on
         for batch in batches:

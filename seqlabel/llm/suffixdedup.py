@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, buckets, bytes_of, fresh_name, mix, packed, parts, saved, unpacked
+from .common import append, buckets, bytes_of, fresh_name, mix, packed, parts, released, saved, unpacked
 from .rlbwt import RunLengthIndex
 from .winnowing import BASE, INVERSE, powers
 
@@ -50,7 +50,7 @@ SPAN = 50
 GRAM = 16
 HOT = 512
 FLUSH = 1 << 19
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BITMAP = 1 << 25
 PAGE = 1 << 15
 FULL, CLOSE, STRINGS = 0, 1, 2
@@ -161,6 +161,7 @@ def _pages(spark_buckets: int, limit: int):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         found, total = [], 0
         for batch in parts(batches, "__text", 4 * CHUNK):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -255,6 +256,7 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batch has too are settled here (``found``) and not sent."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
     names = BODIES.replace(",", "").split()[::2]
+    released()
     for batch in parts(batches, "__text", 4 * CHUNK):
         texts = bytes_of(batch.column(1))
         rows, least = [], {}

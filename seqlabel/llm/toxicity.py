@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append, bytes_of, fresh_name, id_remainder, parts, saved
+from .common import LOWER, append, bytes_of, fresh_name, id_remainder, parts, released, saved
 
 THRESHOLD = 0.3
 SAMPLE = 20_000
@@ -89,6 +89,7 @@ def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts by class, summed per chunk of texts."""
+    released()
     for batch in parts(batches, "__text", CHUNK):
         toxic = np.array(batch.column(1).to_pylist(), np.int64)
         codes, docs, words = tokens(bytes_of(batch.column(0)))
