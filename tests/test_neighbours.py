@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqlabel.operators import diagnose as DG
 from seqlabel.operators import lsh as LSH
+from seqlabel.plans.catalog import queries
 
 
 def frame(spark, x):
@@ -135,3 +136,24 @@ def test_lsh_for_some_rows_among_all(spark):
     assert {r["id"] for r in rows} == set(range(0, 900, 10)) and any(r["nbr"] % 10 for r in rows)
     assert measured >= 0.93 and hits / truth.size >= 0.9
     assert LSH.knn_lsh(frame(spark, x), k=5, asks=F.col("id") < 0)[0].count() == 0
+
+
+def embeddings(spark, path, n):
+    """A folder with an ``embeddings`` table of n rows whose ids are not divisible by 100."""
+    x = np.random.default_rng(9).normal(size=(n, 64)).astype(np.float32)
+    ids = [i + 1 + i // 99 for i in range(n)]
+    rows = [(i, v.tolist(), i % 10) for i, v in zip(ids, x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return ids, x.astype(float)
+
+
+def test_the_queries_search_for_every_row(spark, tmp_path):
+    ids, x = embeddings(spark, tmp_path, 130)
+    rows = {(r["id"], r["rank"]): r["dist"] for r in queries()["G5_knn"](spark, str(tmp_path)).collect()}
+    truth = exact(x, 30)
+    assert rows.keys() == {(i, k + 1) for i in ids for k in range(30)}
+    assert all(abs(rows[i, k + 1] - truth[at, k]) < 1e-5 for at, i in enumerate(ids) for k in range(30))
+    r = queries()["G5_knn_lsh_recall"](spark, str(tmp_path)).first()
+    assert (r["n"], r["n_true"]) == (130, 130 * 30) and r["recall_reached"] and r["distances_exact"]
+    purity = queries()["G6_neighbour_purity"](spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in purity) == 130
