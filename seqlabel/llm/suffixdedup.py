@@ -5,11 +5,14 @@ with a smaller id.  The strings are found by matching against run-length indexes
 (``rlbwt``); winnowing only decides which texts share an index, so that no index
 holds the corpus:
 
-1. Every ``SPAN``-byte string has an anchor, the least hash of the ``GRAM``-byte
-   strings within it (rightmost of equals).  Equal strings have equal anchors.
-   The consecutive strings of one anchor form a slice of the text.  Slices go to
-   buckets by anchor; equal slices are first merged per task to their least
-   document, and an anchor that only one slice has can't hold a match.
+1. Every ``SPAN``-byte string has a least hash of the ``GRAM``-byte strings within
+   it (rightmost of equals).  Its anchor is that gram with the bytes before it
+   where at least half of the string's other bytes stand there, else with those
+   behind it: two thirds of the string, so that phrases which many texts use
+   seldom meet.  Equal strings have equal anchors.  The consecutive strings of one
+   anchor form a slice of the text.  Slices go to buckets by anchor; equal slices
+   are first merged per task to their least document, and an anchor that only one
+   slice has can't hold a match.
 2. In a bucket, equal slices of one anchor match whole.  Where an anchor has
    different slices, each one's first document sends its bytes to the anchor's
    index, and matching statistics streamed over that index give, for every place
@@ -42,17 +45,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, buckets, bytes_of, fresh_name, mix, packed, parts, released, saved, unpacked
+from .common import append, buckets, bytes_of, dropped, fresh_name, mix, packed, parts, released, saved, swept, unpacked
 from .rlbwt import RunLengthIndex
 from .winnowing import BASE, INVERSE, powers
 
 SPAN = 50
 GRAM = 16
 HOT = 512
-FLUSH = 1 << 19
+FLUSH = 3 << 18
 CHUNK = 1 << 19
 BITMAP = 1 << 25
 PAGE = 1 << 15
+#: Bytes of a slice's hash, and of an anchor's that are sent beside its bucket.
+#: Anchors that agree in those share a group, where their bytes tell them apart.
+HASH, ANCHOR = 7, 4
 FULL, CLOSE, STRINGS = 0, 1, 2
 FLAG = -(1 << 63)
 
@@ -104,9 +110,17 @@ def _sliced(text: np.ndarray, base: np.ndarray, pieces: list[bytes], span: int,
     keys = keys[whole]
     first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1] + 1))))
     lo, count = whole[first], np.diff(np.append(first, len(whole)))
-    anchor = hashes[m - 1 - (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    at = m - 1 - (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # strings with at least half of their other bytes before the gram, and those with more behind it
+    half = window // 2
+    before = np.clip(at - half - lo + 1, 0, count)
+    lo, count = np.stack((lo, lo + before), 1).ravel(), np.stack((before, count - before), 1).ravel()
+    begin, size = np.stack((at - half, at), 1).ravel(), np.tile(np.array([gram + half, span - half + 1]), len(at))
+    some = count > 0
+    lo, count, begin, size = lo[some], count[some], begin[some], size[some]
+    anchor = mix((prefix[begin + size] - prefix[begin]) * up[begin] + size.astype(np.uint64))
     stop = lo + count + span - 1
-    own = mix((prefix[stop] - prefix[lo]) * up[lo] + (stop - lo).astype(np.uint64))
+    own = mix((prefix[stop] - prefix[lo]) * up[lo] + (stop - lo).astype(np.uint64)) >> np.uint64(64 - 8 * HASH)
     at = piece[lo]
     return text[at], base[at] + lo - (np.cumsum(sizes) - sizes)[at], count, anchor, own
 
@@ -134,6 +148,33 @@ def _owned(anchor: np.ndarray, own: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return a, own[first], doc[first], np.repeat(sizes, sizes), doc[other], own[other]
 
 
+def _folded(column: np.ndarray, width: int) -> np.ndarray:
+    """A column's lower bytes one after the other: columns that are sorted or hold
+    small numbers compress better so."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8)[:, :width].T.ravel()
+
+
+def _unfolded(folded: np.ndarray, kind: type, width: int) -> np.ndarray:
+    out = np.zeros((len(folded) // width, 8), np.uint8)
+    out[:, :width] = folded.reshape(width, -1).T
+    return out.view(kind).ravel()
+
+
+def _columns(payload: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """The folded columns of a page by their kinds and widths."""
+    (body,) = unpacked(payload, "u1")
+    n, at, out = len(body) // sum(width for _, width in kinds), 0, []
+    for kind, width in kinds:
+        out.append(_unfolded(body[at : at + n * width], kind, width))
+        at += n * width
+    return out
+
+
+#: Columns of the pages: anchor, slice, document; and document, slice, how.
+ENTRY = (np.uint64, ANCHOR), (np.uint64, HASH), (np.int64, 8)
+KNOWN = (np.int64, 8), (np.uint64, HASH), (np.int64, 1)
+
+
 def _pages(spark_buckets: int, limit: int):
     """Slices of the texts as packed rows (bucket, kind, payload)."""
     names = ["bucket", "kind", "payload"]
@@ -148,15 +189,17 @@ def _pages(spark_buckets: int, limit: int):
             bucket, columns = bucket[order], [c[order] for c in columns]
             at = _groups(bucket)
             for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
-                rows.append((int(bucket[i]), kind, packed(*[c[i:j] for c in columns])))
+                folded = [_folded(c[i:j], width) for c, (_, width) in zip(columns, KNOWN if kind else ENTRY)]
+                rows.append((int(bucket[i]), kind, packed(*folded)))
 
         flags = np.unique(a[hot])
         keys = np.concatenate((a[~hot], flags))
-        deal(0, (keys % np.uint64(spark_buckets)).astype(np.int64), keys, np.concatenate((own[~hot], np.zeros(len(flags), np.uint64))),
+        n = np.uint64(spark_buckets)
+        deal(0, (keys % n).astype(np.int64), keys // n, np.concatenate((own[~hot], np.zeros(len(flags), np.uint64))),
              np.concatenate((doc[~hot], np.full(len(flags), FLAG))))
         # what is known already goes the same way, dealt by document
         docs, owns = np.concatenate((full_doc, doc[hot])), np.concatenate((full_own, own[hot]))
-        how = np.concatenate((np.full(len(full_doc), FULL, np.int8), np.full(int(hot.sum()), STRINGS, np.int8)))
+        how = np.concatenate((np.full(len(full_doc), FULL, np.int64), np.full(int(hot.sum()), STRINGS, np.int64)))
         deal(1, (mix(docs.view(np.uint64)) % np.uint64(spark_buckets)).astype(np.int64), docs, owns, how)
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=names)
 
@@ -186,14 +229,14 @@ def _shared(limit: int):
     anchor is flagged or has more than ``limit`` different slices in all."""
 
     def run(group):
-        docs, owns, how = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+        docs, owns, how = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         entries = []
         for kind, payload in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()):
             if kind:
-                for out, part in zip((docs, owns, how), unpacked(payload, "i8", "u8", "i1")):
+                for out, part in zip((docs, owns, how), _columns(payload, *KNOWN)):
                     out.append(part)
             else:
-                entries.append(unpacked(payload, "u8", "u8", "i8"))
+                entries.append(_columns(payload, *ENTRY))
         if entries:
             anchor, own, doc = map(np.concatenate, zip(*entries))
             flagged = np.unique(anchor[doc == FLAG])
@@ -203,7 +246,7 @@ def _shared(limit: int):
             open_ = hot | (n > 1)
             docs += [full_doc, d[open_]]
             owns += [full_own, o[open_]]
-            how += [np.full(len(full_doc), FULL, np.int8), np.where(hot, STRINGS, CLOSE)[open_].astype(np.int8)]
+            how += [np.full(len(full_doc), FULL, np.int64), np.where(hot, STRINGS, CLOSE)[open_]]
         columns = [np.concatenate(docs), np.concatenate(owns).view(np.int64), np.concatenate(how).astype(np.int32)]
         return pa.table(columns, names=["doc_id", "slice", "how"])
 
@@ -289,19 +332,25 @@ FOUND = "doc_id long, slice long, mask long"
 
 def matches(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, slice, mask): the strings of a slice, by bit, that a smaller
-    document has too; -1 for all.  ``docs`` has doc_id and __text."""
+    document has too; -1 for all.  ``docs`` has doc_id and __text.  What a step
+    has shuffled and written goes as soon as the next one has its own."""
     spark = docs.sparkSession
     known = marks(docs, hot)
+    swept(spark)
     near = known.filter(F.col("how") != FULL)
     wanted = near.groupBy("doc_id").agg(F.collect_list("slice").alias("slices"), F.collect_list("how").alias("hows"))
     some, _ = sorted_out(docs, near.select("doc_id"), "doc_id")
     bodies = saved(some.join(wanted, "doc_id").select("doc_id", "__text", "slices", "hows").mapInArrow(_extract, BODIES), "bodies")
+    swept(spark)
     n = buckets(spark, 4)
     sent = bodies.filter("body IS NOT NULL").withColumn("bucket", F.pmod(F.col("key"), F.lit(n)))
     found = sent.select("bucket", "doc_id", "slice", "shift", "body").groupBy("bucket").applyInArrow(_matched, FOUND)
     settled = bodies.filter("found IS NOT NULL").select("doc_id", "slice", F.col("found").alias("mask"))
     whole = known.filter(F.col("how") == FULL).select("doc_id", "slice", F.lit(-1).cast("long").alias("mask"))
-    return saved(whole.unionByName(found).unionByName(settled), "matches")
+    out = whole.unionByName(saved(found.unionByName(settled), "matches"))
+    dropped(bodies)
+    swept(spark)
+    return out
 
 
 def _remove(body: bytes, own: list[int], masks: list[int], found: tuple[np.ndarray, ...]) -> tuple[bytes, int, int]:

@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -41,3 +42,17 @@ def test_steps_drop_what_another_operator_kept(step):
     common.held(("other",), list)
     assert list(step(iter([]))) == []
     assert not common._HELD
+
+
+def test_swept_shuffles_leave_the_disk(spark):
+    """Files of a finished job's shuffle are gone before the next step is done."""
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x.getName() for x in map(folder.getAllFiles().apply, range(folder.getAllFiles().size())) if x.getName().startswith("shuffle_")}
+    common.swept(spark)
+    time.sleep(1)
+    before = shuffles()
+    common.saved(spark.range(1000).repartition(5, "id"), "swept")
+    assert shuffles() - before
+    common.swept(spark)
+    time.sleep(1)
+    assert not shuffles() - before

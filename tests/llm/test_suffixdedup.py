@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from helpers import SF, awkward, clashing, frame
 from seqlabel.llm import suffixdedup as D
 from seqlabel.llm.queries import QUERIES
 from seqlabel.llm.rlbwt import RunLengthIndex
+from seqlabel.session import session_dir
 
 
 def brute(rows):
@@ -105,3 +107,23 @@ def test_cleaned_keeps_columns(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert result(QUERIES["op6_suffix_dedup"](spark, SF)) == brute(rows)
+
+
+def test_common_phrases_send_no_bytes(spark):
+    """Texts that share phrases of under two thirds of ``SPAN`` bytes have nothing to match."""
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    phrases = [text(30) for _ in range(4)]
+    rows = [(i, "".join(text(70) + p for p in rng.permutation(phrases)), "en", "s", 1) for i in range(40)]
+    docs = frame(spark, rows).selectExpr("doc_id", "text AS __text")
+    assert D.marks(docs).count() == 0
+    assert result(D.deduplicated(frame(spark, rows))) == brute([r[:2] for r in rows])
+
+
+def test_large_ids_and_pages(spark):
+    """Pages keep whole ids, and a slice's bytes are deleted once they are matched."""
+    rows = [(s * ((1 << 62) + 7 * i), t, *rest) for s in (1, -1) for i, t, *rest in repetitive(5)]
+    assert result(D.deduplicated(frame(spark, rows))) == brute([r[:2] for r in rows])
+    folder = session_dir(spark).removeprefix("file:")
+    names = {x.split("-")[0] for x in os.listdir(folder)}
+    assert "matches" in names and "bodies" not in names
